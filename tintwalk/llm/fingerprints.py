@@ -28,6 +28,11 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(spaced, SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
+def _top(hash64: Column) -> Column:
+    """The upper half of a hash, as an int."""
+    return F.shiftright(hash64, 32).cast("int")
+
+
 def _inner(h: Column) -> Column:
     """Hashes of the runs of two words; those of a k-mer at i are at i to i + K - S."""
     return F.zip_with(F.slice(h, F.lit(1), F.size(h) - 1), F.slice(h, F.lit(2), F.size(h) - 1), lambda a, b: F.xxhash64(a, b))
@@ -38,21 +43,21 @@ def _selected(g: Column, made) -> Column:
 
     def at(i: Column) -> Column:
         a, b, c, d = (F.get(g, i + j) for j in range(K - S + 1))
-        return F.when(F.least(a, d) <= F.least(b, c), made(i, F.shiftrightunsigned(F.xxhash64(a, b, c, d), 32)))
+        return F.when(F.least(a, d) <= F.least(b, c), made(i, _top(F.xxhash64(a, b, c, d))))
 
     places = F.when(F.size(g) > K - S, F.sequence(F.lit(0), F.size(g) - (K - S) - 1)).otherwise(F.array().cast("array<int>"))
     return F.filter(F.transform(places, at), lambda x: x.isNotNull())
 
 
 def _of_words(h: Column, made) -> Column:
-    whole = F.array(made(F.lit(0), F.shiftrightunsigned(F.aggregate(h, F.lit(42).cast("long"), lambda s, x: F.xxhash64(s, x)), 32)))
+    whole = F.array(made(F.lit(0), _top(F.aggregate(h, F.lit(42).cast("long"), lambda s, x: F.xxhash64(s, x)))))
     found = let(_inner(h), lambda g: _selected(g, made))
     chosen = let(found, lambda a: F.when(F.size(a) > 0, a).otherwise(whole))
     return F.when(F.size(h) == 0, F.slice(whole, F.lit(1), F.lit(0))).when(F.size(h) < K, whole).otherwise(chosen)
 
 
 def anchors(text: Column) -> Column:
-    """array<struct<place int, hash long>>: the anchors of ``text`` by word place, for positional matching."""
+    """array<struct<place int, hash int>>: the anchors of ``text`` by word place, for positional matching."""
     made = lambda i, x: F.struct(i.cast("int").alias("place"), x.alias("hash"))
     return let(word_hashes(text), lambda h: _of_words(h, made))
 
@@ -64,7 +69,7 @@ def sketch(text: Column) -> Column:
 
 def as_string(values: Column) -> Column:
     """Eight hex digits per anchor."""
-    return F.array_join(F.transform(values, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.array_join(F.transform(values, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -104,22 +109,19 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     the same next document: the row of the next id whose text hash is smallest. A null doc_id counts as an id before all others.
     The texts are shuffled once, by id; the following document's part and sketch come in a second, smaller shuffle.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    key = F.struct(F.col("doc_id"))
-    docs = docs.select(F.col("doc_id"), key.alias("id"), "text", F.length("text").cast("long").alias("n_chars"))
-    ids = docs.groupBy("id").agg(F.max("n_chars").alias("longest"))
-    ids = cut(ids, "lengths")
-    follows = successors(ids)
-    wanted = follows.join(ids.select(F.col("id").alias("prev_id"), F.floor(F.col("longest") / 4).alias("part")), "prev_id")
+    docs = docs.select(F.struct("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    n_chars = F.length("text")
+    ids = cut(docs.groupBy("id").agg(F.max(n_chars).alias("longest")), "lengths")
+    wanted = successors(ids).join(ids.select(F.col("id").alias("prev_id"), F.floor(F.col("longest") / 4).cast("int").alias("part")), "prev_id")
     wanted = cut(wanted, "follows")
-    own = docs.withColumn("sketch", sketch(F.col("text"))).repartition("id")
-    sent = own.join(wanted.hint("merge"), "id").select(F.col("prev_id").alias("id"), F.struct(F.xxhash64("text").alias("h"), F.substring(F.col("text"), F.lit(1), F.col("part").cast("int")).alias("part"), F.col("sketch").alias("next_sketch")).alias("sent"))
+    own = docs.withColumn("sketch", sketch(F.col("text"))).repartition("id")  # both joins below read this one exchange
+    sent = own.join(wanted.hint("merge"), "id").select(F.col("prev_id").alias("id"), F.struct(F.xxhash64("text").alias("h"), F.substring(F.col("text"), F.lit(1), F.col("part")).alias("part"), F.col("sketch").alias("next_sketch")).alias("sent"))
     sent = sent.groupBy("id").agg(F.min("sent").alias("sent")).select("id", "sent.part", "sent.next_sketch")
-    quarter = F.floor(F.col("n_chars") / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring(F.col("part"), F.lit(1), quarter))
+    quarter = F.floor(n_chars / 4).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n_chars - quarter), F.substring(F.col("part"), F.lit(1), quarter))
     both = own.join(sent.hint("merge"), "id").withColumn("edited", edited).withColumn("edited_sketch", sketch(F.col("edited")))
     return both.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_string(F.col("sketch")).alias("fingerprint"), as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "id.doc_id", n_chars.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_string(F.col("sketch")).alias("fingerprint"), as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"), F.size("sketch").alias("n_anchors"),
     )
 

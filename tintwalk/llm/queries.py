@@ -1,9 +1,11 @@
 """The queries of this package, by name, and their oracle SQL where SQL can express them."""
 
-from tintwalk.llm import fingerprints
+from tintwalk.llm import fingerprints, mixing, packing
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
+    "op2_packing": packing.op2,
+    "op3_mixing": mixing.op3,
 }
 
 ORACLES: dict[str, str] = {}
