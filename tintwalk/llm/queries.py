@@ -1,11 +1,14 @@
 """The queries of this package, by name, and their oracle SQL where SQL can express them."""
 
-from tintwalk.llm import fingerprints, mixing, packing
+from tintwalk.llm import fingerprints, language, mixing, packing, simhash, urls
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
     "op2_packing": packing.op2,
     "op3_mixing": mixing.op3,
+    "op5_simhash": simhash.op5,
+    "op8_language": language.op8,
+    "op10_urls": urls.op10,
 }
 
 ORACLES: dict[str, str] = {}
