@@ -107,7 +107,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK) ->
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
     bits = [(segment, bit) for segment in range(SEGMENTS) for bit in range(BITS // SEGMENTS)]
     key = lambda segment, bit: F.lit(segment << 40 | bit << 32).bitwiseOR((high if segment else low).bitwiseAND(F.lit(0xFFFFFFFF ^ 1 << bit)))
-    index = distinct.select("fp", F.explode(F.array(*[key(*x) for x in bits])).alias("key"))
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # each row becomes 64
+    index = spread.select("fp", F.explode(F.array(*[key(*x) for x in bits])).alias("key"))
     counts = index.groupBy("key").count().where(F.col("count") > 1)
     counts = counts.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     index = index.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
