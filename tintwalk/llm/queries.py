@@ -1,13 +1,16 @@
 """The queries of this package, by name, and their oracle SQL where SQL can express them."""
 
-from tintwalk.llm import fingerprints, language, mixing, packing, simhash, urls
+from tintwalk.llm import embeddings, fingerprints, language, mixing, packing, preferences, simhash, toxicity, urls
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
     "op2_packing": packing.op2,
     "op3_mixing": mixing.op3,
     "op5_simhash": simhash.op5,
+    "op6_preferences": preferences.op6,
+    "op7_embeddings": embeddings.op7,
     "op8_language": language.op8,
+    "op9_toxicity": toxicity.op9,
     "op10_urls": urls.op10,
 }
 
