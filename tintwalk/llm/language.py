@@ -8,7 +8,7 @@ Training takes a bounded sample, about ``PER_LANGUAGE`` labelled rows of each la
 back to fit the temperature of the softmax and the level of confidence below which a text is rejected.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and rejected; languages are those of the sample; texts are
-scored whole; an empty or unlabelled table leaves no languages, and all is ``und``.
+scored whole; an empty or unlabelled table leaves no languages: all is ``und``, and nothing is rejected.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         z = self.logits(text or "")
         if z is None:
-            return "und", 0.0, False
+            return "und", 0.0, not self.languages
         p = softmax(z[None] / self.temperature)[0]
         best = int(p.argmax())
         return self.languages[best], float(p[best]), bool(p[best] >= self.least)
