@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tintwalk.written import cut, ranked, shared_folder
+
+__all__ = ["SPACE", "WORD", "components", "cut", "let", "ranked", "running_in_row", "running_total", "shared_folder", "table"]
+
 #: ASCII white space as the contracts define it, and a word between such characters.
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 
@@ -17,44 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for written intermediates: the cluster's ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
-    context = spark.sparkContext
-    if folder := context.getConf().get("spark.checkpoint.dir"):
-        return folder
-    if not (folder := context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        folder = context.getCheckpointDir()
-    return folder
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so later stages don't depend on executors that may be lost."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, also inside lambdas, where Spark has no common subexpressions."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def ranked(df: DataFrame, *order: Column, name: str = "ranked") -> DataFrame:
-    """``df`` (written) with ``rank``: 0-based position in ``order``, gapless over the whole table.
-
-    One range-partitioned sort; positions inside a partition are added to the totals of the partitions before it, a table of one
-    row per partition, which is all that is broadcast.
-    """
-    order = order or tuple(F.col(c) for c in df.columns)
-    rows = cut(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), name)
-    part = F.shiftright("_at", 33)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy(part.alias("_part")).count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    rank = F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.withColumn("_part", part).join(F.broadcast(parts), "_part").withColumn("rank", rank).drop("_at", "_part", "_base")
-
-
 def running_total(df: DataFrame, value: Column, *order: Column, name: str = "running") -> DataFrame:
     """``df`` (written) with ``before``: the sum of ``value`` over all rows that precede in ``order``.
 
