@@ -1,0 +1,307 @@
+"""Operators on documents against brute-force versions."""
+
+import hashlib
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from tests.llm.tables import DOCS, documents
+from tintwalk.llm import fingerprints, language, mixing, packing, sanitise, simhash
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(documents(), DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# -- fingerprints
+
+
+def test_fingerprints_of_edited_texts(spark):
+    rows = [r for r in documents() if r[0] is not None]
+    rows = list({r[0]: r for r in rows}.values())
+    found = {r.doc_id: r for r in fingerprints.edited_fingerprints(spark.createDataFrame(rows, DOCS)).collect()}
+    order = sorted(rows)
+    assert len(found) == len(rows)
+    by_text = defaultdict(set)
+    for r, after in zip(order, order[1:] + order[:1], strict=True):
+        text, following = r[1] or "", after[1] or ""
+        k = len(text) // 4
+        edited = text[: len(text) - k] + following[:k]
+        got = found[r[0]]
+        assert got.n_chars == len(text)
+        assert got.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= got.near_edited <= 1 and 0 <= got.near_next <= 1
+        by_text[text].add(got.fingerprint)
+        by_text[edited].add(got.edited_fingerprint)
+    assert all(len(prints) == 1 for prints in by_text.values())
+    assert found[documents()[7][0]].near_edited > 0.5
+    assert found[documents()[5][0]].fingerprint == ""
+
+
+def test_fingerprints_take_repeats_and_null_ids(docs, none):
+    rows = fingerprints.edited_fingerprints(docs).collect()
+    assert len(rows) == len(documents())
+    assert fingerprints.edited_fingerprints(none).count() == 0
+
+
+def test_anchors_are_closed_syncmers(spark):
+    """Whether a k-mer is an anchor depends on its own words only: a text within another has the same anchors there."""
+    words = [f"w{i}" for i in range(200)]
+    whole = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[50:150]))], "doc_id long, text string")
+    found = {r.doc_id: {(a.place, a.hash) for a in r.a} for r in whole.select("doc_id", fingerprints.anchors(whole.text).alias("a")).collect()}
+    inner = {(p + 50, h) for p, h in found[2]}
+    assert inner == {(p, h) for p, h in found[1] if 50 <= p <= 145}
+    assert max(b - a for a, b in zip(sorted(p for p, _ in found[1]), sorted(p for p, _ in found[1])[1:], strict=False)) <= fingerprints.K - fingerprints.S
+    matches = {(r.left_place - r.right_place) for r in fingerprints.matches(whole.where("doc_id = 1"), whole.where("doc_id = 2")).collect()}
+    assert matches == {50}
+
+
+# -- packing
+
+
+def test_packing_is_an_exact_round_trip(docs, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    want = Counter()
+    for r in documents():
+        ids = tok.encode(r[1] or "", add_special_tokens=False).ids + [0]
+        for start, length in pieces(len(ids)):
+            part = ids[start : start + length]
+            want[r[0], start, length, zlib.crc32(struct.pack(f"<{length}I", *part)), len(ids)] += 1
+    rows = packing.pack(docs).collect()
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == want
+    by_sequence = defaultdict(list)
+    for r in rows:
+        by_sequence[r.sequence_id].append(r)
+    assert sorted(by_sequence) == list(range(len(by_sequence)))
+    assert all(len(x) == 1 and x[0].offset == 0 and x[0].length == 1 << x[0].bucket for x in by_sequence.values())
+    assert packing.pack(none).count() == 0
+
+
+def pieces(n):
+    start = 0
+    while start < n:
+        length = min(1024, 1 << (n - start).bit_length() - 1)
+        yield start, length
+        start += length
+
+
+# -- mixing
+
+
+def expected_targets(rows, weights=(5, 2, 1), cap=3):
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(WORD.findall(r[1] or ""))
+    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    total, full = sum(sizes.values()), set()
+    while True:
+        rest = total - sum(cap * sizes[s] for s in full)
+        open_weight = sum(weight[s] for s in order if s not in full)
+        target = {s: cap * sizes[s] if s in full else rest * weight[s] / open_weight for s in order}
+        over = {s for s in order if s not in full and target[s] > cap * sizes[s]}
+        if not over:
+            return sizes, target
+        full |= over
+
+
+def test_mixing_meets_its_targets(spark, docs, none):
+    rows = documents()
+    sizes, target = expected_targets(rows)
+    docs = docs.withColumn("s", docs.source)
+    mixed = mixing.mix(docs, keep=("s",)).collect()
+    assert len(mixed) == len(rows)
+    taken, largest = Counter(), Counter()
+    for r in mixed:
+        assert r.target == pytest.approx(target[r.s]) and r.source_size == sizes[r.s]
+        assert r.taken == r.copies * r.size and r.taken <= 3 * r.size
+        taken[r.s] += r.taken
+        largest[r.s] = max(largest[r.s], r.size)
+    for source in sizes:
+        assert abs(taken[source] - target[source]) <= largest[source] / 2 + 1e-6
+    again = mixing.mix(docs.repartition(3)).collect()
+    key = lambda r: (r.doc_id or -1, r.size, r.taken)
+    assert sorted(map(key, mixed)) == sorted(map(key, again))
+    assert mixing.mix(none).count() == 0
+
+
+def test_pivotal_rounding_keeps_expectations(spark):
+    """Over many seeds a unit is taken as often as its share says; sums stay within half a unit."""
+    units = [(0, i, 1.0 + i % 3, (i % 7 + 0.5) / 8) for i in range(30)]
+    df = spark.createDataFrame(units, "stratum long, place long, size double, share double")
+    wanted = sum(size * share for _, _, size, share in units)
+    times, seeds = Counter(), 25
+    for seed in range(seeds):
+        extra = {r.place: r.extra for r in mixing.pivotal(df, 30, group=8, seed=seed).collect()}
+        assert len(extra) == 30
+        assert abs(sum(units[i][2] * e for i, e in extra.items()) - wanted) <= 1.5 + 1e-9
+        times.update({i: e for i, e in extra.items()})
+    low = [times[i] / seeds for i in range(30) if i % 7 == 0]
+    high = [times[i] / seeds for i in range(30) if i % 7 == 6]
+    assert sum(low) / len(low) < 0.25 and sum(high) / len(high) > 0.6
+
+
+# -- personal data
+
+
+def luhn(digits):
+    odd = [int(d) for d in digits[-1::-2]]
+    even = [sum(divmod(2 * int(d), 10)) for d in digits[-2::-2]]
+    return (sum(odd) + sum(even)) % 10 == 0
+
+
+def brute_spans(text):
+    found = []
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    for rank, (kind, pattern, ok) in enumerate([
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 12 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15),
+    ]):
+        found += [(m.start(), rank, m.end(), kind) for m in re.finditer(pattern, text) if ok(m[0])]
+    return [(kind, start, end) for start, _, end, kind in sorted(found)]
+
+
+AWKWARD = [
+    "a@b a@b.c x@y.z.w@q.r --@-.- a@@b.c aa@bb..cc a.b@c.d@e.f",
+    "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.004 1.2.3 1.2.3.4567 9.9.9.9x12.12.12.12",
+    "4111-1111-1111-1111 4111  1111 378282246310005 5 5 5 5 5 5 5 5 5 5 5 5 0000000000000000 1-2-3-4-5-6-7-8-9-0-1-2",
+    "+1 (202) 555-0143 +1-+12345678901 +123 ++44 20 7946 0958 +1.202.555.0143...",
+    "\U0001f600 +4915112345678 é x@é.de 一a@b.cc 1٣2 ١.١.١.١ call +7 999 123-45-67",
+    "ends 10.0.0.1",
+    "user.name+tag@sub.example.co.uk,10.20.30.40;4012888888881881|+33 1 23 45 67 89",
+]
+
+
+def test_base_spans_are_those_of_the_patterns(spark):
+    texts = [r[1] or "" for r in documents()] + AWKWARD + ["@" * 3000 + "a" * 3000, "1." * 4000, "1 " * 3000, "+1" + "(" * 3000, "a.b-" * 2000 + "@"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for r in df.select("i", sanitise.base_spans(df.text).alias("s")).collect():
+        assert [(s.kind, s.start, s.end) for s in r.s] == brute_spans(texts[r.i]), texts[r.i][:80]
+
+
+def test_words_that_give_an_entity_away(spark):
+    """A word that stands only where an entity does is removed or generalised, also far from it; common words stay."""
+    filler = "every morning the people of this town walk slowly towards their market and talk about weather".split()
+    rows = []
+    for i in range(400):
+        words = filler[i % 5 :] + filler[: i % 7]
+        if i < 20:
+            words = words[: i % 6] + ["zelenkova", "writes", "from", "ann@example.org", *words[: 3 + i % 4]]
+        elif i == 21:
+            words += ["zelenkova", "alone"]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in sanitise.annotate(docs, with_text=True).collect()}
+    held = lambda i: [found[i].text[s.start : s.end].lower() for s in found[i].term_spans]
+    assert "zelenkova" in held(3) and held(21) == ["zelenkova"]
+    assert not any({"people", "market", "weather"} & set(held(i)) for i in range(400))
+    assert all(not found[i].term_spans for i in range(30, 400))
+
+
+def test_query_rows_and_redaction(spark, docs, none):
+    rows = sanitise.annotate(docs, with_text=True)
+    got = rows.select("doc_id", "text", "spans", sanitise.redact(rows.text, rows.spans, rows.term_spans).alias("clean")).collect()
+    assert len(got) == len(documents())
+    for r in got:
+        assert [(s.kind, s.start, s.end) for s in r.spans] == brute_spans(r.text)
+    one = next(r for r in got if r.doc_id == documents()[16][0])
+    assert "[EMAIL]" in one.clean and "[IP]" in one.clean and "[CARD]" in one.clean and "[PHONE]" in one.clean and "4111" not in one.clean
+    assert sanitise.annotate(none).count() == 0
+
+
+# -- simhash
+
+
+def brute_simhash(text):
+    import xxhash
+
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def roots(nodes, linked):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_simhash_groups(spark, docs, none):
+    rows = [r for r in documents() if r[0] is not None]
+    prints = [(r[0], brute_simhash(r[1])) for r in rows]
+    assert set(simhash.near_duplicates(docs.where("doc_id is not null")).select("doc_id", "fingerprint").distinct().collect()) == {(i, f"{fp:016x}") for i, fp in prints}
+    want = roots({i for i, _ in prints}, [(a, b) for a, x in prints for b, y in prints if (x ^ y).bit_count() <= 3])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs.where("doc_id is not null")).collect()}
+    assert got == want
+    assert simhash.near_duplicates(docs).count() == len(documents())
+    assert simhash.near_duplicates(none).count() == 0
+
+
+@pytest.mark.parametrize("block", [2, 16, 512])
+def test_simhash_links_lose_no_pair(spark, block):
+    """Every pair at three bits or fewer, of fingerprints around a few centres, is connected; no other is."""
+    import random
+
+    rng = random.Random(block)
+    fps = {rng.getrandbits(64) for _ in range(40)}
+    for centre in list(fps)[:6]:
+        for _ in range(25):
+            x = centre
+            for _ in range(rng.randint(1, 6)):
+                x ^= 1 << rng.choice([0, 31, 32, 63, rng.randrange(64)])
+            fps.add(x)
+    signed = {fp: fp - (1 << 64) if fp >> 63 else fp for fp in fps}
+    found = simhash.links(spark.createDataFrame([(s,) for s in signed.values()], "fp long"), block=block).collect()
+    pairs = [(a, b) for a in signed for b in signed if a < b and (a ^ b).bit_count() <= 3]
+    assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 3 for r in found)
+    assert roots(signed.values(), [(r.a, r.b) for r in found]) == roots(signed.values(), [(signed[a], signed[b]) for a, b in pairs])
+
+
+# -- language
+
+
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language.op8(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not re.search(r"[^\W\d_]", r.text or ""))
+    judged = [r for r in got if r.held_out and r.lang and r.lang_pred != "und" and len(r.text) > 40]
+    assert sum(r.lang == r.lang_pred for r in judged) / len(judged) > 0.97
+    assert sum(r.accepted for r in judged) / len(judged) > 0.98
+
+
+def test_language_edge_cases(docs, none):
+    model = language.fitted(docs)
+    got = language.identify(docs, model).collect()
+    assert len(got) == len(documents())
+    assert all(r.lang_pred in {"en", "de", "und"} for r in got)
+    assert language.identify(none, language.fitted(none)).count() == 0
+    assert {r.lang_pred for r in language.identify(docs, language.fitted(none)).collect()} == {"und"}

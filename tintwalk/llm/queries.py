@@ -1,11 +1,12 @@
 """The queries of this package, by name, and their oracle SQL where SQL can express them."""
 
-from tintwalk.llm import embeddings, fingerprints, language, mixing, packing, preferences, simhash, toxicity, urls
+from tintwalk.llm import embeddings, fingerprints, language, mixing, packing, preferences, sanitise, simhash, toxicity, urls
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
     "op2_packing": packing.op2,
     "op3_mixing": mixing.op3,
+    "op4_sanitise": sanitise.op4,
     "op5_simhash": simhash.op5,
     "op6_preferences": preferences.op6,
     "op7_embeddings": embeddings.op7,
