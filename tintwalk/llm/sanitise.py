@@ -141,8 +141,7 @@ def term_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
 def annotate(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
     """The columns in ``keep``, ``spans`` (base) and ``term_spans`` for each row; rows meet their words by a hash of id and text."""
     key = F.struct("doc_id", F.xxhash64("text").alias("h"))
-    docs = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text")) if "text" not in keep else docs.select(*keep).withColumn("text", F.coalesce("text", F.lit("")))
-    rows = docs.select(*keep, *[c for c in ("text",) if c not in keep], key.alias("row_key")).withColumn("spans", base_spans(F.col("text")))
+    rows = docs.select(*[c for c in keep if c != "text"], F.coalesce("text", F.lit("")).alias("text"), key.alias("row_key")).withColumn("spans", base_spans(F.col("text")))
     found = disclosing(rows.select("text", "spans"))
     words = term_spans(rows.select("row_key", "text"), found)
     light = rows if with_text else rows.drop("text")
