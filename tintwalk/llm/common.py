@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tintwalk.written import cut, ranked, shared_folder
 
-__all__ = ["SPACE", "WORD", "components", "cut", "let", "ranked", "running_in_row", "running_total", "shared_folder", "table"]
+__all__ = ["SPACE", "WORD", "components", "cut", "let", "lists", "ranked", "running_in_row", "running_total", "shared_folder", "table"]
 
 #: ASCII white space as the contracts define it, and a word between such characters.
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
@@ -24,6 +26,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def lists(rows: pa.Table, column: str) -> list[np.ndarray]:
+    """The arrays of a list column, as views of one buffer rather than Python objects."""
+    if not rows.num_rows:
+        return []
+    held = rows.column(column).combine_chunks()
+    held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
+    at = held.offsets.to_numpy() - held.offsets[0].as_py()
+    return np.split(held.flatten().to_numpy(zero_copy_only=False), at[1:-1])
+
+
 def running_total(df: DataFrame, value: Column, *order: Column, name: str = "running") -> DataFrame:
     """``df`` (written) with ``before``: the sum of ``value`` over all rows that precede in ``order``.
 

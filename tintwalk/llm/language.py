@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintwalk.llm.common import table
+from tintwalk.llm.common import lists, table
 
 BUCKETS, LONGEST, DIM = 1 << 15, 4, 16
 PER_LANGUAGE, EPOCHS, RATE, SEED = 1000, 4, 0.5, 5
@@ -111,7 +111,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str,
 
     rows = drawn.mapInArrow(run, "doc_id long, lang string, keys array<int>, n array<int>").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    return [(lang, np.array(k, dtype=np.int64), np.array(n, dtype=np.float64)) for lang, k, n in zip(*(rows.column(c).to_pylist() for c in ("lang", "keys", "n")), strict=True) if k]
+    return [(lang, k, n) for lang, k, n in zip(rows.column("lang").to_pylist(), lists(rows, "keys"), lists(rows, "n"), strict=True) if len(k)]
 
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:

@@ -1,9 +1,11 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-P(grade > k) = sigmoid(w.x - t_k): one weight vector is shared by all thresholds t_0 <= t_1 <= ..., and the expected severity is the
-sum of these probabilities. Features are the words that occur in a text, their first five and all runs of six letters, hashed; weights are fitted in numpy on the likelihood of the
-grades by per-coordinate follow-the-regularised-leader steps, whose L1 part leaves words without evidence at exactly 0, so that long
-clean texts gather no score.
+P(grade > k) = sigmoid(s - t_k): one score s of a text serves all thresholds t_0 <= t_1 <= ..., and the expected severity is the
+sum of these probabilities. Features are the words that occur in a text, and for the beginnings of words of 4, 5 and 6 letters whether they
+occur once, twice, three times or more; all are hashed. A feature counts if it stands in toxic texts so much oftener than in others that
+chance hardly explains it, and has its log odds for a value; s is the weighted mean of a text's values, drawn towards 0 where
+there are few. Weights are never negative: clean words don't make up for toxic ones, however long the text. They are fitted in
+numpy on the likelihood of the grades.
 
 Training takes a bounded sample, about ``PER_GRADE`` labelled rows of each grade drawn by a hash of the id and weighted back to
 their true share; a fifth of it is kept back to choose the probability from which a text counts as toxic.
@@ -26,34 +28,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintwalk.llm.common import table
+from tintwalk.llm.common import lists, table
 
 BUCKETS, PER_GRADE = 1 << 18, 4000
-EPOCHS, RATE, L1, SEED = 6, 1.0, 16.0, 9
-START, RUN = 5, 6
+BEGINNINGS, LEVELS = (4, 5, 6), 4
+#: Standard errors of the log odds from which a feature counts; values that stand for nothing in the mean; penalty of squared weights.
+CERTAIN, DRAWN, PENALTY = 2.5, 10.0, 1.0
+STEPS, RATE, SEED = 300, 0.1, 9
 WORDS = re.compile(r"[^\W\d_]+")
 #: Code points read at a time, which bounds memory on very long texts.
 CHUNK = 1 << 20
 
 
 @lru_cache(maxsize=1 << 17)
-def of_word(word: str) -> tuple[int, ...]:
-    parts = {f"={word}"} | {word[i : i + RUN] for i in range(len(word) - RUN + 1)} | ({f"^{word[:START]}"} if len(word) > START else set())
-    return tuple(zlib.crc32(part.encode()) % BUCKETS for part in parts)
+def whole(word: str) -> int:
+    return zlib.crc32(f"={word}".encode()) % BUCKETS
+
+
+@lru_cache(maxsize=1 << 17)
+def beginnings(word: str) -> tuple[int, ...]:
+    return tuple(zlib.crc32(word[:n].encode()) for n in BEGINNINGS if len(word) >= n)
 
 
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct buckets of ``text``."""
     text, words = text or "", set()
+    starts, times = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     at = 0
     while at < len(text):
         end = at + CHUNK
         while end < len(text) and text[end].isalpha() and end < at + 2 * CHUNK:  # not within a word
             end += 1
-        words.update(WORDS.findall(text[at:end].lower()))
+        found = WORDS.findall(text[at:end].lower())
+        words.update(map(whole, found))
+        more, n = np.unique(np.fromiter(chain.from_iterable(map(beginnings, found)), dtype=np.int64), return_counts=True)
+        starts, place = np.unique(np.concatenate([starts, more]), return_inverse=True)
+        times = np.bincount(place, np.concatenate([times, n])).astype(np.int64)
         at = end
-    found = set(chain.from_iterable(map(of_word, words)))
-    return np.sort(np.fromiter(found, dtype=np.int64, count=len(found)))
+    levels = [(starts[times >= k] * LEVELS + k) % BUCKETS for k in range(1, LEVELS + 1)]
+    return np.unique(np.concatenate([np.fromiter(words, dtype=np.int64, count=len(words)), *levels]))
 
 
 def sigmoid(x):
@@ -62,13 +75,22 @@ def sigmoid(x):
 
 @dataclass
 class Model:
+    values: np.ndarray  # log odds of the features that count, else 0
     weights: np.ndarray
     thresholds: np.ndarray
     cut: float = 0.5  # P(grade > 0) from which a text is toxic
 
+    def score(self, x: np.ndarray) -> float:
+        values = self.values[x]
+        return float(values @ self.weights[x]) * spread(values.sum())
+
     def above(self, x: np.ndarray) -> np.ndarray:
         """P(grade > k) for each k."""
-        return sigmoid(self.weights[x].sum() - self.thresholds)
+        return sigmoid(self.score(x) - self.thresholds)
+
+
+def spread(total):
+    return 2 * DRAWN / (DRAWN + total)
 
 
 def sample(docs: DataFrame, grades: DataFrame, per_grade: int = PER_GRADE) -> list[tuple[int, float, np.ndarray]]:
@@ -83,48 +105,53 @@ def sample(docs: DataFrame, grades: DataFrame, per_grade: int = PER_GRADE) -> li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t.as_py()) for t in batch.column(2)], pa.list_(pa.int64()))], names=["doc_id", "grade", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t.as_py()) for t in batch.column(2)], pa.list_(pa.int32()))], names=["doc_id", "grade", "x"])
 
-    rows = drawn.mapInArrow(run, "doc_id long, grade int, x array<long>").toArrow().sort_by("doc_id").to_pylist()
-    return [(r["grade"], max(1.0, counts[r["grade"]] / per_grade), np.array(r["x"], dtype=np.int64)) for r in rows]
+    rows = drawn.mapInArrow(run, "doc_id long, grade int, x array<int>").toArrow().sort_by("doc_id")
+    return [(grade, max(1.0, counts[grade] / per_grade), x) for grade, x in zip(rows.column("grade").to_pylist(), lists(rows, "x"), strict=True)]
 
 
-def train(rows: list[tuple[int, float, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE, l1: float = L1, seed: int = SEED) -> Model:
-    top = max((g for g, _, _ in rows), default=0)
-    if not top:
-        return Model(np.zeros(BUCKETS), np.full(1, 40.0))
-    rng = np.random.default_rng(seed)
-    order = rng.permutation(len(rows))
+def train(rows: list[tuple[int, float, np.ndarray]], steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY, seed: int = SEED) -> Model:
+    """Projected gradient steps on the whole sample, each coordinate at its own pace; a fifth of the rows is kept back for the cut."""
+    grades, weights = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows])
+    top = int(grades.max(initial=0))
+    order = np.random.default_rng(seed).permutation(len(rows))
     kept, fit = order[: len(rows) // 5], order[len(rows) // 5 :]
-    scale = np.mean([rows[i][1] for i in fit])
-    z, n, weights = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
-    share = np.array([sum(rows[i][1] for i in fit if rows[i][0] > k) for k in range(top)]) / sum(rows[i][1] for i in fit)
-    t = np.maximum.accumulate(-np.log(np.clip(share, 1e-6, 1 - 1e-6) / (1 - np.clip(share, 1e-6, 1 - 1e-6))))
-    squares = np.ones(top)
-    for _ in range(epochs):
-        for i in rng.permutation(fit):
-            grade, weight, x = rows[i]
-            weight /= scale
-            s = weights[x].sum()
-            a = sigmoid(s - t[grade - 1]) if grade else 1.0
-            b = sigmoid(s - t[grade]) if grade < top else 0.0
-            p = max(a - b, 1e-9)
-            g = -weight * (1 - a - b)  # of the loss by the score
-            step = (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / rate
-            z[x] += g - step * weights[x]
-            n[x] += g * g
-            weights[x] = np.where(np.abs(z[x]) <= l1, 0.0, -(z[x] - np.sign(z[x]) * l1) / ((1 + np.sqrt(n[x])) / rate))
-            down = np.zeros(top)
-            if grade:
-                down[grade - 1] += weight * a * (1 - a) / p
-            if grade < top:
-                down[grade] -= weight * b * (1 - b) / p
-            squares += down * down
-            t = np.maximum.accumulate(t - 0.1 * down / np.sqrt(squares))
-    model = Model(weights, t)
+    toxic = grades[fit] > 0
+    if not toxic.any() or toxic.all():
+        return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), np.full(1, 40.0))
+    seen = [np.bincount(np.concatenate([rows[i][2] for i in fit[of]]), minlength=BUCKETS) + 0.5 for of in (toxic, ~toxic)]
+    many = toxic.sum() + 1, (~toxic).sum() + 1
+    odds = np.log(seen[0] / many[0]) - np.log(seen[1] / many[1])
+    error = np.sqrt(np.maximum(1 / seen[0] + 1 / seen[1] - 1 / many[0] - 1 / many[1], 1e-9))
+    values = np.where(odds / error >= CERTAIN, odds, 0.0)
+
+    x = [r[values[r] > 0] for r in (rows[i][2] for i in fit)]
+    row, col = np.repeat(np.arange(len(fit)), [len(r) for r in x]), np.concatenate(x)
+    names, col = np.unique(col, return_inverse=True)
+    value = values[names][col]
+    value *= spread(np.bincount(row, value, minlength=len(fit)))[row]
+    y, weight = grades[fit], weights[fit] / weights[fit].mean()
+    share = np.clip([np.average(y > k, weights=weight) for k in range(top)], 1e-6, 1 - 1e-6)
+    t, w = -np.log(share / (1 - share)), np.full(len(names), 0.2)
+    w_squares, t_squares = np.full(len(names), 1e-6), np.full(top, 1e-6)
+    for _ in range(steps):
+        s = np.bincount(row, value * w[col], minlength=len(fit))
+        limits = np.concatenate([[-np.inf], t, [np.inf]])
+        a, b = sigmoid(s - limits[y]), sigmoid(s - limits[y + 1])
+        p = np.maximum(a - b, 1e-9)
+        w_back = np.bincount(col, value * (-weight * (1 - a - b))[row], minlength=len(names)) + penalty * w
+        t_back = np.bincount(y, weight * a * (1 - a) / p, minlength=top + 1)[1:] - np.bincount(y, weight * b * (1 - b) / p, minlength=top + 1)[:-1]
+        w_squares += w_back**2
+        t_squares += t_back**2
+        w = np.maximum(w - rate * w_back / np.sqrt(w_squares), 0)
+        t = np.maximum.accumulate(t - rate * t_back / np.sqrt(t_squares))
+    full = np.zeros(BUCKETS)
+    full[names] = w
+    model = Model(values, full, t)
     if len(kept):
         p = np.array([model.above(rows[i][2])[0] for i in kept])
-        w, toxic = np.array([rows[i][1] for i in kept]), np.array([rows[i][0] > 0 for i in kept])
+        w, toxic = weights[kept], grades[kept] > 0
         cuts = np.linspace(0.05, 0.95, 91)
         f1 = [2 * w[toxic & (p >= c)].sum() / max(w[toxic].sum() + w[p >= c].sum(), 1e-9) for c in cuts]
         best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-12)
