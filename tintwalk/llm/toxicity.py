@@ -101,7 +101,8 @@ def sample(docs: DataFrame, grades: DataFrame, per_grade: int = PER_GRADE) -> li
         return []
     chance = F.create_map(*[F.lit(x) for grade, n in counts.items() for x in (grade, min(1.0, per_grade / n))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = docs.select("doc_id", "text").join(grades.where(draw < chance[F.col("grade")]), "doc_id").select("doc_id", "grade", "text")
+    few = F.broadcast(grades.where(draw < chance[F.col("grade")]))  # about per_grade ids of each grade, however many labels there are
+    drawn = docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
