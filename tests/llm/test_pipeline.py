@@ -1,12 +1,13 @@
 """The stages of the pipeline, each against a brute-force version on its own input."""
 
+import random
 from collections import Counter
 
 import pytest
 
 from tests.llm.tables import DOCS, documents
 from tests.llm.test_documents import brute_simhash, brute_spans, expected_targets, roots
-from tintwalk.llm import packing, stages
+from tintwalk.llm import packing, similar, stages
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 PLAIN = "doc_id long, text string, lang string, source string, n_chars long"
@@ -87,3 +88,30 @@ def test_whole_pipeline_is_its_stages(spark):
     whole = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert rows(whole) == rows(docs)
     assert whole.count() > 200
+
+
+def test_near_duplicate_stage_links_by_similarity(spark):
+    """Near copies at a five-word similarity of 0.8 or more go, however many bits their fingerprints differ in; those below stay."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(100_000)}" for _ in range(n)]
+    common, texts = words(30), []
+    for i in range(60):  # a passage that all share, and copies with one to nine words changed
+        base = words(rng.randint(100, 300)) + common
+        texts.append(base)
+        for _ in range(12 if i < 3 else rng.randint(0, 2)):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), rng.randint(1, 9)):
+                copy[at] = f"x{rng.randrange(100_000)}"
+            texts.append(copy)
+    texts += [words(n) for n in (0, 1, 2, 4, 5, 6)] + [[], ["a"], ["A"], ["a", "b"]]
+    rng.shuffle(texts)
+    sets = [{tuple(x.lower() for x in t[i : i + 5]) for i in range(max(len(t) - 4, min(len(t), 1)))} for t in texts]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    index = range(len(texts))
+    pairs = [(i, j) for i in index for j in index if i < j and alike(sets[i], sets[j])]
+    assert sum((brute_simhash(" ".join(texts[i])) ^ brute_simhash(" ".join(texts[j]))).bit_count() > 3 for i, j in pairs) > 20
+    group = roots(index, pairs)
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "web", 0) for i, t in enumerate(texts)], PLAIN)
+    assert sorted(r.doc_id for r in stages.near_duplicates(spark, docs, "").collect()) == sorted(set(group.values()))
+    found = similar.near_duplicates(docs.repartition(3), least=0.6).collect()
+    assert {r.doc_id: r.component_id for r in found} == roots(index, [(i, j) for i in index for j in index if i < j and len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])])
