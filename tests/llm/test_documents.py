@@ -67,6 +67,24 @@ def test_anchors_are_closed_syncmers(spark):
     assert matches == {50}
 
 
+def test_fingerprints_of_long_texts_hold_all_anchors(spark):
+    """Two long texts that share a passage are told from two that don't, and differ by all that differs; places are those of the anchors."""
+    words = lambda side, n: [f"{side}{i}" for i in range(n)]
+    passage = words("p", 60)
+    texts = [words("a", 10_000) + passage + words("b", 10_000), words("c", 10_000) + passage + words("d", 10_000), words("e", 20_000), words("e", 20_000)[:10_000] + ["other"] + words("e", 20_000)[10_001:]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs).collect()}
+    want = {r.doc_id: r.a for r in docs.select("doc_id", fingerprints.anchors(docs.text).alias("a")).collect()}
+    for i in want:
+        prints = [got[i].fingerprint[at : at + 16] for at in range(0, len(got[i].fingerprint), 16)]
+        assert prints == [f"{a.place:08x}{a.hash & 0xFFFFFFFF:08x}" for a in want[i]]
+        assert got[i].n_anchors == len(want[i]) > 5_000
+        a, b = ({x.hash for x in want[j]} for j in (i, (i + 1) % 4))
+        assert got[i].near_next == pytest.approx(len(a & b) / len(a | b))
+    assert got[0].near_next > 0 and 0.99 < got[2].near_next < 1
+    assert got[2].fingerprint != got[3].fingerprint
+
+
 # -- packing
 
 

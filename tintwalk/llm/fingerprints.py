@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from tintwalk.llm.common import SPACE, cut, let, ranked, table
 
 K, S = 5, 2
-#: Anchors kept in a fingerprint: all, or of longer texts the smallest hashes, by which likeness is estimated as for whole sets.
-SKETCH = 256
 #: Characters from Thai to the compatibility ideographs, where words mostly stand without spaces; each counts as a word.
 UNSPACED = "([\u0e00-\ufaff])"
 
@@ -62,20 +60,25 @@ def anchors(text: Column) -> Column:
     return let(word_hashes(text), lambda h: _of_words(h, made))
 
 
-def sketch(text: Column) -> Column:
-    """Sorted distinct anchor hashes (32 bits) of ``text``, the smallest ``SKETCH`` of them."""
-    return F.slice(F.sort_array(F.array_distinct(let(word_hashes(text), lambda h: _of_words(h, lambda _, x: x)))), 1, SKETCH)
+def packed(text: Column) -> Column:
+    """array<long>: the anchors of ``text`` by word place, with the place in the upper half of a long and the hash in the lower."""
+    made = lambda i, x: F.shiftleft(i.cast("long"), 32).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return let(word_hashes(text), lambda h: _of_words(h, made))
+
+
+def hashes(values: Column) -> Column:
+    """Distinct hashes (32 bits) of packed anchors."""
+    return F.array_distinct(F.transform(values, lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")))
 
 
 def as_string(values: Column) -> Column:
-    """Eight hex digits per anchor."""
-    return F.array_join(F.transform(values, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
+    """Sixteen hex digits per packed anchor: its place, then its hash."""
+    return F.array_join(F.transform(values, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of two sketches, 0 to 1; of two empty ones 1."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    both = let(union, lambda u: F.size(F.array_intersect(u, F.array_intersect(a, b))) / F.greatest(F.size(u), F.lit(1)))
+    """Jaccard likeness of two sets of hashes, 0 to 1; of two empty ones 1."""
+    both = let(F.size(F.array_intersect(a, b)), lambda n: n / F.greatest(F.size(a) + F.size(b) - n, F.lit(1)))
     return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(both)
 
 
@@ -107,22 +110,25 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_anchors``. Rows that share a doc_id all have
     the same next document: the row of the next id whose text hash is smallest. A null doc_id counts as an id before all others.
-    The texts are shuffled once, by id; the following document's part and sketch come in a second, smaller shuffle.
+    Fingerprints hold all anchors of a text with their places, and likeness is that of the whole sets of their hashes.
+    The texts are shuffled once, by id; the following document's part and hashes come in a second, smaller shuffle.
     """
     docs = docs.select(F.struct("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     n_chars = F.length("text")
     ids = cut(docs.groupBy("id").agg(F.max(n_chars).alias("longest")), "lengths")
     wanted = successors(ids).join(ids.select(F.col("id").alias("prev_id"), F.floor(F.col("longest") / 4).cast("int").alias("part")), "prev_id")
     wanted = cut(wanted, "follows")
-    own = docs.withColumn("sketch", sketch(F.col("text"))).repartition("id")  # both joins below read this one exchange
-    sent = own.join(wanted.hint("merge"), "id").select(F.col("prev_id").alias("id"), F.struct(F.xxhash64("text").alias("h"), F.substring(F.col("text"), F.lit(1), F.col("part")).alias("part"), F.col("sketch").alias("next_sketch")).alias("sent"))
-    sent = sent.groupBy("id").agg(F.min("sent").alias("sent")).select("id", "sent.part", "sent.next_sketch")
+    own = docs.repartition("id")  # both joins below read this one exchange
+    sent = own.join(wanted.hint("merge"), "id").select(F.col("prev_id").alias("id"), F.struct(F.xxhash64("text").alias("h"), F.substring(F.col("text"), F.lit(1), F.col("part")).alias("part"), hashes(packed(F.col("text"))).alias("next_hashes")).alias("sent"))
+    sent = sent.groupBy("id").agg(F.min("sent").alias("sent")).select("id", "sent.part", "sent.next_hashes")
     quarter = F.floor(n_chars / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n_chars - quarter), F.substring(F.col("part"), F.lit(1), quarter))
-    both = own.join(sent.hint("merge"), "id").withColumn("edited", edited).withColumn("edited_sketch", sketch(F.col("edited")))
+    both = own.join(sent.hint("merge"), "id").withColumn("edited", edited)
+    both = both.withColumn("anchors", packed(F.col("text"))).withColumn("edited_anchors", packed(F.col("edited")))
+    both = both.withColumn("hashes", hashes(F.col("anchors"))).withColumn("edited_hashes", hashes(F.col("edited_anchors")))
     return both.select(
-        "id.doc_id", n_chars.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_string(F.col("sketch")).alias("fingerprint"), as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"), F.size("sketch").alias("n_anchors"),
+        "id.doc_id", n_chars.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_string(F.col("anchors")).alias("fingerprint"), as_string(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"), likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"), F.size("anchors").alias("n_anchors"),
     )
 
 
