@@ -6,7 +6,10 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+import regex
+from pyspark.sql import functions as F
 
 from tests.llm.tables import DOCS, documents
 from tintwalk.llm import fingerprints, language, mixing, packing, sanitise, simhash
@@ -27,26 +30,62 @@ def none(spark):
 # -- fingerprints
 
 
+UNSPACED = regex.compile(r"[\p{Thai}\p{Lao}\p{Tibetan}\p{Myanmar}\p{Khmer}\p{Hiragana}\p{Katakana}\p{Han}]")
+
+
+def brute_anchors(spark, texts):
+    """{(text, place)}: the anchors by their definition, word by word, with hashes from Spark for runs of words."""
+    words = {t: WORD.findall(UNSPACED.sub(lambda m: f" {m[0]} ", t)) for t in texts}
+    flat = sorted({w for ws in words.values() for w in ws})
+    hashed = {r.w: r.h for r in spark.createDataFrame([(w,) for w in flat], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    runs = sorted({(hashed[a], hashed[b]) for ws in words.values() for a, b in zip(ws, ws[1:], strict=False)})
+    inner = {(r.a, r.b): r.h for r in spark.createDataFrame(runs, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    found = {}
+    for t, ws in words.items():
+        h = [hashed[w] for w in ws]
+        chosen = []
+        for i in range(len(h) - 4):
+            g = [inner[h[i + j], h[i + j + 1]] for j in range(4)]
+            if min(g) in (g[0], g[3]):
+                chosen.append((i, tuple(ws[i : i + 5])))
+        found[t] = chosen or ([(0, tuple(ws))] if ws else [])
+    return found
+
+
+def brute_likeness(a, b):
+    steps = lambda x: {(p[1], q[1], q[0] - p[0]) for p, q in zip(x, x[1:], strict=False)} if len(x) > 1 else {p[1] for p in x}
+    a, b = steps(a), steps(b)
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
 def test_fingerprints_of_edited_texts(spark):
     rows = [r for r in documents() if r[0] is not None]
     rows = list({r[0]: r for r in rows}.values())
+    rows.append((9000, "ôlà Việt Nam ‘một’ — hai ba bốn năm 한국어 는 띄어 쓴다 ἀρχή ἦν", *rows[0][2:]))
     found = {r.doc_id: r for r in fingerprints.edited_fingerprints(spark.createDataFrame(rows, DOCS)).collect()}
     order = sorted(rows)
     assert len(found) == len(rows)
-    by_text = defaultdict(set)
+    edited = {}
     for r, after in zip(order, order[1:] + order[:1], strict=True):
         text, following = r[1] or "", after[1] or ""
         k = len(text) // 4
-        edited = text[: len(text) - k] + following[:k]
-        got = found[r[0]]
+        edited[r[0]] = text, text[: len(text) - k] + following[:k], following
+    want = brute_anchors(spark, {t for texts in edited.values() for t in texts})
+    by_text = defaultdict(set)
+    for i, (text, changed, following) in edited.items():
+        got = found[i]
         assert got.n_chars == len(text)
-        assert got.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got.near_edited <= 1 and 0 <= got.near_next <= 1
+        assert got.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        for printed, of in ((got.fingerprint, text), (got.edited_fingerprint, changed)):
+            assert [int(printed[at : at + 8], 16) for at in range(0, len(printed), 16)] == [p for p, _ in want[of]]
+        assert got.near_edited == pytest.approx(brute_likeness(want[text], want[changed]))
+        assert got.near_next == pytest.approx(brute_likeness(want[text], want[following]))
         by_text[text].add(got.fingerprint)
-        by_text[edited].add(got.edited_fingerprint)
+        by_text[changed].add(got.edited_fingerprint)
     assert all(len(prints) == 1 for prints in by_text.values())
     assert found[documents()[7][0]].near_edited > 0.5
     assert found[documents()[5][0]].fingerprint == ""
+    assert len(WORD.findall(rows[-1][1])) < 25 > found[9000].n_anchors  # letters, quotes and dashes of spaced scripts are no words of their own
 
 
 def test_fingerprints_take_repeats_and_null_ids(docs, none):
@@ -77,10 +116,9 @@ def test_fingerprints_of_long_texts_hold_all_anchors(spark):
     want = {r.doc_id: r.a for r in docs.select("doc_id", fingerprints.anchors(docs.text).alias("a")).collect()}
     for i in want:
         prints = [got[i].fingerprint[at : at + 16] for at in range(0, len(got[i].fingerprint), 16)]
-        assert prints == [f"{a.place:08x}{a.hash & 0xFFFFFFFF:08x}" for a in want[i]]
+        assert prints == [f"{a.place:08x}{a.hash >> 32 & 0xFFFFFFFF:08x}" for a in want[i]]
         assert got[i].n_anchors == len(want[i]) > 5_000
-        a, b = ({x.hash for x in want[j]} for j in (i, (i + 1) % 4))
-        assert got[i].near_next == pytest.approx(len(a & b) / len(a | b))
+        assert got[i].near_next == pytest.approx(brute_likeness(*[[(a.place, a.hash) for a in want[j]] for j in (i, (i + 1) % 4)]))
     assert got[0].near_next > 0 and 0.99 < got[2].near_next < 1
     assert got[2].fingerprint != got[3].fingerprint
 
@@ -109,6 +147,23 @@ def test_packing_is_an_exact_round_trip(docs, none):
     assert packing.pack(none).count() == 0
 
 
+LONG_RUNS = [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "\u4e00" * 300_000, "é1" * 300_000, "x " * 300_000, "a" + "\u3000" * 5_000 + "b" + "\t" * 5_000, "<|endoftext|>" * 900]
+
+
+def test_packing_takes_long_runs_of_any_character(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    df = spark.createDataFrame(list(enumerate(LONG_RUNS)), "doc_id long, text string")
+    got = defaultdict(dict)
+    for r in packing.pack(df).collect():
+        got[r.doc_id][r.start, r.length] = r.ids_crc32
+    for i, text in enumerate(LONG_RUNS):
+        ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+        assert got[i] == {(start, length): zlib.crc32(ids[start : start + length]) for start, length in pieces(len(ids))}
+
+
 def pieces(n):
     start = 0
     while start < n:

@@ -4,6 +4,9 @@ A k-mer of ``K`` consecutive words is an anchor if, of the hashes of its inner r
 or last place. That depends on the k-mer alone, so an edit changes only the anchors that it touches, and of any ``K - S + 1``
 consecutive k-mers one is an anchor. Scripts written without spaces give one word per character.
 
+Likeness is positional: an anchor matches together with the anchor that follows it and with the number of words between them, wherever
+in the other text the two stand. Words that were moved or spread apart don't match, shifted passages do.
+
 Defined cases: null texts are empty; an empty text has no anchors and the fingerprint ""; a text of too few words for an anchor has
 one anchor, the hash of all its words, at place 0; equal texts have equal fingerprints. Only built-in functions run here.
 """
@@ -16,8 +19,8 @@ from pyspark.sql import functions as F
 from tintwalk.llm.common import SPACE, cut, let, ranked, table
 
 K, S = 5, 2
-#: Characters from Thai to the compatibility ideographs, where words mostly stand without spaces; each counts as a word.
-UNSPACED = "([\u0e00-\ufaff])"
+#: Scripts that are written without spaces; each of their characters counts as a word: Thai and Lao, Tibetan, Myanmar, Khmer, kana, Han.
+UNSPACED = "([\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0002fa1f])"
 
 
 def word_hashes(text: Column) -> Column:
@@ -26,11 +29,6 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(spaced, SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _top(hash64: Column) -> Column:
-    """The upper half of a hash, as an int."""
-    return F.shiftright(hash64, 32).cast("int")
-
-
 def _inner(h: Column) -> Column:
     """Hashes of the runs of two words; those of a k-mer at i are at i to i + K - S."""
     return F.zip_with(F.slice(h, F.lit(1), F.size(h) - 1), F.slice(h, F.lit(2), F.size(h) - 1), lambda a, b: F.xxhash64(a, b))
@@ -41,34 +39,37 @@ def _selected(g: Column, made) -> Column:
 
     def at(i: Column) -> Column:
         a, b, c, d = (F.get(g, i + j) for j in range(K - S + 1))
-        return F.when(F.least(a, d) <= F.least(b, c), made(i, _top(F.xxhash64(a, b, c, d))))
+        return F.when(F.least(a, d) <= F.least(b, c), made(i, F.xxhash64(a, b, c, d)))
 
     places = F.when(F.size(g) > K - S, F.sequence(F.lit(0), F.size(g) - (K - S) - 1)).otherwise(F.array().cast("array<int>"))
     return F.filter(F.transform(places, at), lambda x: x.isNotNull())
 
 
 def _of_words(h: Column, made) -> Column:
-    whole = F.array(made(F.lit(0), _top(F.aggregate(h, F.lit(42).cast("long"), lambda s, x: F.xxhash64(s, x)))))
+    whole = F.array(made(F.lit(0), F.aggregate(h, F.lit(42).cast("long"), lambda s, x: F.xxhash64(s, x))))
     found = let(_inner(h), lambda g: _selected(g, made))
     chosen = let(found, lambda a: F.when(F.size(a) > 0, a).otherwise(whole))
     return F.when(F.size(h) == 0, F.slice(whole, F.lit(1), F.lit(0))).when(F.size(h) < K, whole).otherwise(chosen)
 
 
 def anchors(text: Column) -> Column:
-    """array<struct<place int, hash int>>: the anchors of ``text`` by word place, for positional matching."""
+    """array<struct<place int, hash long>>: the anchors of ``text`` by word place, for positional matching over a corpus."""
     made = lambda i, x: F.struct(i.cast("int").alias("place"), x.alias("hash"))
     return let(word_hashes(text), lambda h: _of_words(h, made))
 
 
 def packed(text: Column) -> Column:
-    """array<long>: the anchors of ``text`` by word place, with the place in the upper half of a long and the hash in the lower."""
-    made = lambda i, x: F.shiftleft(i.cast("long"), 32).bitwiseOR(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    """array<long>: the anchors of ``text`` by word place, with the place in the upper half of a long and the upper half of the hash in the lower."""
+    made = lambda i, x: F.shiftleft(i.cast("long"), 32).bitwiseOR(F.shiftrightunsigned(x, 32))
     return let(word_hashes(text), lambda h: _of_words(h, made))
 
 
-def hashes(values: Column) -> Column:
-    """Distinct hashes (32 bits) of packed anchors."""
-    return F.array_distinct(F.transform(values, lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")))
+def positions(values: Column) -> Column:
+    """Distinct hashes (64 bits) of each packed anchor with the one that follows it and the words between them; of a single anchor, its own hash."""
+    low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+    n = F.size(values)
+    pairs = F.zip_with(F.slice(values, F.lit(1), n - 1), F.slice(values, F.lit(2), n - 1), lambda a, b: F.xxhash64(low(a), low(b), F.shiftright(b, 32) - F.shiftright(a, 32)))
+    return F.when(n > 1, F.array_distinct(pairs)).otherwise(F.transform(values, lambda x: F.xxhash64(low(x))))
 
 
 def as_string(values: Column) -> Column:
@@ -110,8 +111,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_anchors``. Rows that share a doc_id all have
     the same next document: the row of the next id whose text hash is smallest. A null doc_id counts as an id before all others.
-    Fingerprints hold all anchors of a text with their places, and likeness is that of the whole sets of their hashes.
-    The texts are shuffled once, by id; the following document's part and hashes come in a second, smaller shuffle.
+    Fingerprints hold all anchors of a text with their places, and likeness is that of the whole sets of their positions.
+    The texts are shuffled once, by id; the following document's part and positions come in a second, smaller shuffle.
     """
     docs = docs.select(F.struct("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     n_chars = F.length("text")
@@ -119,17 +120,25 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     wanted = successors(ids).join(ids.select(F.col("id").alias("prev_id"), F.floor(F.col("longest") / 4).cast("int").alias("part")), "prev_id")
     wanted = cut(wanted, "follows")
     own = docs.repartition("id")  # both joins below read this one exchange
-    sent = own.join(wanted.hint("merge"), "id").select(F.col("prev_id").alias("id"), F.struct(F.xxhash64("text").alias("h"), F.substring(F.col("text"), F.lit(1), F.col("part")).alias("part"), hashes(packed(F.col("text"))).alias("next_hashes")).alias("sent"))
-    sent = sent.groupBy("id").agg(F.min("sent").alias("sent")).select("id", "sent.part", "sent.next_hashes")
+    part = F.substring(F.col("text"), F.lit(1), F.col("part")).alias("part")
+    sent = F.struct(F.xxhash64("text").alias("h"), part, positions(packed(F.col("text"))).alias("next_positions")).alias("sent")
+    sent = own.join(wanted.hint("merge"), "id").select(F.col("prev_id").alias("id"), sent)
+    sent = sent.groupBy("id").agg(F.min("sent").alias("sent")).select("id", "sent.part", "sent.next_positions")
     quarter = F.floor(n_chars / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n_chars - quarter), F.substring(F.col("part"), F.lit(1), quarter))
     both = own.join(sent.hint("merge"), "id").withColumn("edited", edited)
     both = both.withColumn("anchors", packed(F.col("text"))).withColumn("edited_anchors", packed(F.col("edited")))
-    both = both.withColumn("hashes", hashes(F.col("anchors"))).withColumn("edited_hashes", hashes(F.col("edited_anchors")))
+    both = both.withColumn("at", positions(F.col("anchors"))).withColumn("edited_at", positions(F.col("edited_anchors")))
     return both.select(
-        "id.doc_id", n_chars.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_string(F.col("anchors")).alias("fingerprint"), as_string(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"), likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"), F.size("anchors").alias("n_anchors"),
-    )
+        "id.doc_id",
+        n_chars.cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        as_string(F.col("anchors")).alias("fingerprint"),
+        as_string(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("at"), F.col("edited_at")).alias("near_edited"),
+        likeness(F.col("at"), F.col("next_positions")).alias("near_next"),
+        F.size("anchors").alias("n_anchors"),
+    )
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

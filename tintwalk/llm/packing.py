@@ -12,6 +12,7 @@ document and content, so reruns agree.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,23 +25,36 @@ from tintwalk.llm.common import cut, running_total, table
 
 LONGEST = 1024
 END = 0
+LONG = re.compile(r"\s{2000}|\S{2000}")
 
 
-def encoder(ranks_file: str, pattern: str, special: dict[str, int]):
-    """The byte-level BPE in a ranks file, as a function from text to an array of ids; strings of special tokens become their ids."""
+def encoder(tokenizer_file: str, ranks_file: str, pattern: str, special: dict[str, int]):
+    """A function from text to an array of the ids that the tokenizers library gives with ``tokenizer_file`` and add_special_tokens=False.
+
+    Most texts get the same ids from tiktoken, with the same vocabulary as ranks, in a fifth of the time; texts with a run of ``LONG``
+    or more characters of white space, or of others, on which tiktoken's pattern can exhaust its stack, go to tokenizers itself.
+    """
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(ranks_file, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     made = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: made.encode_to_numpy(text, allowed_special="all")
+    slow = Tokenizer.from_file(tokenizer_file)
+
+    def encode(text: str) -> np.ndarray:
+        if LONG.search(text):
+            return np.array(slow.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        return made.encode_to_numpy(text, allowed_special="all")
+
+    return encode
 
 
 def default_encoder():
-    """Same ids as the tokenizers library gives with byte_bpe_50k.json and add_special_tokens=False, from the same vocabulary as ranks."""
     import public_tokenizers
 
-    return encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+    files = (str(public_tokenizers.path(f"byte_bpe_50k.{kind}")) for kind in ("json", "tiktoken"))
+    return encoder(*files, public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
 
 
 def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
@@ -68,18 +82,27 @@ def tokenised(docs: DataFrame, make_encoder=default_encoder, longest: int = LONG
                 totals.append(at)
                 begins.append(len(starts))
             pieces = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (starts, lengths, sums)], fields=list(made.value_type))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pieces).cast(made)], names=["doc_id", "doc_tokens", "pieces"])
+            pieces = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pieces).cast(made)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pieces], names=["doc_id", "doc_tokens", "pieces"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, make_encoder=default_encoder, longest: int = LONGEST) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket``; bucket is log2 of the length."""
-    rows = running_total(cut(tokenised(docs, make_encoder, longest), "tokens"), F.size("pieces"), F.col("doc_id").asc_nulls_first(), F.col("doc_tokens"), F.hash("pieces"), name="packing")
+    order = F.col("doc_id").asc_nulls_first(), F.col("doc_tokens"), F.hash("pieces")
+    rows = running_total(cut(tokenised(docs, make_encoder, longest), "tokens"), F.size("pieces"), *order, name="packing")
     pieces = rows.select("doc_id", "doc_tokens", "before", F.posexplode("pieces").alias("at", "piece"))
     return pieces.select(
-        "doc_id", "piece.start", "piece.length", "piece.ids_crc32", "doc_tokens", (F.col("before") + F.col("at")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.log2("piece.length").cast("int").alias("bucket"),
-    )
+        "doc_id",
+        "piece.start",
+        "piece.length",
+        "piece.ids_crc32",
+        "doc_tokens",
+        (F.col("before") + F.col("at")).alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"),
+        F.log2("piece.length").cast("int").alias("bucket"),
+    )
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
