@@ -5,8 +5,8 @@ weight. A document of a source is to be copied target / words times: the whole p
 so that the words of a source add up. Two documents meet, words are moved from one to the other in a random direction (drawn so that
 both expectations are kept) until one of them is copied a whole number of times, and the other goes on. Groups of ``GROUP`` documents of
 a source, neighbours by size, each leave one residual document; their residuals are grouped again, in a reduction tree whose depth is
-the logarithm of the largest source. The last residual of a source is rounded to the nearer side, so that a source misses its
-target by half a document at most.
+the logarithm of the largest source. The last residual of a source is drawn by its share, so that every expectation is kept and a
+source misses its target by less than that one document.
 
 Defined cases: null texts have size 0 and are taken 0 times; a null source is a source, last in order; repeated rows are rounded each for
 itself; an empty table gives no rows. Draws depend on places in the order of source, size and doc_id alone, so reruns agree.
@@ -36,11 +36,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: fl
     totals = ranked(totals, F.col("source").asc_nulls_last(), name="sources")
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("rank", F.lit(len(weights))).cast("int"))
     totals = cut(totals.select("source", "source_size", "documents", weight.alias("weight"), (F.col("source_size") * float(cap)).alias("most")), "sources")
-    level, before = 0.0, None
-    while level != before:  # the level at which all words are shared rises with each source found full
+    level, known = 0.0, -1
+    while True:  # the level at which all words are shared rises as sources are found full; each turn but the last finds another one
         full = F.col("most") < level * F.col("weight")
-        got = totals.agg(F.sum("source_size"), F.sum(F.when(full, F.col("most")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
-        level, before = ((got[0] - got[1]) / got[2] if got[2] else level), level
+        taken, weight = F.when(full, F.col("most")).otherwise(0.0), F.when(full, 0.0).otherwise(F.col("weight"))
+        words, taken, weight, n = totals.agg(F.sum("source_size"), F.sum(taken), F.sum(weight), F.count(F.when(full, 1))).first()
+        if n == known or not weight:
+            break
+        level, known = (words - taken) / weight, n
     return totals.select("source", "source_size", "documents", F.least("most", F.lit(level) * F.col("weight")).alias("target"))
 
 
@@ -52,16 +55,21 @@ def _met(state: Column, x: Column, level: int, seed: int) -> Column:
     """Two documents meet: the undecided one so far (state.at) and ``x``; words move until one is whole."""
 
     def met(c: Column) -> Column:
-        room = F.struct(((1 - c.share) * c.size).alias("c_up"), (c.share * c.size).alias("c_down"), ((1 - x.share) * x.size).alias("x_up"), (x.share * x.size).alias("x_down"))
-        return let(room, lambda r: let(F.struct(F.least(r.c_up, r.x_down).alias("up"), F.least(r.c_down, r.x_up).alias("down"), r.alias("r")), lambda m: moved(c, m)))
+        ways = {"c_up": (1 - c.share) * c.size, "c_down": c.share * c.size, "x_up": (1 - x.share) * x.size, "x_down": x.share * x.size}
+        room = F.struct(*[way.alias(name) for name, way in ways.items()])
+        most = lambda r: F.struct(F.least(r.c_up, r.x_down).alias("up"), F.least(r.c_down, r.x_up).alias("down"), r.alias("r"))
+        return let(room, lambda r: let(most(r), lambda m: moved(c, m)))
 
     def moved(c: Column, m: Column) -> Column:
         draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), c.place, x.place), 11) * (2.0**-53)
         decided = lambda d, k: F.struct(d.place.alias("place"), F.lit(k).alias("extra"))
-        rest = lambda d, share: F.struct(d.place.alias("place"), d.size.alias("size"), F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)).alias("share"))
+        within = lambda share: F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
+        rest = lambda d, share: F.struct(d.place.alias("place"), d.size.alias("size"), within(share).alias("share"))
         pair = lambda done, left: F.struct(left.alias("at"), F.concat(state.done, F.array(done)).alias("done"))
-        up = F.when(m.r.c_up <= m.r.x_down, pair(decided(c, 1), rest(x, x.share - m.up / x.size))).otherwise(pair(decided(x, 0), rest(c, c.share + m.up / c.size)))
-        down = F.when(m.r.c_down <= m.r.x_up, pair(decided(c, 0), rest(x, x.share + m.down / x.size))).otherwise(pair(decided(x, 1), rest(c, c.share - m.down / c.size)))
+        full, none = pair(decided(c, 1), rest(x, x.share - m.up / x.size)), pair(decided(x, 0), rest(c, c.share + m.up / c.size))
+        up = F.when(m.r.c_up <= m.r.x_down, full).otherwise(none)
+        none, full = pair(decided(c, 0), rest(x, x.share + m.down / x.size)), pair(decided(x, 1), rest(c, c.share - m.down / c.size))
+        down = F.when(m.r.c_down <= m.r.x_up, none).otherwise(full)
         return F.when(draw * (m.up + m.down) < m.down, up).otherwise(down)
 
     return met(state.at)
@@ -71,7 +79,7 @@ def pivotal(units: DataFrame, largest: int, group: int = GROUP, seed: int = SEED
     """Round ``units(stratum long, place long, size double > 0, share double in [0, 1])`` to ``(stratum, place, extra 0 or 1)``.
 
     ``place`` numbers a stratum's units from 0, without gaps; ``largest`` is the number of units of the largest stratum. Per stratum the
-    sum of size times extra is within half a unit's size of the sum of size times share.
+    sum of size times extra is within one unit's size of the sum of size times share.
     """
     unit, decided = "struct<place: bigint, size: double, share: double>", []
     now = units.select("stratum", "place", F.struct("place", "size", "share").cast(unit).alias("unit"))
@@ -87,7 +95,8 @@ def pivotal(units: DataFrame, largest: int, group: int = GROUP, seed: int = SEED
         now = rounded.select("stratum", "place", F.col("r.at").alias("unit"))
         level += 1
         if last:
-            decided.append(now.select("stratum", "unit.place", F.when(F.col("unit.share") >= 0.5, 1).otherwise(0).alias("extra")))
+            draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(-1), "stratum", "unit.place"), 11) * (2.0**-53)
+            decided.append(now.select("stratum", "unit.place", F.when(draw < F.col("unit.share"), 1).otherwise(0).alias("extra")))
             return reduce(DataFrame.unionByName, decided)
 
 
