@@ -1,14 +1,17 @@
 """Information-theoretic sanitisation of personal data.
 
-Base patterns find e-mail and IP addresses, card and phone numbers: the protected entities. Over the whole corpus, words that stand near an
-entity are counted: how many documents hold word and entity together, the word, and the entity. Their pointwise
-mutual information over the entity's information content says how much of the entity the word gives away: 1 if wherever the word stands
-the entity does. Words above ``GENERALISE`` are replaced by a general term, those above ``REMOVE`` are removed, in every document,
-with the entity at hand or without, as the word alone leads to it. Evidence must come from ``SUPPORT`` different surroundings, so that copies of
-one text don't make its words telling.
-
-Defined cases: null texts are empty; texts are read whole; repeated rows get equal results but count as documents; patterns
-don't see case but where written; other columns are ignored. Only built-in functions run here.
+Patterns find the protected entities: e-mail and IP addresses, card and phone numbers (the base), and secrets such as keys and tokens. Over the whole
+corpus, documents are counted that hold an entity, a term, and both, wherever in the document they stand. Their pointwise mutual information
+over the entity's information content is the disclosure: how much of the entity the term gives away, 1 if wherever the term stands the entity does.
+In the documents that hold the entity, terms above ``GENERALISE`` are replaced by a general term and those above ``REMOVE`` are removed. An
+entity that stands in one document only is given away by the terms that hardly stand anywhere else; the larger the corpus, the fewer these are.
+
+Entities that stand in the same documents are one, as nothing tells them apart, and terms that are too frequent to reach the
+threshold with any entity are left out before they are paired. Both are exact.
+
+Defined cases: null texts are empty; texts are read whole; repeated rows get equal results but count as documents; terms are words of two
+letters or digits or more that begin with a letter, outside entities, whatever their case; a document's entity that all documents hold has nothing to
+give away; other columns are ignored. Only built-in functions run here.
 """
 
 from __future__ import annotations
@@ -19,21 +22,23 @@ from pyspark.sql import functions as F
 from tintwalk.llm.common import cut, let, running_in_row, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Code points on either side of an entity whose words count as near it.
-REACH = 64
-GENERALISE, REMOVE, SUPPORT = 0.8, 0.95, 3
-TERM = r"\p{L}{4,}"
-#: Bits of the filter of telling words, a fixed size; words that pass it are then looked up exactly.
-FILTER_BITS = 1 << 18
+#: What the method adds to the base; ranks in lists of spans follow this order.
+ADDED = ("secret", "term")
+GENERALISE, REMOVE = 0.8, 0.95
+TERM = r"\p{L}[\p{L}\p{M}\p{N}]++"
 #: Same matches as the base patterns, written so that a match starts at the first place of a run only and never goes back: linear in the text.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+#: Keys with well-known beginnings, values that are assigned to the name of a secret, and long hexadecimal strings.
+SECRET = (
+    r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}+|sk-[A-Za-z0-9_-]{20,255}+|[0-9a-f]{32,}+(?![A-Za-z0-9])"
+    r"|(?i:api[_-]?key|token|secret|password|passwd)\x20?[=:]\x20?[\"']?[^\s\"']{8,}+)"
+)
 #: Doubled digits of a Luhn sum.
 DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
-REPLACED = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
-GENERAL = "[TERM]"
+REPLACED = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]"}
 
 SPAN = "array<struct<start: int, rank: int, end: int, kind: string, value: string>>"
 
@@ -51,7 +56,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def _valid(kind: str, value: Column) -> Column:
-    if kind == "email":
+    if kind in ("email", "secret"):
         return F.lit(True)
     if kind == "ip":
         part = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -66,90 +71,109 @@ def _found(text: Column, pattern: str, kind: str, valid) -> Column:
     def placed(m: Column) -> Column:
         gaps = F.split(text, pattern, -1)
         ends = running_in_row(F.zip_with(F.slice(gaps, F.lit(1), F.size(m)), m, lambda g, x: F.length(g) + F.length(x)))
-        span = lambda x, end: F.when(valid(x), F.struct((end - F.length(x)).alias("start"), F.lit((*KINDS, "term").index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x.alias("value")))
+        rank, start = F.lit((*KINDS, *ADDED).index(kind)).alias("rank"), lambda x, end: (end - F.length(x)).alias("start")
+        made = lambda x, end: F.struct(start(x, end), rank, end.alias("end"), F.lit(kind).alias("kind"), x.alias("value"))
+        span = lambda x, end: F.when(valid(x), made(x, end))
         return F.filter(F.zip_with(m, ends, span), lambda x: x.isNotNull())
 
     none = F.array().cast(SPAN)
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, placed(m).cast(SPAN)).otherwise(none))
 
 
-def base_spans(text: Column) -> Column:
+def entity_spans(text: Column, kinds: tuple[str, ...] = (*KINDS, "secret")) -> Column:
     """array<struct<start, rank, end, kind, value>>, sorted by start and kind, in code points, ends exclusive. A cheap test per kind spares most texts its pattern."""
-    hint = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9][\x20-]?[0-9]"), "phone": F.contains(text, F.lit("+"))}
-    found = [F.when(hint[kind], _found(text, pattern, kind, lambda x, kind=kind: _valid(kind, x))).otherwise(F.array().cast(SPAN)) for kind, pattern in zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True)]
+    hints = {
+        "email": F.contains(text, F.lit("@")),
+        "ip": text.rlike(r"[0-9]\.[0-9]"),
+        "card": text.rlike(r"[0-9][\x20-]?[0-9]"),
+        "phone": F.contains(text, F.lit("+")),
+        "secret": text.rlike(SECRET),
+    }
+    patterns = dict(zip((*KINDS, "secret"), (EMAIL, IP, CARD, PHONE, SECRET), strict=True))
+    none = F.array().cast(SPAN)
+    found = [F.when(hints[kind], _found(text, patterns[kind], kind, lambda x, kind=kind: _valid(kind, x))).otherwise(none) for kind in kinds]
     return F.sort_array(F.flatten(F.array(*found)))
 
 
+def base_of(spans: Column) -> Column:
+    return F.filter(spans, lambda s: s.kind.isin(*KINDS))
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
 
 
 def terms(text: Column) -> Column:
-    """Distinct words of four letters or more, in lower case."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+    """Distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda x: F.lower(x)))
 
 
-def _near(text: Column, span: Column, other: Column) -> Column:
-    """Text around a span, whole words only."""
-    before = F.regexp_replace(F.substring(text, F.greatest(span.start - REACH, F.lit(0)) + 1, F.least(span.start, F.lit(REACH))), r"^\S*", "")
-    after = F.regexp_replace(F.substring(text, span.end + 1, F.lit(REACH)), r"\S*$", "")
-    return F.concat(before, F.lit(" "), after)
+def outside(text: Column, spans: Column) -> Column:
+    """``text`` with a space in the place of each span."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    before = lambda s, x: F.concat(s.parts, F.array(F.substring(text, s["at"] + 1, F.greatest(x.start - s["at"], F.lit(0)))))
+    add = lambda s, x: F.struct(F.greatest(s["at"], x.end).alias("at"), before(s, x).alias("parts"))
+    rest = lambda s: F.concat_ws(" ", s.parts, F.substring(text, s["at"] + 1, F.length(text)))
+    return F.aggregate(spans, start, add, rest)
 
 
-def disclosing(rows: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
-    """``(term, disclosure, removed)`` from ``rows(text, spans)`` (base spans): the words of the corpus that give an entity away.
+def disclosing(rows: DataFrame, held: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """``(row_key, term, removed)``: what gives away an entity of the same document, from all ``rows(text)`` and those that hold entities, ``held(doc,
+    row_key, text, spans)``, numbered by ``doc``.
 
-    Co-occurrences are counted per entity and word near it, after a map-side distinct; document frequencies over all words of all texts.
-    """
-    docs = rows.count()
-    held = rows.where(F.size("spans") > 0)
-    mention = F.explode(F.transform("spans", lambda s: F.struct(F.concat_ws(":", s.kind, F.lower(s.value)).alias("entity"), _near(F.col("text"), s, s).alias("near"))))
-    mentions = cut(held.select(F.xxhash64("text", F.monotonically_increasing_id()).alias("doc"), mention.alias("m")).select("doc", "m.entity", "m.near"), "mentions")
-    entities = mentions.groupBy("entity").agg(F.countDistinct("doc").alias("n_entity"), F.countDistinct("near").alias("nears")).where(F.col("nears") >= support).drop("nears")
-    pairs = mentions.join(entities, "entity").select("entity", "n_entity", "doc", F.xxhash64("near").alias("near"), F.explode(terms(F.col("near"))).alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.countDistinct("doc").alias("n_both"), F.countDistinct("near").alias("nears"), F.max("n_entity").alias("n_entity")).where(F.col("nears") >= support)
-    frequency = rows.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    content = F.log(F.lit(float(max(docs, 1))) / F.col("n_entity"))
-    information = F.log(F.col("n_both") * float(max(docs, 1)) / (F.col("n_term") * F.col("n_entity")))
-    scored = pairs.join(frequency, "term").withColumn("disclosure", F.when(content > 0, information / content))
-    scored = scored.where(F.col("disclosure") >= generalise).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
-    return cut(scored.withColumn("removed", F.col("disclosure") >= remove), "disclosing")
-
-
-def _filter(found: DataFrame) -> Column:
-    """A bit per hash of a telling word, as an array of longs of fixed size; tests a word's hash."""
-    at = F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS))
-    words = {r[0]: r[1] for r in found.groupBy(F.floor(at / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")))).collect()}
-    bits = F.array(*[F.lit(words.get(i, 0)).cast("long") for i in range(FILTER_BITS // 64)])
-    return lambda word: let(F.pmod(F.xxhash64(word), F.lit(FILTER_BITS)), lambda h: F.getbit(F.get(bits, F.floor(h / 64).cast("int")), (h % 64).cast("int")) == 1)
-
-
-def term_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``(row_key, term_spans)``: the places of telling words in ``rows(row_key, text)``, for texts that hold any.
-
-    A filter of fixed size spares the texts and words that can't match; words that pass it are joined with the telling words exactly.
+    A term in n documents that stands with an entity of m documents in k of them discloses log(N k / n m) / log(N / m). As k is m at
+    most, n must be N ^ (1 - generalise) m ^ generalise at most, which few terms of a document are.
     """
-    passes = _filter(found)
-    rows = rows.where(F.exists(terms(F.col("text")), passes))
-    places = F.filter(_found(F.lower("text"), TERM, "term", lambda x: F.lit(True)), lambda s: passes(s["value"]))
-    words = rows.select("row_key", F.explode(places).alias("s")).withColumn("term", F.col("s.value"))
-    words = words.join(found.select("term", "removed"), "term")
-    return words.groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("s.start", "s.rank", "s.end", F.lit("term").alias("kind"), F.when(F.col("removed"), "").otherwise(GENERAL).alias("value")))).alias("term_spans"))
+    docs = float(max(rows.count(), 1))
+    entity = F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s.kind, F.lower(s.value))))).alias("entity")
+    entities = held.select("doc", entity)
+    place = [F.count(F.lit(1)).alias("n_entity"), F.bit_xor(F.xxhash64("doc")).alias("a"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("b")]
+    group = ["n_entity", "a", "b"]
+    groups = entities.groupBy("entity").agg(*place).where(F.col("n_entity") < docs)
+    grouped = cut(entities.join(groups, "entity").select("doc", *group).distinct(), "entities")
+    most = lambda n: docs ** (1 - generalise) * F.pow(n, F.lit(generalise)) * (1 + 1e-9)
+    top = grouped.agg(F.max(most(F.col("n_entity")))).first()[0] or 0.0
+    frequency = rows.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    rare = held.select("doc", F.explode(terms(outside(F.col("text"), F.col("spans")))).alias("term")).join(frequency.where(F.col("n_term") <= top), "term")
+    pairs = cut(rare.join(grouped, "doc").where(F.col("n_term") <= most(F.col("n_entity"))), "pairs")
+    counts = pairs.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("n_both"), F.max("n_term").alias("n_term"))
+    information = F.log(docs * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+    told = counts.withColumn("disclosure", information / F.log(docs / F.col("n_entity"))).where(F.col("disclosure") >= generalise - 1e-9)
+    told = pairs.join(told.select(*group, "term", "disclosure"), [*group, "term"]).groupBy("doc", "term").agg(F.max("disclosure").alias("disclosure"))
+    told = told.join(held.select("doc", "row_key"), "doc").groupBy("row_key", "term").agg(F.max("disclosure").alias("disclosure"))
+    return cut(told.select("row_key", "term", (F.col("disclosure") >= remove - 1e-9).alias("removed")), "disclosing")
+
+
+def general(word: Column) -> Column:
+    """What kind of word stood there."""
+    return F.when(word.rlike(r"\p{N}"), "[CODE]").when(word.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
+
+
+def term_spans(held: DataFrame, told: DataFrame) -> DataFrame:
+    """``(row_key, term_spans)``: the places outside entities of the terms ``told(row_key, term, removed)`` in their own documents."""
+    places = _found(F.col("text"), TERM, "term", lambda x: F.lit(True))
+    words = held.join(told.select("row_key").distinct(), "row_key", "left_semi").select("row_key", "spans", F.explode(places).alias("s"))
+    words = words.where(~F.exists("spans", lambda x: (x.start < F.col("s.end")) & (x.end > F.col("s.start"))))
+    words = words.select("row_key", "s", F.lower("s.value").alias("term")).join(told, ["row_key", "term"])
+    put = F.when(F.col("removed"), "").otherwise(general(F.col("s.value"))).alias("value")
+    span = F.struct("s.start", "s.rank", "s.end", "s.kind", put)
+    return words.groupBy("row_key").agg(F.sort_array(F.collect_set(span)).alias("term_spans"))
 
 
 def annotate(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
-    """The columns in ``keep``, ``spans`` (base) and ``term_spans`` for each row; rows meet their words by a hash of id and text."""
+    """The columns in ``keep``, ``spans`` (entities) and ``term_spans`` for each row; rows meet their terms by a hash of id and text."""
     key = F.struct("doc_id", F.xxhash64("text").alias("h"))
-    rows = docs.select(*[c for c in keep if c != "text"], F.coalesce("text", F.lit("")).alias("text"), key.alias("row_key")).withColumn("spans", base_spans(F.col("text")))
-    found = disclosing(rows.select("text", "spans"))
-    words = term_spans(rows.select("row_key", "text"), found)
+    rows = docs.select(*[c for c in keep if c != "text"], F.coalesce("text", F.lit("")).alias("text"), key.alias("row_key")).withColumn("spans", entity_spans(F.col("text")))
+    held = rows.where(F.size("spans") > 0).select(F.monotonically_increasing_id().alias("doc"), "row_key", "text", "spans")
+    held = cut(held, "held")  # numbered in a written table, before anything is made of the rows
+    words = term_spans(held, disclosing(rows.select("text"), held))
     light = rows if with_text else rows.drop("text")
     return light.join(words, "row_key", "left").withColumn("term_spans", F.coalesce("term_spans", F.array().cast(SPAN))).drop("row_key")
 
 
 def redact(text: Column, spans: Column, term_spans: Column) -> Column:
-    """``text`` with entities replaced by their kind and telling words by their general term or nothing; overlapping spans go as one."""
+    """``text`` with entities replaced by their kind and telling terms by a general one or nothing; overlapping spans go as one."""
     kinds = F.create_map(*[F.lit(x) for pair in REPLACED.items() for x in pair])
     all_spans = F.sort_array(F.concat(spans, term_spans))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
@@ -167,5 +191,5 @@ def redact(text: Column, spans: Column, term_spans: Column) -> Column:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = annotate(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
-    digest = F.sha2(listed(F.col("spans")).cast("binary"), 256).alias("base_sha256")
+    digest = F.sha2(listed(base_of(F.col("spans"))).cast("binary"), 256).alias("base_sha256")
     return rows.select("doc_id", *[count(kind) for kind in KINDS], digest, listed(F.sort_array(F.concat("spans", "term_spans"))).alias("spans"))
