@@ -4,34 +4,48 @@ Every character n-gram of 1 to 4 code points, inside lower-cased words with edge
 a text is the average of its rows, and a linear layer with softmax gives the probability of each language. After training, table and
 layer are multiplied, so that a text of any length is scored by adding one small row per n-gram.
 
-Training takes a bounded sample, about ``PER_LANGUAGE`` labelled rows of each language drawn by a hash of the id; a part of it is kept
-back to fit the temperature of the softmax and the level of confidence below which a text is rejected.
+Rejection is calibrated. One more class, of no language, is trained on noise made from the sampled texts: shuffled letters, letters exchanged
+within the alphabet, letters of other scripts. Languages are then held back in turn: the level of confidence that best tells their texts from
+those of the other languages is taken, unless it would reject more than ``REJECTED`` of the texts kept back of all languages.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0 and rejected; languages are those of the sample; texts are
-scored whole; an empty or unlabelled table leaves no languages: all is ``und``, and nothing is rejected.
+Training takes a bounded sample: up to ``PER_LANGUAGE`` labelled rows of each of the ``LANGUAGES`` most frequent languages, the first in the
+order of a hash of id and text, and up to ``ENTRIES`` n-gram counts in all.
+
+Defined cases: null texts and texts without a letter (Unicode category L) are ``und`` with score 0 and rejected; languages are those of the sample;
+texts are scored whole; an empty or unlabelled table leaves no languages: all is ``und``, and nothing is rejected.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import sys
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tintwalk.llm.common import lists, table
 
 BUCKETS, LONGEST, DIM = 1 << 15, 4, 16
-PER_LANGUAGE, EPOCHS, RATE, SEED = 1000, 4, 0.5, 5
-#: Of the texts kept back, the share that the level of confidence may reject.
-REJECTED = 0.001
+PER_LANGUAGE, LANGUAGES, ENTRIES = 1000, 256, 12_000_000
+EPOCHS, RATE, SEED = 4, 0.5, 5
+#: Of the texts kept back, the share that the level of confidence may reject; rows of a language and groups of languages to find the level with.
+REJECTED, PER_HELD_BACK, HELD_BACK = 0.002, 250, 4
+#: The class of no language among the labels of the sample, and the code points of a text that its noise is made from.
+OTHER, NOISE = "", 2000
+#: First letters of other scripts for noise: Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, kana, Han, Hangul.
+SCRIPTS = (0x3B1, 0x430, 0x5D0, 0x627, 0x905, 0xE01, 0x3042, 0x4E00, 0xAC00)
 #: Code points hashed at a time, which bounds memory on very long texts.
 CHUNK = 1 << 20
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: What isn't a letter: besides what Python's classes say, numerals such as fractions, which count as word characters there.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+NOT_LETTERS = re.compile(rf"[\W\d_{re.escape(NUMERALS)}]+")
 
 
 def grams(text: str) -> np.ndarray:
@@ -55,16 +69,33 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(found).astype(np.int64)
 
 
+def noise(text: str) -> str:
+    """The beginning of a text as no language has it; which way is drawn from the text itself."""
+    text = text[:NOISE].lower()
+    rng = random.Random(zlib.crc32(text.encode("utf-8", "replace")))
+    letters = [c for c in text if c.isalpha()]
+    way = rng.randrange(3)
+    if way == 0:
+        rng.shuffle(letters)
+        drawn = iter(letters)
+        return "".join(next(drawn) if c.isalpha() else c for c in text)
+    own = sorted(set(letters))
+    first = rng.choice(SCRIPTS)
+    others = own[:] if way == 1 else [chr(first + i % 24) for i in range(len(own))]
+    rng.shuffle(others)
+    return text.translate(dict(zip(map(ord, own), others, strict=True)))
+
+
 @dataclass
 class Model:
     languages: list[str]
-    scores: np.ndarray  # BUCKETS x languages: embedding table times layer
+    scores: np.ndarray  # BUCKETS x (languages and OTHER): embedding table times layer
     bias: np.ndarray
     temperature: float = 1.0
     least: float = 0.0  # confidence below this is rejected
 
     def logits(self, text: str) -> np.ndarray | None:
-        total, n = np.zeros(len(self.languages)), 0
+        total, n = np.zeros(len(self.bias)), 0
         for at in range(0, len(text), CHUNK):
             g = grams(text[at : at + CHUNK])
             counts = np.bincount(g, minlength=0)
@@ -72,13 +103,16 @@ class Model:
             n += len(g)
         return total / n + self.bias if n and len(self.languages) else None
 
+    def sure(self, z: np.ndarray) -> np.ndarray:
+        """Of rows of logits, the probability of the likeliest language."""
+        return softmax(z / self.temperature)[:, : len(self.languages)].max(axis=1)
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         z = self.logits(text or "")
         if z is None:
             return "und", 0.0, not self.languages
-        p = softmax(z[None] / self.temperature)[0]
-        best = int(p.argmax())
-        return self.languages[best], float(p[best]), bool(p[best] >= self.least)
+        sure = float(self.sure(z[None])[0])
+        return self.languages[int(z[: len(self.languages)].argmax())], sure, sure >= self.least
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -86,41 +120,57 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """About ``per_language`` rows of each language of ``docs(doc_id, text, lang)``: language, buckets and how often each occurs.
+Row = tuple[str, np.ndarray, np.ndarray]
+
 
-    The draw is a hash of the id, with each language's chance from its count, so that no group is gathered; buckets are counted on the
-    executors, so that a row that comes to the driver has ``BUCKETS`` entries at most, however long its text.
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, entries: int = ENTRIES) -> list[Row]:
+    """Up to ``per_language`` rows of each language of ``docs(doc_id, text, lang)``: language, buckets and how often each occurs; and rows of noise.
+
+    The first rows of each language in the order of a draw are kept by each partition, then among these; a chance twice as high as needed
+    spares the others. Buckets are counted on the executors; a language's rows end where their counts exceed its part of ``entries``.
     """
     docs = docs.where("lang is not null and text is not null")
-    counts = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chance = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))]) if counts else None
-    if chance is None:
+    counts = {r[0]: r[1] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    if not counts:
         return []
-    drawn = docs.where(draw < chance[F.col("lang")]).select("doc_id", "text", "lang")
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * per_language / n))])
+    drawn = docs.select("lang", "text", draw.alias("draw")).where(F.col("draw") < chance[F.col("lang")])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    drawn = drawn.withColumn("place", first).where(F.col("place") <= per_language)
+
+    def counted(text: str) -> tuple[list[int], list[int]]:
+        found = Counter()
+        for at in range(0, len(text), CHUNK):
+            keys, n = np.unique(grams(text[at : at + CHUNK]), return_counts=True)
+            found.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+        return list(found), list(found.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Counter() for _ in range(len(batch))]
-            for counted, text in zip(found, batch.column(1).to_pylist(), strict=True):
-                for at in range(0, len(text), CHUNK):
-                    keys, n = np.unique(grams(text[at : at + CHUNK]), return_counts=True)
-                    counted.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["doc_id", "lang", "keys", "n"])
-
-    rows = drawn.mapInArrow(run, "doc_id long, lang string, keys array<int>, n array<int>").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    return [(lang, k, n) for lang, k, n in zip(rows.column("lang").to_pylist(), lists(rows, "keys"), lists(rows, "n"), strict=True) if len(k)]
-
-
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
-    """SGD, one text a step, with a rate that falls to nothing; a fifth of the rows is kept back for the calibration."""
-    languages = sorted({r[0] for r in rows})
-    if not languages:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
+            made = []
+            for lang, text, draw, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                made.append((lang, draw, *counted(text)))
+                if place % 2:
+                    made.append((OTHER, draw, *counted(noise(text))))
+            lang, at, keys, n = zip(*made, strict=True) if made else ((), (), (), ())
+            columns = [pa.array(lang, pa.string()), pa.array(at, pa.float64()), *(pa.array(x, pa.list_(pa.int32())) for x in (keys, n))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "draw", "keys", "n"])
+
+    rows = drawn.mapInArrow(run, "lang string, draw double, keys array<int>, n array<int>").where(F.size("keys") > 0)
+    each = Window.partitionBy("lang").orderBy("draw", F.size("keys"))
+    rows = rows.withColumn("held", F.sum(F.size("keys")).over(each)).withColumn("place", F.row_number().over(each))
+    rows = rows.where((F.col("held") <= entries // (len(counts) + 1)) & ((F.col("lang") != OTHER) | (F.col("place") <= 2 * per_language)))
+    found = rows.select("lang", "draw", "keys", "n").toArrow().sort_by([("draw", "ascending"), ("lang", "ascending")])
+    return list(zip(found.column("lang").to_pylist(), lists(found, "keys"), lists(found, "n"), strict=True))
+
+
+def _fit(rows: list[Row], epochs: int, rate: float, seed: int) -> tuple[Model, list[Row], np.ndarray]:
+    """SGD, one text a step, with a rate that falls to nothing; the model, a fifth of the rows that is kept back, and their logits."""
+    languages = sorted({r[0] for r in rows} - {OTHER})
+    classes = {lang: i for i, lang in enumerate([*languages, OTHER])}
     rng = np.random.default_rng(seed)
-    table, layer, bias = rng.normal(0, 1 / DIM, (BUCKETS, DIM)), np.zeros((DIM, len(languages))), np.zeros(len(languages))
+    table, layer, bias = rng.normal(0, 1 / DIM, (BUCKETS, DIM)), np.zeros((DIM, len(classes))), np.zeros(len(classes))
     layer += rng.normal(0, 0.1, layer.shape)
     order = rng.permutation(len(rows))
     kept, fit = order[: len(rows) // 5], order[len(rows) // 5 :]
@@ -131,21 +181,53 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = EPOCHS,
             share = n / n.sum()
             x = share @ table[keys]
             error = softmax((x @ layer + bias)[None])[0]
-            error[languages.index(lang)] -= 1
+            error[classes[lang]] -= 1
             step = rate * (1 - done / steps)
             back = layer @ error
             layer -= step * np.outer(x, error)
             bias -= step * error
             table[keys] -= step * np.sqrt(share)[:, None] * back  # as in adaptive steps, rare n-grams move more than their share
             done += 1
-    model = Model(languages, table @ layer, bias)
-    if len(kept):
-        z = np.stack([(rows[i][2] / rows[i][2].sum()) @ model.scores[rows[i][1]] + bias for i in kept])
-        truth = np.array([languages.index(rows[i][0]) for i in kept])
+    model, held = Model(languages, table @ layer, bias), [rows[i] for i in kept]
+    z = _logits(model, held)
+    if len(held):
+        truth = np.array([classes[r[0]] for r in held])
         loss = lambda t: -np.log(np.maximum(softmax(z / t)[np.arange(len(z)), truth], 1e-12)).mean()
         model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
-        sure = softmax(z / model.temperature).max(axis=1)
-        model.least = float(min(np.quantile(sure, REJECTED), 0.5, 1.4 / len(languages)))
+    return model, held, z
+
+
+def _logits(model: Model, rows: list[Row]) -> np.ndarray:
+    return np.array([(n / n.sum()) @ model.scores[keys] + model.bias for _, keys, n in rows]).reshape(len(rows), len(model.bias))
+
+
+def _level(rows: list[Row], epochs: int, rate: float, seed: int) -> float:
+    """The confidence that best tells texts of known languages from those of languages that were held back, or from noise if there is one language."""
+    few, seen = [], Counter()
+    for row in rows:
+        seen[row[0]] += 1
+        if seen[row[0]] <= PER_HELD_BACK:
+            few.append(row)
+    languages = sorted(set(seen) - {OTHER})
+    known, foreign = [], []
+    for group in range(min(HELD_BACK, len(languages))):
+        out = set(languages[group::HELD_BACK]) if len(languages) > 1 else set()
+        model, held, z = _fit([r for r in few if r[0] not in out], epochs, rate, seed)
+        known += model.sure(z[[r[0] != OTHER for r in held]]).tolist()
+        foreign += model.sure(z[[r[0] == OTHER for r in held]]).tolist() if not out else model.sure(_logits(model, [r for r in few if r[0] in out])).tolist()
+    known, foreign = np.sort(known), np.sort(foreign)
+    levels = np.concatenate([[0.0], foreign])
+    gain = np.searchsorted(foreign, levels, side="right") / max(len(foreign), 1) - np.searchsorted(known, levels, side="right") / max(len(known), 1)
+    return float(np.nextafter(levels[int(gain.argmax())], 1))
+
+
+def train(rows: list[Row], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
+    if not {r[0] for r in rows} - {OTHER}:
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
+    model, held, z = _fit(rows, epochs, rate, seed)
+    own = z[[r[0] != OTHER for r in held]]
+    if len(own):
+        model.least = min(_level(rows, epochs, rate, seed), float(np.quantile(model.sure(own), REJECTED)))
     return model
 
 
