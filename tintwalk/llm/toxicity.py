@@ -7,8 +7,8 @@ chance hardly explains it, and has its log odds for a value; s is the weighted m
 there are few. Weights are never negative: clean words don't make up for toxic ones, however long the text. They are fitted in
 numpy on the likelihood of the grades.
 
-Training takes a bounded sample, about ``PER_GRADE`` labelled rows of each grade drawn by a hash of the id and weighted back to
-their true share; a fifth of it is kept back to choose the probability from which a text counts as toxic.
+Training takes a bounded sample, up to ``PER_GRADE`` labelled rows and ``ENTRIES`` features of each grade, drawn by a hash of the id and
+weighted back to their true share; a fifth of it is kept back to choose the probability from which a text counts as toxic.
 
 Defined cases: null and empty texts have no features, their severity is that of the thresholds alone; texts are read whole; repeated
 rows get equal results; labels that repeat for an id count at their highest; without labelled rows severity is 0 everywhere.
@@ -25,12 +25,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tintwalk.llm.common import lists, table
 
-BUCKETS, PER_GRADE = 1 << 18, 4000
+BUCKETS, PER_GRADE, ENTRIES = 1 << 18, 4000, 4_000_000
 BEGINNINGS, LEVELS = (4, 5, 6), 4
 #: Standard errors of the log odds from which a feature counts; values that stand for nothing in the mean; penalty of squared weights.
 CERTAIN, DRAWN, PENALTY = 2.5, 10.0, 1.0
@@ -93,23 +93,43 @@ def spread(total):
     return 2 * DRAWN / (DRAWN + total)
 
 
-def sample(docs: DataFrame, grades: DataFrame, per_grade: int = PER_GRADE) -> list[tuple[int, float, np.ndarray]]:
-    """(grade, weight, buckets) of about ``per_grade`` rows of each grade; ``grades(doc_id, grade)``. Features are made on the executors."""
-    grades = grades.groupBy("doc_id").agg(F.max("grade").alias("grade")).where("grade is not null")
+def sample(docs: DataFrame, grades: DataFrame, per_grade: int = PER_GRADE, entries: int = ENTRIES) -> list[tuple[int, float, np.ndarray]]:
+    """(grade, weight, buckets) of up to ``per_grade`` rows of each grade; ``grades(doc_id, grade)``. Features are made on the executors.
+
+    The first ids of each grade in the order of a hash are drawn, and of the rows of an id one; a grade's rows end where their features
+    exceed ``entries``, so that what comes to the driver is bounded however long the texts are.
+    """
+    grades = grades.groupBy("doc_id").agg(F.max("grade").alias("grade")).where("grade is not null and doc_id is not null")
     counts = {r[0]: r[1] for r in grades.groupBy("grade").count().collect()}
     if not counts:
         return []
-    chance = F.create_map(*[F.lit(x) for grade, n in counts.items() for x in (grade, min(1.0, per_grade / n))])
+    chance = F.create_map(*[F.lit(x) for grade, n in counts.items() for x in (grade, min(1.0, 2 * per_grade / n))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    few = F.broadcast(grades.where(draw < chance[F.col("grade")]))  # about per_grade ids of each grade, however many labels there are
-    drawn = docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "grade", "text")
+    few = grades.withColumn("draw", draw).where(F.col("draw") < chance[F.col("grade")])
+    few = few.withColumn("place", F.row_number().over(Window.partitionBy("grade").orderBy("draw", "doc_id"))).where(F.col("place") <= per_grade).drop("place")
+    drawn = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # per_grade ids of each grade at most: a proven bound
+    drawn = drawn.withColumn("number", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("number = 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t.as_py()) for t in batch.column(2)], pa.list_(pa.int32()))], names=["doc_id", "grade", "x"])
+            found = pa.array([features(t.as_py()) for t in batch.column(3)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], found], names=["doc_id", "grade", "draw", "x"])
+
+    rows = drawn.select("doc_id", "grade", "draw", "text").mapInArrow(run, "doc_id long, grade int, draw double, x array<int>")
+    held = F.sum(F.size("x")).over(Window.partitionBy("grade").orderBy("draw", "doc_id"))
+    rows = rows.withColumn("held", held).where(F.col("held") <= entries).select("doc_id", "grade", "x").toArrow().sort_by("doc_id")
+    found = rows.column("grade").to_pylist()
+    taken = {grade: found.count(grade) for grade in counts}
+    return [(grade, counts[grade] / taken[grade], x) for grade, x in zip(found, lists(rows, "x"), strict=True)]
+
 
-    rows = drawn.mapInArrow(run, "doc_id long, grade int, x array<int>").toArrow().sort_by("doc_id")
-    return [(grade, max(1.0, counts[grade] / per_grade), x) for grade, x in zip(rows.column("grade").to_pylist(), lists(rows, "x"), strict=True)]
+def likelihood(s: np.ndarray, t: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Negative log likelihood of the grades ``y`` given scores ``s`` and thresholds ``t``, with its gradients by ``s`` and by ``t``."""
+    limits = np.concatenate([[-np.inf], t, [np.inf]])
+    a, b = sigmoid(s - limits[y]), sigmoid(s - limits[y + 1])
+    p = np.maximum(a - b, 1e-9)
+    below, above = (np.bincount(y, weight * x * (1 - x) / p, minlength=len(t) + 1) for x in (a, b))
+    return float(-(weight * np.log(p)).sum()), -weight * (1 - a - b), below[1:] - above[:-1]
 
 
 def train(rows: list[tuple[int, float, np.ndarray]], steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY, seed: int = SEED) -> Model:
@@ -138,11 +158,8 @@ def train(rows: list[tuple[int, float, np.ndarray]], steps: int = STEPS, rate: f
     w_squares, t_squares = np.full(len(names), 1e-6), np.full(top, 1e-6)
     for _ in range(steps):
         s = np.bincount(row, value * w[col], minlength=len(fit))
-        limits = np.concatenate([[-np.inf], t, [np.inf]])
-        a, b = sigmoid(s - limits[y]), sigmoid(s - limits[y + 1])
-        p = np.maximum(a - b, 1e-9)
-        w_back = np.bincount(col, value * (-weight * (1 - a - b))[row], minlength=len(names)) + penalty * w
-        t_back = np.bincount(y, weight * a * (1 - a) / p, minlength=top + 1)[1:] - np.bincount(y, weight * b * (1 - b) / p, minlength=top + 1)[:-1]
+        _, s_back, t_back = likelihood(s, t, y, weight)
+        w_back = np.bincount(col, value * s_back[row], minlength=len(names)) + penalty * w
         w_squares += w_back**2
         t_squares += t_back**2
         w = np.maximum(w - rate * w_back / np.sqrt(w_squares), 0)
