@@ -1,18 +1,23 @@
 """URL filtering by rules and by empirical-Bayes host reputation.
 
-Labelled pages of a host give counts of bad outcomes. Beta-binomial priors shrink them: the mean over all pages is the prior of a
+The outcome of a page is that of the document whose number its path gives (``/language/number``, perhaps with an ending): bad if it is labelled toxic or of
+low quality. Labelled pages of a host give counts of bad outcomes. Beta-binomial priors shrink them: the mean over all pages is the prior of a
 suffix, a suffix's posterior that of its registered domains, a domain's posterior that of its hosts; the strength of each level's
-prior comes from how much its members differ, by moments. A host is blocked if the lower bound of its posterior is above ``LIMIT``.
-Rules come before reputation.
+prior comes from how much its members differ, by moments. A host is blocked if the ``BOUND`` quantile of its beta posterior is above ``RATIO``
+times the share of bad pages among all labelled ones: it is worse than the others beyond what chance explains. Rules come before reputation.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, a host like any other; repeated rows each get their
-verdict; hosts without labelled pages have their domain's posterior; without any labels all pages are allowed but by rule.
+verdict, and each counts as a page; labels that repeat for a document count at their worst; hosts without labelled pages have their domain's
+posterior; without any labels all pages are allowed but by rule.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +25,7 @@ from tintwalk.llm.common import cut, table
 
 #: (rule, verdict); a rule is a host and the start of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-LIMIT, Z = 0.5, 1.645
+BOUND, RATIO = 0.05, 1.0
 #: Suffixes of two labels below which names are registered; any other suffix is the last label.
 LONG_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "org.uk")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,6 +40,11 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, SPLIT, 2), F.lit(""))
 
 
+def item(at: Column) -> Column:
+    """The number of the document that a page shows, from its path."""
+    return F.regexp_extract(at, r"^/[^/]+/([0-9]{1,18})(?:[./]|$)", 1).try_cast("long")
+
+
 def suffix(name: Column) -> Column:
     two = F.substring_index(name, ".", -2)
     return F.when(two.isin(*LONG_SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
@@ -61,6 +71,43 @@ def longest_rule(name: Column, at: Column, rules: Sequence[tuple[str, str]] = RU
     return F.array_max(fitting)
 
 
+def beta_quantile(q: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Quantiles of beta distributions, by bisection on the incomplete beta function."""
+    low, high = np.zeros(len(a)), np.ones(len(a))
+    for _ in range(40):
+        x = (low + high) / 2
+        below = incomplete_beta(x, a, b) < q
+        low, high = np.where(below, x, low), np.where(below, high, x)
+    return (low + high) / 2
+
+
+def incomplete_beta(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """P(X <= x) for X of the beta distribution (a, b): its continued fraction, evaluated on the side where it converges fast."""
+    flip = x > (a + 1) / (a + b + 2)
+    x, a, b = np.where(flip, 1 - x, x), np.where(flip, b, a), np.where(flip, a, b)
+    log_gamma = np.vectorize(math.lgamma, otypes=[float])
+    with np.errstate(divide="ignore"):
+        front = np.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    tiny, value, c, d = 1e-300, np.ones(len(x)), np.ones(len(x)), np.zeros(len(x))
+    for i in range(400):
+        m = i // 2
+        if i == 0:
+            step = np.ones(len(x))
+        elif i % 2 == 0:
+            step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        else:
+            step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 + step * d
+        d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+        c = 1 + step / c
+        c = np.where(np.abs(c) < tiny, tiny, c)
+        value = value * c * d
+        if np.abs(c * d - 1).max(initial=0) < 1e-12:
+            break
+    part = np.clip(front * (value - 1), 0, 1)
+    return np.where(flip, 1 - part, part)
+
+
 def _posterior(children: DataFrame, parents: DataFrame, child: str, parent: str) -> DataFrame:
     """``children(child, parent, n, k)`` with ``mean`` and ``weight`` of each posterior, given ``parents(parent, prior)``."""
     rows = children.join(parents, parent)
@@ -76,7 +123,7 @@ def _posterior(children: DataFrame, parents: DataFrame, child: str, parent: str)
 
 
 def reputation(hosts: DataFrame) -> DataFrame:
-    """``(host, mean, weight, lower)`` from ``hosts(host, n, k)``: labelled pages and bad ones of each host."""
+    """``(host, mean, weight, lower)`` from ``hosts(host, n, k)``: labelled pages and bad ones of each host; ``lower`` is a quantile of the posterior."""
     hosts = cut(hosts.withColumn("domain", domain(F.col("host"))).withColumn("suffix", suffix(F.col("host"))), "hosts")
     sums = [F.sum("n").alias("n"), F.sum("k").alias("k")]
     domains = cut(hosts.groupBy("domain", "suffix").agg(*sums), "domains")
@@ -84,20 +131,31 @@ def reputation(hosts: DataFrame) -> DataFrame:
     top = suffixes.groupBy("all").agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("prior"))
     by_suffix = _posterior(suffixes, top, "suffix", "all").select("suffix", F.col("mean").alias("prior"))
     by_domain = _posterior(domains, by_suffix, "domain", "suffix").select("domain", F.col("mean").alias("prior"))
-    lower = F.col("mean") - Z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
-    return _posterior(hosts, by_domain, "host", "domain").select("host", "mean", "weight", lower.alias("lower"))
+    known = _posterior(hosts, by_domain, "host", "domain").select("host", "mean", "weight")
+
+    def bounded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            mean, weight = part["mean"].to_numpy(), part["weight"].to_numpy()
+            yield part.assign(lower=beta_quantile(BOUND, mean * weight, (1 - mean) * weight))
+
+    return known.mapInPandas(bounded, "host string, mean double, weight double, lower double")
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, limit: float = LIMIT) -> DataFrame:
-    """``page_id, host, path, rule, verdict, bad_mean, bad_lower`` for each row of ``pages(page_id, url)``; ``labels(doc_id, quality, toxic)`` are by page_id."""
-    rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, ratio: float = RATIO) -> DataFrame:
+    """``page_id, host, path, rule, verdict, bad_mean, bad_lower`` for each row of ``pages(page_id, url)``; ``labels(doc_id, quality, toxic)``."""
+    rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).withColumn("item", item(F.col("path")))
     bad = F.coalesce((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit(False)).cast("long")
-    outcomes = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")).groupBy("page_id").agg(F.max("bad").alias("bad"))
-    hosts = rows.join(outcomes, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
+    outcomes = labels.select(F.col("doc_id").alias("item"), bad.alias("bad")).groupBy("item").agg(F.max("bad").alias("bad"))
+    hosts = rows.groupBy("host", "item").count().join(outcomes, "item", "left").groupBy("host")
+    hosts = hosts.agg(F.coalesce(F.sum(F.when(F.col("bad").isNotNull(), F.col("count"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("bad") * F.col("count")), F.lit(0)).alias("k"))
+    hosts = cut(hosts, "hosts")
     known = reputation(hosts)
+    n, k = hosts.agg(F.sum("n"), F.sum("k")).first()
+    limit = ratio * (k or 0) / (n or 1) if n else 1.0
     found = rows.join(known, "host").withColumn("r", longest_rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("lower") > limit, F.lit("block")).otherwise(F.lit("allow")))
-    return found.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), F.col("mean").alias("bad_mean"), F.col("lower").alias("bad_lower"))
+    told = F.col("mean").alias("bad_mean"), F.col("lower").alias("bad_lower")
+    return found.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), *told)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
