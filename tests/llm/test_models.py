@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.tables import DOCS, documents
 from tests.llm.test_documents import roots
@@ -31,6 +32,38 @@ def test_toxicity_on_labels_it_has_not_seen(spark):
     assert np.mean([r.severity for r in caught]) > np.mean([r.severity for r in clean]) + 0.5
 
 
+def test_likelihood_and_its_gradients():
+    """Against the probability of each grade by its definition, and against differences."""
+    rng = np.random.default_rng(1)
+    s, t, y, weight = rng.normal(size=50) * 3, np.array([-0.5, 1.2]), rng.integers(0, 3, 50), rng.uniform(0.5, 2, 50)
+
+    def brute(s, t):
+        total = 0.0
+        for x, grade, w in zip(s, y, weight, strict=True):
+            above = [1.0, *(1 / (1 + math.exp(-(x - k))) for k in t), 0.0]
+            total -= w * math.log(above[grade] - above[grade + 1])
+        return total
+
+    value, by_s, by_t = toxicity.likelihood(s, t, y, weight)
+    assert value == pytest.approx(brute(s, t))
+    for i in range(5):
+        e = np.eye(50)[i] * 1e-5
+        assert by_s[i] == pytest.approx((brute(s + e, t) - brute(s - e, t)) / 2e-5, rel=1e-4, abs=1e-6)
+    for k in range(2):
+        e = np.eye(2)[k] * 1e-5
+        assert by_t[k] == pytest.approx((brute(s, t + e) - brute(s, t - e)) / 2e-5, rel=1e-4)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = [(i % 4, f"word{i} other{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    grades = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, grade int")
+    found = toxicity.sample(docs, grades)
+    assert len(found) == 4 and all(w == 1 for _, w, _ in found)
+    assert len(toxicity.sample(docs, grades, per_grade=1)) == 2
+    assert sum(len(x) for _, _, x in toxicity.sample(docs, grades, entries=10)) <= 20
+
+
 def test_toxicity_edge_cases(spark):
     docs, none = spark.createDataFrame(documents(), DOCS), spark.createDataFrame([], DOCS)
     labels = spark.createDataFrame([(1, 0, 1), (4, 1, 0), (4, 1, 0), (7, None, None), (None, 1, 1), (10, 0, 1)], "doc_id long, quality int, toxic int")
@@ -66,21 +99,72 @@ PAGES = ["http://a.NET/", "https://example.net/en/x?q#f", "x://www.example.net/e
 
 
 def test_rules_are_those_of_brute_force(spark):
-    extra = [f"http://{h}.example.org/{p}" for h in "ab" for p in range(20)]
+    extra = [f"http://{h}.example.org/en/{p + 100 * (h == 'a')}" for h in "ab" for p in range(20)]
     pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(PAGES + extra)], "page_id long, url string, host string, n long")
-    labels = spark.createDataFrame([(i, 0, int(u.startswith("http://a"))) for i, u in enumerate(PAGES + extra) if i >= len(PAGES)], "doc_id long, quality int, toxic int")
-    labels = labels.withColumn("quality", (labels.toxic == 0).cast("int"))
+    labels = spark.createDataFrame([(p + 100 * (h == "a"), int(h == "b"), int(h == "a")) for h in "ab" for p in range(20)], "doc_id long, quality int, toxic int")
     rows = urls.judge(pages, labels).collect()
+    limit = urls.RATIO * 0.5
     assert len(rows) == len(PAGES) + len(extra)
     for r in rows:
         host, path, rule, verdict = brute_rule((PAGES + extra)[r.page_id])
         assert (r.host, r.path, r.rule) == (host, path, rule)
-        assert r.verdict == verdict or verdict is None and r.verdict == ("block" if r.bad_lower > urls.LIMIT else "allow")
+        assert r.verdict == verdict or verdict is None and r.verdict == ("block" if r.bad_lower > limit else "allow")
     by_host = {r.host: r for r in rows}
     assert by_host["a.example.org"].verdict == "block" and by_host["b.example.org"].verdict == "allow"
     assert by_host["a.example.org"].bad_mean < 1 and by_host["b.example.org"].bad_mean > 0
 
 
+def brute_reputation(hosts):
+    """{host: (mean, weight)} from {host: (n, k)}, level by level."""
+    suffix = {h: h.rsplit(".", 1)[-1] for h in hosts}
+    domain = {h: ".".join(h.rsplit(".", 2)[-2:]) for h in hosts}
+
+    def level(members, prior):
+        some = {m: x for m, x in members.items() if x[0]}
+        s = sum((k - n * prior[m]) ** 2 / n / (prior[m] * (1 - prior[m])) for m, (n, k) in some.items())
+        total, squares = sum(n for n, _ in some.values()), sum(n * n for n, _ in some.values())
+        excess = total - squares / total - (len(some) - 1)
+        rho = min(max((s - (len(some) - 1)) / excess, 1e-4), 0.5) if excess > 0 else 0.5
+        strength = 1 / rho - 1
+        return {m: ((strength * prior[m] + k) / (strength + n), strength + n) for m, (n, k) in members.items()}
+
+    def sums(key):
+        out = defaultdict(lambda: (0, 0))
+        for h, (n, k) in hosts.items():
+            out[key[h]] = (out[key[h]][0] + n, out[key[h]][1] + k)
+        return dict(out)
+
+    n, k = map(sum, zip(*hosts.values(), strict=True))
+    by_suffix = level(sums(suffix), dict.fromkeys(suffix.values(), (k + 1) / (n + 2)))
+    by_domain = level(sums(domain), {domain[h]: by_suffix[suffix[h]][0] for h in hosts})
+    return level(hosts, {h: by_domain[domain[h]][0] for h in hosts})
+
+
+def test_posteriors_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(3)
+    hosts = {}
+    for i in range(60):
+        n = int(rng.integers(0, 40))
+        hosts[f"{'ab'[i % 2]}{i}.d{i % 7}.{['org', 'com', 'net'][i % 3]}"] = (n, int(rng.binomial(n, rng.choice([0.05, 0.2, 0.7]))))
+    want = brute_reputation(hosts)
+    rows = urls.reputation(spark.createDataFrame([(h, n, k) for h, (n, k) in hosts.items()], "host string, n long, k long")).collect()
+    assert len(rows) == len(hosts)
+    for r in rows:
+        assert (r["mean"], r.weight) == pytest.approx(want[r.host])
+        drawn = rng.beta(r["mean"] * r.weight, (1 - r["mean"]) * r.weight, 40_000)
+        assert np.mean(drawn <= r.lower) == pytest.approx(urls.BOUND, abs=0.01)
+
+
+def test_page_numbers_are_those_of_documents(spark):
+    """Nearly every page of the supplied table shows the document whose number stands in its path, so that its labels are the page's outcome."""
+    pages, docs = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("pages", "documents"))
+    plain = lambda c: F.regexp_replace(F.lower(F.regexp_replace(c, "<[^>]*>", " ")), r"[^\p{L}]", "")
+    shown = pages.select(urls.item(urls.path(F.col("url"))).alias("doc_id"), plain(F.col("html")).alias("page"))
+    both = shown.join(docs.select("doc_id", plain(F.col("text")).alias("doc")), "doc_id").where("length(doc) > 60")
+    same = both.where(F.contains("page", F.substring("doc", 11, 40))).count()
+    assert same > 0.95 * both.count() > 2000
+
+
 def test_url_edge_cases(spark):
     pages, labels = spark.createDataFrame([(1, "http://x.net/"), (1, "http://x.net/"), (None, None)], "page_id long, url string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = urls.judge(pages, labels).collect()
