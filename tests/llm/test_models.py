@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -175,36 +176,70 @@ def test_url_edge_cases(spark):
 # -- preferences
 
 
+def escape(text):
+    return re.sub(r"<(\\*)\|", lambda m: "<\\" + m[1] + "|", text)
+
+
 def brute_render(turns):
-    return "".join(f"<|{role}|>\n{text}<|end|>\n" for role, text in turns)
+    return "".join(f"<|{escape(role)}|>\n{escape(text)}<|end|>\n" for role, text in turns)
+
+
+def brute_pair(x, y):
+    """n_common, the three texts, and what is trained on in both completions."""
+    n = next((k for k, (s, t) in enumerate(zip(x, y, strict=False)) if s != t), min(len(x), len(y)))
+    trained = [[escape(t) + "<|end|>\n" for role, t in side[n:] if role == "assistant"] for side in (x, y)]
+    return n, brute_render(x[:n]), brute_render(x[n:]), brute_render(y[n:]), *trained
+
+
+def got_pairs(rows):
+    out = {}
+    for r in preferences.whole(rows).collect():
+        masked = [[text[s.start : s.end] for s in mask] for text, mask in ((r.chosen, r.chosen_mask), (r.rejected, r.rejected_mask))]
+        out[r.pair.id] = (r.n_common, r.prompt, r.chosen, r.rejected, *masked)
+    return out
 
 
 def test_preference_pairs(spark):
     rng = random.Random(4)
     a, b = {}, {}
     for i in range(40):
-        base = [(rng.choice(["user", "assistant"]), f"text {rng.randrange(9)} \U0001f600") for _ in range(rng.randrange(6))]
+        base = [(rng.choice(["user", "assistant", "<|end|>"]), f"text {rng.randrange(9)} \U0001f600 <|end|>\n<|user|> <\\|x") for _ in range(rng.randrange(6))]
         a[i] = base + [("assistant", f"a{rng.randrange(3)}") for _ in range(rng.randrange(3))]
         b[i] = base + [("assistant", f"a{rng.randrange(3)}") for _ in range(rng.randrange(3))]
-    turn = "pair_id long, turns array<struct<turn: int, role: string, text: string>>"
-    side = lambda x: spark.createDataFrame([(i, [(k, *t) for k, t in enumerate(turns)]) for i, turns in x.items()], turn)
-    for r in preferences.format_pairs(side(a), side(b)).collect():
-        x, y = a[r.pair_id], b[r.pair_id]
-        n = next((k for k, (s, t) in enumerate(zip(x, y, strict=False)) if s != t), min(len(x), len(y)))
-        assert r.n_common == n and r.prompt == brute_render(x[:n])
-        assert r.chosen == brute_render(x[n:]) and r.rejected == brute_render(y[n:])
-        for text, mask, turns in ((r.chosen, r.chosen_mask, x[n:]), (r.rejected, r.rejected_mask, y[n:])):
-            assert [text[s.start : s.end] for s in mask] == [t + "<|end|>\n" for role, t in turns if role == "assistant"]
+    turns = lambda x: spark.createDataFrame([(i, k, *t) for i, ts in x.items() for k, t in enumerate(ts)], "conv_id int, turn int, role string, text string")
+    rows = preferences.format_pairs(preferences.placed(turns(a)), preferences.placed(turns(b)))
+    want = {i: brute_pair(a[i], b[i]) for i in a if a[i] and b[i]}
+    assert got_pairs(rows) == want
+    assert all(not re.search(r"<\|(?!user\||assistant\||end\||<)", w) for x in want.values() for w in x[1:4])
 
 
 def test_preference_query_and_edge_cases(spark):
-    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "one"), (1, 2, "user", "later"), (2, 0, "user", "no answer"), (3, 1, "assistant", None), (3, 0, None, "q3"), (5, 0, "assistant", "five"), (5, 0, "assistant", "five"), (None, 0, "assistant", "x")]
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "one"), (1, 2, "user", "later"), (1, 3, "assistant", "two"), (2, 0, "user", "no answer"), (3, 1, "assistant", None), (3, 0, None, "q3"), (5, 0, "assistant", "five"), (5, 0, "assistant", "five"), (None, 0, "assistant", "x"), (None, None, "user", "y")]
+    rows += [(9, i, "user" if i % 2 else "assistant", f"long {i}") for i in range(300)]
     turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn int, role string, text string, rank int")
+    by_id = defaultdict(list)
+    for i, turn, role, text in rows:
+        by_id[i].append((-1 if turn is None else turn, role or "", text or ""))
+    by_id = {i: [t[1:] for t in sorted(ts)] for i, ts in by_id.items()}
     chosen, rejected = preferences.swapped_answers(turns)
-    got = {r.pair_id: r for r in preferences.format_pairs(chosen, rejected).collect()}
-    assert sorted(got) == [1, 3, 5]
-    assert got[1].chosen == brute_render([("assistant", "one")]) and got[1].rejected == brute_render([("assistant", "")])
-    assert got[5].prompt == brute_render([("assistant", "five")]) and got[5].rejected == brute_render([("assistant", "one")])
+    sides = [defaultdict(dict), defaultdict(dict)]
+    for side, df in zip(sides, (chosen, rejected), strict=True):
+        for r in df.collect():
+            side[r.pair.id][r.place] = r.role, r.text
+    listed = [{i: [x for _, x in sorted(ts.items())] for i, ts in side.items()} for side in sides]
+    assert listed[0] == by_id
+    order = [None, 1, 3, 5, 9]  # those with an answer, by id
+    for i, ts in by_id.items():
+        changed = [k for k, (x, y) in enumerate(zip(ts, listed[1][i], strict=True)) if x != y]
+        assert len(changed) <= 1 and all(ts[k][0] == listed[1][i][k][0] == "assistant" for k in changed)
+        if i in order:
+            following = by_id[order[(order.index(i) + 1) % len(order)]]
+            assert all(listed[1][i][k] in following for k in changed)
+    assert listed[1][2] == by_id[2]
+    want = {i: brute_pair(ts, listed[1][i]) for i, ts in by_id.items()}
+    found = preferences.format_pairs(chosen, rejected)
+    assert got_pairs(found) == want and any(0 < w[0] < len(by_id[i]) for i, w in want.items())
+    assert found.where("part = 'prompt'").count() == sum(w[0] for w in want.values())
     none = preferences.format_pairs(*preferences.swapped_answers(turns.where("false")))
     assert none.count() == 0
 

@@ -3,9 +3,12 @@
 The prompt is the longest common prefix of turns (same role and text) of both; it is rendered once. Each completion renders the turns
 after it, with a mask of the spans on which a model is trained: the contents and end marks of the assistant's turns.
 
-Defined cases: null roles and texts are empty; turns are ordered by number, then role and text, so repeated numbers have an order;
-equal conversations have empty completions; a conversation that is on one side only has no pair. A conversation is rendered into one row, so
-its turns must fit one executor's memory, as a training example must.
+The first turn in which two sides differ is found by joining them on pair and place and taking the least place that differs, and the result is a row
+per rendered turn with its place in the rendering, so that no conversation is gathered, however long. :func:`whole` gathers pairs that fit a row.
+
+Defined cases: null roles and texts are empty; turns are ordered by number, then role and text, so repeated numbers have an order; a null
+id is a conversation's id like any other; equal conversations are all prompt; a side may be a prefix of the other or empty; a pair that is on one side only is left out.
+Marks inside roles and texts are escaped by a backslash (``<|`` becomes ``<\\|``, ``<\\|`` becomes ``<\\\\|``), so that no turn can forge another.
 """
 
 from __future__ import annotations
@@ -13,73 +16,93 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintwalk.llm.common import cut, let, ranked, running_in_row, table
+from tintwalk.llm.common import cut, ranked, running_total, table
 
 OPEN, CLOSE = "<|{role}|>\n", "<|end|>\n"
 TRAINED = "assistant"
+PARTS = ("prompt", "chosen", "rejected")
 
 
-def conversations(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """``(id_col, turns: array<struct<turn, role, text>>)`` in order."""
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return turns.groupBy(id_col).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+def escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<(\\*+)\|", r"<\\$1|")
 
 
-def common_turns(a: Column, b: Column) -> Column:
-    """Number of leading turns that are the same in both."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce((x.role == y.role) & (x.text == y.text), F.lit(False)))
-    return let(same, lambda s: F.when(F.array_position(s, False) > 0, F.array_position(s, False) - 1).otherwise(F.size(s)).cast("int"))
+def render(role: Column, text: Column) -> Column:
+    before, after = OPEN.split("{role}")
+    return F.concat(F.lit(before), escaped(role), F.lit(after), escaped(text), F.lit(CLOSE))
 
 
-def _opened(turn: Column) -> Column:
-    before, after = OPEN.split("{role}")
-    return F.concat(F.lit(before), turn.role, F.lit(after))
+def placed(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """``(pair, place, role, text)`` of ``turns(id_col, turn, role, text)``: turns numbered from 0 in each conversation; ``pair`` is a struct of the id.
+
+    Turns are ranked as a whole, and a conversation's places begin at its least rank, so that a long one is shared by many tasks.
+    """
+    role, text = F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    rows = turns.select(F.struct(F.col(id_col).alias("id")).alias("pair"), "turn", role, text)
+    rows = ranked(rows, F.col("pair"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text"), name="turns")
+    first = rows.groupBy("pair").agg(F.min("rank").alias("first"))
+    return rows.join(first, "pair").select("pair", (F.col("rank") - F.col("first")).alias("place"), "role", "text")
+
 
+def common_turns(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``(pair, n_common)`` for pairs that have turns on both sides: how many leading turns are the same."""
+    told = lambda df, side: df.select("pair", "place", F.xxhash64("role", "text").alias(f"{side}_1"), F.xxhash64("text", "role", F.lit(1)).alias(f"{side}_2"))
+    both = told(chosen, "a").join(told(rejected, "b"), ["pair", "place"], "full")
+    same = F.coalesce((F.col("a_1") == F.col("b_1")) & (F.col("a_2") == F.col("b_2")), F.lit(False))
+    found = both.groupBy("pair").agg(F.min(F.when(~same, F.col("place"))).alias("differs"), F.max("place").alias("last"), F.count("a_1").alias("a"), F.count("b_1").alias("b"))
+    return found.where("a > 0 and b > 0").select("pair", F.coalesce("differs", F.col("last") + 1).alias("n_common"))
 
-def render(turns: Column) -> Column:
-    return F.array_join(F.transform(turns, lambda t: F.concat(_opened(t), t.text, F.lit(CLOSE))), "")
 
+def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``pair, part, place, n_common, start, text, mask_start, mask_end`` from ``(pair, place, role, text)`` of each side; places from 0, without gaps.
 
-def trained_spans(turns: Column, role: str = TRAINED) -> Column:
-    """array<struct<start, end>> in code points of ``render(turns)``."""
+    A row is a turn as rendered in its ``part`` (prompt, chosen or rejected), which is the concatenation of its rows by place. ``start`` is where it
+    begins there, in code points; the mask is what is trained on, empty (both ends null) but for the assistant's turns.
+    """
+    chosen, rejected = cut(chosen, "chosen"), cut(rejected, "rejected")
+    common = cut(common_turns(chosen, rejected), "common")
 
-    def spans(ends: Column) -> Column:
-        each = F.zip_with(turns, ends, lambda t, end: F.when(t.role == role, F.struct((end - F.length(t.text) - len(CLOSE)).alias("start"), end.alias("end"))))
-        return F.filter(each, lambda x: x.isNotNull())
+    def rendered(side: DataFrame, name: str) -> DataFrame:
+        rows = side.join(common, "pair")
+        part = F.when(F.col("place") < F.col("n_common"), "prompt").otherwise(name).alias("part")
+        rows = rows.select("pair", part, "place", "n_common", "role", F.length(escaped(F.col("text"))).alias("own"), render(F.col("role"), F.col("text")).alias("text"))
+        return rows if name == "chosen" else rows.where("part = 'rejected'")
 
-    return let(running_in_row(F.transform(turns, lambda t: F.length(_opened(t)) + F.length(t.text) + len(CLOSE))), spans)
+    rows = rendered(chosen, "chosen").unionByName(rendered(rejected, "rejected"))
+    rows = running_total(rows, F.length("text"), F.col("pair"), F.col("part"), F.col("place"), name="rendered")
+    base = rows.groupBy("pair", "part").agg(F.min("before").alias("base"))
+    rows = rows.join(base, ["pair", "part"]).withColumn("start", F.col("before") - F.col("base"))
+    trained, end = F.col("role") == TRAINED, F.col("start") + F.length("text")
+    mask = F.when(trained, end - F.col("own") - len(CLOSE)).alias("mask_start"), F.when(trained, end).alias("mask_end")
+    return rows.select("pair", "part", "place", "n_common", "start", "text", *mask)
 
 
-def format_pairs(chosen: DataFrame, rejected: DataFrame, id_col: str = "pair_id") -> DataFrame:
-    """``pair_id, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask`` from ``(pair_id, turns)`` of each side."""
-    pairs = chosen.select(id_col, F.col("turns").alias("a")).join(rejected.select(id_col, F.col("turns").alias("b")), id_col)
-    pairs = pairs.withColumn("n_common", common_turns(F.col("a"), F.col("b")))
-    rest = lambda side: F.slice(F.col(side), F.col("n_common") + 1, F.size(side))
-    return pairs.select(
-        id_col, "n_common", render(F.slice("a", F.lit(1), F.col("n_common"))).alias("prompt"), render(rest("a")).alias("chosen"), render(rest("b")).alias("rejected"),
-        let(rest("a"), lambda t: trained_spans(t)).alias("chosen_mask"), let(rest("b"), lambda t: trained_spans(t)).alias("rejected_mask"),
-    )
+def whole(rows: DataFrame) -> DataFrame:
+    """``pair, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask`` from the rows of :func:`format_pairs`, for pairs that fit a row."""
+    turn = lambda part, *more: F.collect_list(F.when(F.col("part") == part, F.struct("place", *more)))
+    texts = [F.array_join(F.transform(F.sort_array(turn(part, "text")), lambda t: t.text), "").alias(part) for part in PARTS]
+    span = lambda t: F.struct(t.mask_start.alias("start"), t.mask_end.alias("end"))
+    spans = lambda part: F.transform(F.filter(F.sort_array(turn(part, "mask_start", "mask_end")), lambda t: t.mask_start.isNotNull()), span)
+    return rows.groupBy("pair").agg(F.max("n_common").alias("n_common"), *texts, *[spans(part).alias(f"{part}_mask") for part in PARTS[1:]])
 
 
 def swapped_answers(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides of pairs made from a table of conversations ``(conv_id, turn, role, text)``: each conversation up to its last
-    assistant turn, and the same with that turn's text from the next conversation (ascending conv_id, the first after the last) that has an assistant turn.
-    Conversations without one make no pair."""
-    whole = conversations(turns.where("conv_id is not null"))
-    place = lambda t: F.array_max(F.transform(t, lambda x, i: F.when(x.role == TRAINED, i + 1)))
-    whole = whole.withColumn("last", place(F.col("turns"))).where("last is not null")
-    whole = cut(whole.select(F.col("conv_id").alias("pair_id"), F.slice("turns", F.lit(1), F.col("last")).alias("turns")), "conversations")
-    order = ranked(whole.select("pair_id"), F.col("pair_id"), name="order")
+    """Both sides of pairs made from a table of conversations ``(conv_id, turn, role, text)``, which has no preferences of its own.
+
+    A conversation is chosen as it is; rejected is the same with one of its assistant's turns, drawn by a hash, replaced by that drawn from the next
+    conversation (ascending conv_id, the first after the last) that has any. So sides may part at any turn; a conversation without such turns is equal to itself.
+    """
+    rows = cut(placed(turns), "conversations")
+    drawn = F.struct(F.xxhash64("pair", "place").alias("h"), "place", "text")
+    picked = rows.where(F.col("role") == TRAINED).groupBy("pair").agg(F.min(drawn).alias("d")).select("pair", "d.place", "d.text")
+    order = ranked(picked, F.col("pair"), name="order")
     n = order.count()
-    answer = F.element_at("turns", -1)["text"].alias("answer")
-    given = order.join(whole, "pair_id").select(F.pmod(F.col("rank") - 1, F.lit(max(n, 1))).alias("rank"), answer)
-    swap = order.join(given, "rank").select("pair_id", "answer")
-    last = F.element_at("turns", -1)
-    other = F.concat(F.slice("turns", F.lit(1), F.size("turns") - 1), F.array(F.struct(last["turn"].alias("turn"), last["role"].alias("role"), F.col("answer").alias("text"))))
-    return whole, whole.join(swap, "pair_id").select("pair_id", other.alias("turns"))
+    given = order.select(F.pmod(F.col("rank") - 1, F.lit(max(n, 1))).alias("rank"), F.col("text").alias("answer"))
+    swap = order.select("pair", "place", "rank").join(given, "rank").select("pair", "place", "answer")
+    other = rows.join(swap, ["pair", "place"], "left").select("pair", "place", "role", F.coalesce("answer", "text").alias("text"))
+    return rows, other
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen, rejected = swapped_answers(table(spark, sf_dir, "conversations"))
-    spans = lambda c: F.array_join(F.transform(F.col(c), lambda s: F.concat_ws(":", s.start.cast("string"), s.end.cast("string"))), ",").alias(c)
-    return format_pairs(chosen, rejected).select(F.col("pair_id").alias("conv_id"), "n_common", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"))
+    rows = format_pairs(*swapped_answers(table(spark, sf_dir, "conversations")))
+    return rows.select(F.col("pair.id").alias("conv_id"), "part", "place", "n_common", "start", "text", "mask_start", "mask_end")
