@@ -1,10 +1,14 @@
 """Embedding near-duplicates by collision-counting projections.
 
 Unit vectors are projected on many random lines. Two vectors collide on a line if their projections lie within a window centred on
-either. Vectors are dealt into the cells of a few coarse projections and sorted there by one more projection; pairs within its
-window are candidates, their collisions over ``LINES`` further lines are counted, and those with enough of them are verified by
-their cosine in double precision. Cells, tables and the count are calibrated from the normal law of projections, so that a pair at the
-threshold is found with probability ``RECALL`` at least; nearer pairs are found more surely.
+either. Pairs that collide on a sorted line are candidates, their collisions over ``LINES`` further lines are counted, and those with enough of
+them are verified by their cosine in double precision.
+
+Windows on single lines alone hold a fixed share of all pairs, however many lines are counted, so the work would grow with the square of the table.
+The sorted line is therefore laid within cells: vectors are first dealt by a few coarse projections, in several tables with shifted edges, so
+that a pair parted in one meets in another. Cells, tables and the count are calibrated from the normal law of projections, so that a pair at the
+threshold is found with probability ``RECALL`` at least; nearer pairs are found more surely. A row that is sent to its cell carries its
+vector and its place on the line; whether a pair has met in an earlier table is told from projections made anew.
 
 Exact copies are collapsed first and count by their number. A cell with more than ``BLOCK`` vectors is split into blocks that meet
 pairwise in different tasks, so no case is dropped; a pair is taken in the first table in which it meets. Tasks give
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tintwalk.llm.common import components, cut, ranked, table
 
-THRESHOLD, RECALL, LINES, BLOCK, SEED = 0.9, 0.96, 32, 512, 7
+THRESHOLD, RECALL, LINES, BLOCK, SEED = 0.9, 0.96, 32, 256, 7
 #: Width of a coarse cell, half-widths of the windows that find candidates and that count collisions.
 CELL, WINDOW, COUNTED = 2.0, 1.2, 0.6
 #: Vectors of a cell that aren't near, aimed at.
@@ -75,21 +79,26 @@ def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> Plan:
     return Plan(threshold, cells, math.ceil(math.log(1 - recall / tail) / math.log(1 - once)), least)
 
 
+def _projected(unit: np.ndarray, how: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (rows, tables, cells) and places on the sorted lines (rows, tables); sums in a fixed order, so that a vector always has the same."""
+    coarse, shift, sort, _ = how.lines(unit.shape[1])
+    at = np.einsum("nd,tcd->ntc", unit, coarse, optimize=False) + shift
+    return np.floor(at / CELL).astype(np.int64), np.einsum("nd,td->nt", unit, sort, optimize=False).astype(np.float32)
+
+
 def _indexed(batches: Iterator[pa.RecordBatch], how: Plan) -> Iterator[pa.RecordBatch]:
-    """(id, copies, vector) to (id, copies, vector, dim, cells, axes); rows that can't link give an empty array of cells."""
-    made: dict[int, tuple] = {}
+    """(id, copies, vector) to (id, copies, vector, cells, axes); rows that can't link give empty arrays."""
     for batch in batches:
-        cells, axes = [], []
-        for v in batch.column(2):
-            v = _unit(v.as_py())
-            if v is None:
-                cells.append([])
-                axes.append([])
-                continue
-            coarse, shift, sort, _ = made.get(len(v)) or made.setdefault(len(v), how.lines(len(v)))
-            at = np.floor((coarse @ v + shift) / CELL).astype(np.int64)
-            cells.append([hash((len(v), *row)) & 0x7FFFFFFFFFFFFFFF for row in at.tolist()])
-            axes.append((sort @ v).astype(np.float32))
+        cells, axes, units = [[] for _ in range(len(batch))], [[] for _ in range(len(batch))], {}
+        for i, v in enumerate(batch.column(2)):
+            if (v := _unit(v.as_py())) is not None:
+                units.setdefault(len(v), []).append((i, v))
+        for dim, found in units.items():
+            own = [i for i, _ in found]
+            at, axis = _projected(np.stack([v for _, v in found]), how)
+            for i, rows, places in zip(own, at.tolist(), axis, strict=True):
+                cells[i] = [hash((dim, *row)) & 0x7FFFFFFFFFFFFFFF for row in rows]
+                axes[i] = places
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int64())), pa.array(axes, pa.list_(pa.float32()))], names=["id", "copies", "vector", "cells", "axes"])
 
 
@@ -98,11 +107,16 @@ def _unit(v: list | None) -> np.ndarray | None:
         return None
     v = np.array(v, dtype=np.float64)
     top = np.abs(v).max() if np.isfinite(v).all() else 0.0
-    return v / top / np.linalg.norm(v / top) if top > 0 else None
+    return _scaled(v[None])[0] if top > 0 else None
+
+
+def _scaled(raw: np.ndarray) -> np.ndarray:
+    unit = raw / np.abs(raw).max(axis=1, keepdims=True)
+    return unit / np.sqrt(np.einsum("nd,nd->n", unit, unit, optimize=False))[:, None]
 
 
 def _met(batches: Iterator[pa.RecordBatch], how: Plan) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (table, cell, one, other, axis, side, id, copies, vector, cells, axes) to edges (a, b, null) and counts (a, null, n)."""
+    """Sorted rows (table, cell, one, other, axis, side, id, copies, vector) to edges (a, b, null) and counts (a, null, n)."""
     held = None
     for batch in batches:
         held = batch if held is None else pa.concat_batches([held, batch])
@@ -125,9 +139,8 @@ def _linked(rows: pa.RecordBatch, how: Plan) -> Iterator[pa.RecordBatch]:
 def _linked_alike(rows: pa.RecordBatch, raw: np.ndarray, how: Plan) -> pa.RecordBatch:
     number, _, one, other, axis, side, ids, copies = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(8))
     keys = np.stack([rows.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)
-    unit = raw / np.abs(raw).max(axis=1, keepdims=True)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    cells, axes = (np.array(rows.column(i).to_pylist()) for i in (9, 10))
+    unit = _scaled(raw)
+    cells, axes = _projected(unit, how)
     lines = (unit @ how.lines(unit.shape[1])[3].T).astype(np.float32)
     group = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))])
     root, n, edges = list(range(len(ids))), np.zeros(len(ids), dtype=np.int64), []
@@ -150,7 +163,7 @@ def _linked_alike(rows: pa.RecordBatch, raw: np.ndarray, how: Plan) -> pa.Record
             true = np.einsum("ij,ij->i", unit[a], unit[b]) >= how.threshold
             a, b = a[true], b[true]
             before = np.arange(how.tables) < number[a][:, None]
-            first = ~((cells[a] == cells[b]) & (np.abs(axes[a] - axes[b]) <= np.float32(WINDOW)) & before).any(axis=1)
+            first = ~((cells[a] == cells[b]).all(axis=2) & (np.abs(axes[a] - axes[b]) <= np.float32(WINDOW)) & before).any(axis=1)
             a, b = a[first], b[first]
             np.add.at(n, a, copies[b])
             np.add.at(n, b, copies[a])
@@ -161,9 +174,10 @@ def _linked_alike(rows: pa.RecordBatch, raw: np.ndarray, how: Plan) -> pa.Record
                     edges.append((ids[x], ids[y]))
     some = np.flatnonzero(n)
     a, b = [np.array(x, dtype=np.int64) for x in (zip(*edges, strict=True) if edges else ((), ()))]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([a, ids[some]])), pa.array(np.concatenate([b, np.zeros(len(some), dtype=np.int64)]), mask=np.arange(len(a) + len(some)) >= len(a)), pa.array(np.concatenate([np.zeros(len(a), dtype=np.int64), n[some]]))], names=["a", "b", "n"],
-    )
+    none = np.zeros(len(some), dtype=np.int64)
+    ends = pa.array(np.concatenate([b, none]), mask=np.arange(len(a) + len(some)) >= len(a))
+    counts = pa.array(np.concatenate([np.zeros(len(a), dtype=np.int64), n[some]]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, ids[some]])), ends, counts], names=["a", "b", "n"])
 
 
 def link(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -173,7 +187,8 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     classes = cut(rows.groupBy("embedding").agg(F.min("row").alias("id"), F.count("*").alias("copies"), F.min("vec_id").alias("least")), "classes")
     how = plan(classes.count(), threshold, recall)
     element = classes.schema["embedding"].dataType.simpleString()
-    index = classes.select("id", "copies", F.col("embedding").alias("vector")).mapInArrow(lambda b: _indexed(b, how), f"id long, copies long, vector {element}, cells array<long>, axes array<float>")
+    schema = f"id long, copies long, vector {element}, cells array<long>, axes array<float>"
+    index = classes.select("id", "copies", F.col("embedding").alias("vector")).mapInArrow(lambda b: _indexed(b, how), schema)
     index = cut(index, "projections")
     places = index.select("id", F.posexplode("cells").alias("table", "cell"))
     crowded = places.groupBy("table", "cell").count().where(F.col("count") > block).select("table", "cell", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
@@ -182,7 +197,8 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("own", other).alias("one"), F.greatest("own", other).alias("other")))
     spread = spread.withColumn("m", F.explode(meets))
     keys = ["table", "cell", "one", "other"]
-    spread = spread.select("table", "cell", "m.one", "m.other", F.get("axes", F.col("table")).alias("axis"), (F.col("own") == F.col("m.other")).cast("int").alias("side"), "id", "copies", "vector", "cells", "axes")
+    axis, side = F.get("axes", F.col("table")).alias("axis"), (F.col("own") == F.col("m.other")).cast("int").alias("side")
+    spread = spread.select("table", "cell", "m.one", "m.other", axis, side, "id", "copies", "vector")
     found = spread.repartition(*keys).sortWithinPartitions(*keys, "axis", "id").mapInArrow(lambda b: _met(b, how), "a long, b long, n long")
     found = cut(found, "links")
     counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
@@ -195,7 +211,8 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     joined = rows.join(known.withColumnRenamed("embedding", "e"), F.col("embedding").eqNullSafe(F.col("e")))
     component = F.when(F.col("valid") & F.col("vec_id").isNotNull(), F.col("component")).otherwise(F.col("vec_id"))
     links = F.when(F.col("valid"), F.col("n")).otherwise(F.lit(0)).cast("long")
-    return joined.select("vec_id", links.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    kept = F.coalesce(F.col("vec_id") == component, F.lit(False))
+    return joined.select("vec_id", links.alias("n_links"), component.alias("component_id"), kept.alias("kept"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
