@@ -9,6 +9,7 @@ from tintwalk.operators import partitioning, relations
 from tintwalk.plans.checker import Checker
 from tintwalk.sources import text
 from tintwalk.sources.cube import Cube
+from tintwalk.system import EDGE_SCHEMA, TransitionSystem
 
 TEXT = """/* a lamp /* with two */ settings */
 :params dim, bright   # how far it goes
@@ -16,11 +17,13 @@ TEXT = """/* a lamp /* with two */ settings */
 :edges off -> "x+" low, low -(bright)> "x +" high // only if it may
 :edges low -(dim)> low, high -> "x-" off
 :atom "level == 2" = [high]
-:atom "lit" = []
-:atom "lit" = [low, high(bright)]; :verify "EF lit"
-:assert "EX lit" == [off, low]
-:assert "AG lit" == []
-:assert "level" == [high(bright, dim)]
+:atom "lit == 1" = []
+:atom "lit == 1" = [low, high(bright)]; :verify "EF lit == 1"
+:assert "EX lit == 1" == [off, low]
+:assert "AG lit == 1" == [low(dim)]
+:assert "AX false" == []
+:assert "level == 2" == [high(bright, dim)]
+:assert "EF{x+} level == 2" == [high, low(bright), off(bright)]
 """
 
 
@@ -30,12 +33,12 @@ def test_a_description_is_read(spark, tmp_path):
     assert [r.name for r in lamp.state_names.orderBy("state").collect()] == ["high", "low", "off"]
     assert {(r.state, r.part) for r in lamp.parts.collect()} == {(0, 0), (1, 1), (2, 1)}
     assert {tuple(r) for r in lamp.system.edges.collect()} == {(2, 1, "x", "+", 0), (2, 1, "x", "+", 1), (1, 0, "x", "+", 0), (1, 1, None, "TRUE", 1), (0, 2, "x", "-", 0), (0, 2, "x", "-", 1)}
-    assert [r.formula for r in lamp.asked.collect()] == ["EF lit"]
+    assert [r.formula for r in lamp.asked.collect()] == ["EF lit == 1"]
     checker = Checker(lamp.system)
     assert {tuple(r) for r in lamp.named(checker.verify(f.atom("level==2"))).collect()} == {("high", "dim"), ("high", "bright")}
-    assert relations.equal(checker.verify(f.EX(f.atom("lit"))), lamp.expected("EX lit"))
-    assert relations.equal(checker.verify(f.AG(f.FALSE)), lamp.expected("AG lit"))
-    assert not relations.equal(checker.verify(f.TRUE), lamp.expected("level"))
+    assert relations.equal(checker.verify(f.EX(f.atom("lit == 1"))), lamp.expected("EX lit == 1"))
+    assert relations.equal(checker.verify(f.AG(f.FALSE)), lamp.expected("AX false"))
+    assert not relations.equal(checker.verify(f.TRUE), lamp.expected("AX false"))
     assert {tuple(r) for r in lamp.named(checker.verify(f.EF(f.atom("level==2"), f.up("x")))).collect()} == {("high", "dim"), ("high", "bright"), ("low", "bright"), ("off", "bright")}
 
 
@@ -51,7 +54,106 @@ def test_wrong_descriptions(spark, wrong, what):
         text.parse(spark, wrong)
 
 
-@pytest.mark.parametrize("dims, size", [(1, 1), (2, 2), (2, 3)])
+def test_statements_and_their_lines(spark):
+    long = "/* a // b\n * c */ :states a; # d\n\n:edges a -> \"x // +\" b /* e\n /* f */ g */ ; :edges b\n:verify \"p # q\"//r"
+    assert [x for x in text.statements(long) if x[1]] == [(1, ":states a"), (4, ':edges a -> "x // +" b'), (5, ":edges b"), (6, ':verify "p # q"')]
+    with pytest.raises(ValueError, match=r"not a statement: :edges b \(line 3\), a comment"):
+        text.parse(spark, ":states a\n\n:edges b\n/* no end")
+    with pytest.raises(ValueError, match=r"not a declared state: b \(line 2\), c \(line 4\)"):
+        text.parse(spark, ":states a\n:edges a -> b\n\n:edges a -> c")
+    for wrong in (":params(1) a", ":states a,", ":states é", ":states 1a", ":atom p = [a]", ':atom "p" == [a]', ':assert "p" = [a]', ':verify "p" a', ":edges a -()> b", ':states "a" b'):
+        with pytest.raises(ValueError, match="not a statement"):
+            text.parse(spark, f":states a, b\n{wrong}")
+
+
+def test_names_with_digits_and_many_names(spark):
+    """Names that end in digits, numbers for names, and 20,000 states in one line."""
+    many = text.parse(spark, ":states a1, b1, 0, 17, q0\n:states " + ", ".join(f"s{i}" for i in range(20_000)) + "\n:edges a1 -> b1, 17 -> 0" + "".join(f"\n:edges s{i} -> s{i + 1}" for i in range(300)))
+    assert many.state_names.count() == 20_005
+    names = {r.state: r.name for r in many.state_names.where("name in ('a1', 'b1', '0', '17', 's0', 's1')").collect()}
+    assert {(names[r.src], names[r.dst]) for r in many.system.edges.collect() if {r.src, r.dst} <= set(names)} >= {("a1", "b1"), ("17", "0"), ("s0", "s1")}
+    assert many.system.edges.count() == 302
+
+
+def test_a_description_is_asked_and_checked(spark):
+    lamp = text.parse(spark, TEXT)
+    assert {tuple(r) for r in lamp.verify()["EF lit == 1"].collect()} == {(s, c) for s in ("off", "low", "high") for c in ("dim", "bright")}
+    held = {r.formula: r.holds for r in lamp.outcomes().collect()}
+    assert held == {"EX lit == 1": True, "AG lit == 1": True, "AX false": True, "level == 2": True, "EF{x+} level == 2": True}
+    assert lamp.check() == 5
+    wrong = text.parse(spark, TEXT + ':assert "AX lit == 1" == [off(dim), high]')
+    assert not {r.formula: r.holds for r in wrong.outcomes().collect()}["AX lit == 1"]
+    with pytest.raises(AssertionError, match=r"AX lit == 1: too many \(3\): .*low.*; missing \(2\): .*high"):
+        wrong.check()
+
+
+TREE = """:states r; :states r1, r2; :states a, b, c, d
+:edges r -> r1, r -> r2, r1 -> a, r1 -> b, r2 -> c, r2 -> d, a -> a, b -> b, c -> c, d -> d
+:atom "leaf == 1" = [a, b]; :atom "leaf == 2" = [c, d]; :atom "leaf == 11" = [a]; :atom "2*leaf == 0" = [r, r1, r2]; :atom "x:in+" = [r1, a]
+:assert "EX leaf == 1 && ! leaf == 1" == [r1]
+:assert "AX leaf == 2 && ! leaf == 2" == [r2]
+:assert "EX 2 * leaf == 0 && 2*leaf==0" == [r]
+:assert "EF leaf == 11" == [r, r1, a]
+:assert "!(EF leaf == 11 -> EF leaf == 2)" == [r1, a]
+:assert "AF leaf == 1 AU leaf == 11" == [a]
+:assert "EF leaf == 1 EU leaf == 11" == [r, r1, a]
+:assert "exists s in leaf == 11: EF s && !s" == [r, r1]
+:assert "! exists s in leaf == 11: EF s" == [r2, b, c, d]
+:assert "forall s in x:in+: EF s" == [r, r1]
+:assert "EF leaf == 1 && bind x: pAF (EF leaf == 2 && !x)" == [r1]
+:assert "bind x: EX x" == [a, b, c, d]
+:assert "exists x: x && AG AF x" == [a, b, c, d]
+:assert "exists s: at s: x:in+" == [r, r1, r2, a, b, c, d]
+:assert "x:in+ <-> leaf == 1 || false" == [r, r2, a, c, d]
+:assert "pEX 2*leaf == 0 && pEwX true" == [r1, r2, a, b, c, d]
+"""
+
+
+def test_asserts_of_a_tree(spark):
+    assert text.parse(spark, TREE).check() == 16
+
+
+def test_relations_by_hand(spark):
+    colours = spark.createDataFrame([(0,), (1,), (1,)], "colour int")
+    rows = lambda df: sorted(map(tuple, df.select("state", "colour").collect()))
+    assert rows(relations.of_range(spark, 3, 4, colours)) == [(3, 0), (3, 1), (4, 0), (4, 1)]
+    assert rows(relations.of_range(spark, 3, 2, colours)) == []
+    assert rows(relations.of_state(spark, 7, colours)) == [(7, 0), (7, 1)]
+    assert rows(relations.of_map(spark, {1: [2, 2], 5: [], 4: {0, 3}})) == [(1, 2), (4, 0), (4, 3)]
+    assert rows(relations.of_map(spark, {})) == []
+    a, b = relations.of_map(spark, {1: [0, 1]}), relations.of_map(spark, {1: [1], 2: [2]})
+    relations.assert_equal(a, a.unionByName(a))
+    with pytest.raises(AssertionError, match=r"p: too many \(1\): \(1, 0\); missing \(1\): \(2, 2\)"):
+        relations.assert_equal(a, b, "p")
+
+
+def test_modular_boolean_model(spark):
+    """Propositions over states by remainders, in four colours; connectives against sets."""
+    n = 2000
+    holds = {
+        "p": {(s, c) for s in range(0, n, 2) for c in (3, 4, 1 if s % 4 == 0 else 2)},
+        "q": {(s, c) for s in range(0, n, 3) for c in (2, 3, 1 if s % 9 == 0 else 4)},
+        "t": {(s, c) for s in range(0, n, 5) for c in (1, 4, 3 if s % 25 == 0 else 2)},
+    }
+    atoms = spark.createDataFrame([(a, *x) for a, rows in holds.items() for x in rows], "atom string, state long, colour int")
+    states, colours = spark.range(n).withColumnRenamed("id", "state"), spark.createDataFrame([(c,) for c in (1, 2, 3, 4)], "colour int")
+    checker = Checker(TransitionSystem(states, colours, spark.createDataFrame([], EDGE_SCHEMA), atoms))
+    p, q, t, full = holds["p"], holds["q"], holds["t"], {(s, c) for s in range(n) for c in (1, 2, 3, 4)}
+    a, b, c = f.atom("p"), f.atom("q"), f.atom("t")
+    for asked, want in ((a & b, p & q), (a | c, p | t), (~b, full - q), (a.implies(b), (full - p) | q), (a.iff(c), (p & t) | (full - p - t)), (a & ~(b | c) | (b & c & ~a), (p - q - t) | (q & t) - p)):
+        assert {tuple(r) for r in checker.verify(asked).collect()} == want
+
+
+def test_long_chain(spark):
+    cube = Cube(1, 60)
+    checker = Checker(cube.system(spark).restricted_to(spark.createDataFrame([(0,), (30,)], "colour int")))
+    found = {}
+    for r in checker.verify(f.EF(f.where(cube.upper_corner))).collect():
+        found.setdefault(r.colour, set()).add(r.state)
+    assert found == {0: set(range(60)), 30: set(range(30, 60))}
+
+
+@pytest.mark.parametrize("dims, size", [(1, 1), (1, 2), (1, 10), (2, 2), (2, 3), (3, 3), (2, 4), (4, 2)])
 def test_closed_forms_on_cubes(spark, dims, size):
     cube = Cube(dims, size)
     checker = Checker(cube.system(spark))

@@ -255,6 +255,10 @@ pEF, pAF, pEwF, pAwF = _future(False, True, False), _future(True, True, False),
 pEG, pAG, pEU, pAU = _globally(False, True), _globally(True, True), _until(False, True), _until(True, True)
 
 
+def subformulas(f: Formula) -> set[Formula]:
+    return {f}.union(*map(subformulas, f.parts()))
+
+
 @cache
 def free(f: Formula) -> frozenset[str]:
     """Names of states that ``f`` leaves open."""

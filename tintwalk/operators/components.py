@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tintwalk.operators.relations import KEY, difference
+from tintwalk.operators.temporal import closure
 from tintwalk.system import TransitionSystem
 from tintwalk.written import Grown, cut
 
@@ -15,20 +16,21 @@ def sinks(system: TransitionSystem) -> DataFrame:
     return difference(system.space(), system.edges.where("src <> dst").select(F.col("src").alias("state"), "colour"))
 
 
-def least_reachable(system: TransitionSystem) -> DataFrame:
-    """``(state, colour, least)``: the smallest state that is reached. Labels move backwards until none falls; a round follows only those that fell."""
-    edges = system.edges.where("src <> dst").select("src", F.col("dst").alias("state"), "colour").distinct().repartition("state", "colour").persist()
-    now = cut(system.space().withColumn("least", F.col("state")), "labels")
-    moved = now
-    while True:
-        fell = edges.join(moved, KEY).groupBy(F.col("src").alias("state"), "colour").agg(F.min("least").alias("offered"))
-        fell = fell.join(now, KEY).where("offered < least").select(*KEY, F.col("offered").alias("least"))
-        moved = cut(fell, "labels")
-        if moved.isEmpty():
-            edges.unpersist()
-            return now
-        new = moved.withColumnRenamed("least", "offered")
-        now = cut(now.join(new, KEY, "left").select(*KEY, F.coalesce("offered", "least").alias("least")), "labels")
+def least_reachable(space: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(state, colour, least)``: the smallest state that is reached over ``edges(src, dst, colour)``. Labels move backwards until none falls.
+
+    A round follows the labels that fell and writes those that fall again; the label of a state is the smallest that was written for it.
+    """
+    edges = edges.select("src", F.col("dst").alias("state"), "colour").repartition("state", "colour").persist()
+    first = space.select(*KEY, F.col("state").alias("least"))
+    labels = Grown(first.sparkSession, first.schema, "labels")
+    moved = labels.add(first)
+    while moved is not None:
+        offered = edges.join(moved, KEY).where("least < src").groupBy(F.col("src").alias("state"), "colour").agg(F.min("least").alias("least"))
+        now = labels.all().join(offered, KEY, "left_semi").groupBy(*KEY).agg(F.min("least").alias("now"))
+        moved = labels.add(offered.join(now, KEY).where("least < now").select(*KEY, "least"))
+    edges.unpersist()
+    return cut(labels.all().groupBy(*KEY).agg(F.min("least").alias("least")), "least")
 
 
 def terminal_components(system: TransitionSystem) -> DataFrame:
@@ -37,19 +39,16 @@ def terminal_components(system: TransitionSystem) -> DataFrame:
     In a terminal component every state has the same smallest reachable state, its root. From each root the states that share
     its label are followed; a root from which an edge leads to another label belongs to no terminal component.
     """
-    least = least_reachable(system)
-    edges = system.edges.where("src <> dst").select("src", "dst", "colour").distinct()
+    edges = cut(system.edges.where("src <> dst").select("src", "dst", "colour").distinct(), "edges")
+    least = least_reachable(system.space(), edges)
     to = edges.join(least.select(F.col("state").alias("dst"), "colour", F.col("least").alias("to")), ["dst", "colour"])
     to = to.join(least.select(F.col("state").alias("src"), "colour", F.col("least").alias("component")), ["src", "colour"])
-    leaving = cut(to.where("to <> component").select("component", F.col("src").alias("state"), "colour").distinct(), "leaving")
-    staying = to.where("to = component").select("component", F.col("src").alias("state"), F.col("dst").alias("into"), "colour").repartition("component", "state", "colour").persist()
+    stays = (F.col("to") == F.col("component")).alias("stays")
+    to = cut(to.select("component", F.col("src").alias("state"), F.col("dst").alias("into"), "colour", stays), "edges")
+    staying = to.where("stays").drop("stays").repartition("component", "state", "colour").persist()
     roots = least.where("state = least").select(F.col("state").alias("component"), *KEY)
-    found = Grown(roots.sparkSession, roots.schema, "components")
-    new = found.add(roots)
-    while new is not None:
-        step = staying.join(new, ["component", *KEY]).select("component", F.col("into").alias("state"), "colour").distinct()
-        new = found.add(step.join(found.all(), ["component", *KEY], "left_anti"))
+    step = lambda rel: staying.join(rel, ["component", *KEY]).select("component", F.col("into").alias("state"), "colour")
+    within = closure(roots, step, "components")
     staying.unpersist()
-    within = found.all()
-    open_ended = within.join(leaving, ["component", *KEY], "left_semi").select("component", "colour").distinct()
+    open_ended = within.join(to.where("not stays"), ["component", *KEY], "left_semi").select("component", "colour").distinct()
     return within.join(open_ended, ["component", "colour"], "left_anti").select("component", *KEY)

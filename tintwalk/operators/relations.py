@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Mapping
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ["state", "colour"]
@@ -81,5 +83,35 @@ def pretty(rel: DataFrame, colour_names: DataFrame | None = None) -> DataFrame:
     return named.groupBy("state").agg(F.sort_array(F.collect_set("name")).alias("colours"))
 
 
-def at_state(rel: DataFrame, state: Column) -> DataFrame:
-    return rel.where(F.col("state") == state)
+def assert_equal(actual: DataFrame, expected: DataFrame, what: str = "relation", shown: int = 10) -> None:
+    """Raise AssertionError with up to ``shown`` rows that are missing and as many that are too many, if the relations differ."""
+    sides = {"left": "too many", "right": "missing"}
+    rows = different(actual, expected)
+    counts = {r.side: r.n for r in rows.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
+    some = {side: rows.where(F.col("side") == side).drop("side").orderBy(*actual.columns).limit(shown).collect() for side in counts}
+    if some:
+        told = [f"{sides[side]} ({counts[side]}): {', '.join(str(tuple(x)) for x in some[side])}" for side in sorted(some)]
+        raise AssertionError(f"{what}: {'; '.join(told)}")
+
+
+# relations made by hand
+
+
+def of_states(states: DataFrame, colours: DataFrame) -> DataFrame:
+    """All of ``colours`` at each of ``states``; other columns of both are left out."""
+    return states.select("state").distinct().crossJoin(colours.select("colour").distinct())
+
+
+def of_range(spark: SparkSession, first: int, last: int, colours: DataFrame) -> DataFrame:
+    """All of ``colours`` at the states ``first`` to ``last``, both inside; none if ``last`` is before ``first``."""
+    return of_states(spark.range(first, last + 1).withColumnRenamed("id", "state"), colours)
+
+
+def of_state(spark: SparkSession, state: int, colours: DataFrame) -> DataFrame:
+    return of_range(spark, state, state, colours)
+
+
+def of_map(spark: SparkSession, sets: Mapping[int, Iterable[int]]) -> DataFrame:
+    """The colours that are listed for each state; an empty list is no row."""
+    rows = sorted({(state, colour) for state, colours in sets.items() for colour in colours})
+    return spark.createDataFrame(rows, "state long, colour int")

@@ -6,12 +6,17 @@ the round before has added.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tintwalk.operators.relations import KEY, conjunction, difference, names, widened
 from tintwalk.written import Grown, cut
 
+#: A known set of more rows is scanned for the rows that a round reached, instead of being joined as it is.
+FEW = 1_000_000
+
 
 def sources(edges: DataFrame) -> DataFrame:
     """(state, colour) with an edge."""
@@ -22,9 +27,10 @@ def targets(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("state"), "colour").distinct()
 
 
-def step_back(rel: DataFrame, edges: DataFrame) -> DataFrame:
-    """Where an edge leads into ``rel``; rows repeat, one for each edge."""
-    return edges.select("src", F.col("dst").alias("state"), "colour").join(rel, KEY).select(*names(rel), F.col("src").alias("state"), "colour")
+def step_back(rel: DataFrame, edges: DataFrame, *more: str) -> DataFrame:
+    """Where an edge leads into ``rel``; rows repeat, one for each edge. ``more`` columns of the edges are kept."""
+    into = edges.select("src", F.col("dst").alias("state"), "colour", *more)
+    return into.join(rel, KEY).select(*names(rel), F.col("src").alias("state"), "colour", *more)
 
 
 def some_next(rel: DataFrame, edges: DataFrame, along: Column) -> DataFrame:
@@ -39,6 +45,25 @@ def every_next(rel: DataFrame, edges: DataFrame, along: Column) -> DataFrame:
     return got.join(need, KEY).where("got = need").select(*names(rel), *KEY)
 
 
+def closure(seed: DataFrame, step: Callable[[DataFrame], DataFrame], name: str, log: list | None = None) -> DataFrame:
+    """Least relation with the rows of ``seed`` (a set) and all that ``step`` makes of its rows.
+
+    A round takes one step from the rows that the last one has added. What is known already is told from the rows reached: a large known
+    set is scanned for them, and isn't shuffled as long as they can be broadcast.
+    """
+    keys = seed.columns
+    found = Grown(seed.sparkSession, seed.schema, name)
+    new = found.add(seed)
+    while new is not None:
+        rows = step(new).distinct()
+        known = found.all()
+        if found.rows > FEW:
+            known = known.join(rows, keys, "left_semi")
+        new = found.add(rows.join(known, keys, "left_anti"))
+    _logged(found, log)
+    return found.all()
+
+
 def exists_until(path: DataFrame | None, goal: DataFrame, edges: DataFrame, along: Column, states: DataFrame, weak: bool = False, log: list | None = None) -> DataFrame:
     """Least relation with ``goal`` and, of the rows of ``path`` (None: all), those with an edge that goes along and leads into it.
 
@@ -48,52 +73,60 @@ def exists_until(path: DataFrame | None, goal: DataFrame, edges: DataFrame, alon
         goal = _also(goal, sources(edges.where(~along)), states)
     edges = edges.where(along).select("src", "dst", "colour").distinct()
     goal, edges, path = _prepared(path, goal, edges, states)
-    found = Grown(goal.sparkSession, goal.schema, "exists-until")
-    new = found.add(goal)
-    while new is not None:
-        step = step_back(new, edges).distinct()
-        step = conjunction(step, path) if path is not None else step
-        new = found.add(difference(step, found.all()))
-    return _finished(found, edges, log)
 
+    def step(rel: DataFrame) -> DataFrame:
+        back = step_back(rel, edges)
+        return conjunction(back.distinct(), path) if path is not None else back
 
-def every_until(path: DataFrame | None, goal: DataFrame, edges: DataFrame, along: Column, states: DataFrame, weak: bool = False, space: DataFrame | None = None, log: list | None = None) -> DataFrame:
+    done = closure(goal, step, "exists-until", log)
+    edges.unpersist()
+    return done
+
+
+def every_until(
+    path: DataFrame | None,
+    goal: DataFrame,
+    edges: DataFrame,
+    along: Column,
+    states: DataFrame,
+    weak: bool = False,
+    space: DataFrame | None = None,
+    log: list | None = None,
+) -> DataFrame:
     """Least relation with ``goal`` and, of the rows of ``path`` (None: all), those with enabled edges all of which go along and lead into it.
 
-    Each edge is counted once, in the round that its target is added in: a row is added when all its edges are counted. A
-    (state, colour) without edges is never added but as a goal; ``weak`` takes those of ``space`` without an edge that goes along for goals.
+    Each edge is counted once, in the round that its target is added in: a row is added when all its edges are counted. An edge carries
+    how many its source has, so that a round reads the counts of the rows it touches and nothing else. A (state, colour) without edges is
+    never added but as a goal; ``weak`` takes those of ``space`` without an edge that goes along for goals.
     """
     if weak:
         goal = _also(goal, difference(space, sources(edges.where(along))), states)
     each = edges.select("src", "dst", along.alias("goes"), "colour").distinct()
-    stray = each.where(~F.col("goes")).select("src", "colour").distinct()
-    each = each.where("goes").join(stray, ["src", "colour"], "left_anti").select("src", "dst", "colour")
+    need = each.groupBy("src", "colour").agg(F.count(F.lit(1)).alias("need"), F.bool_and("goes").alias("goes")).where("goes").drop("goes")
+    each = each.join(need, ["src", "colour"]).select("src", "dst", "colour", "need")
     goal, each, path = _prepared(path, goal, each, states)
-    need = each.groupBy(F.col("src").alias("state"), "colour").agg(F.count(F.lit(1)).alias("need"))
-    spark, keys = goal.sparkSession, goal.columns
-    found = Grown(spark, goal.schema, "every-until")
-    counted = Grown(spark, goal.withColumn("got", F.lit(0).cast("long")).schema, "counted")
-    new = found.add(goal)
+    goal, keys = cut(goal, "goal"), goal.columns
+    counted = Grown(goal.sparkSession, goal.select("*", F.lit(0).cast("long").alias("got"), F.lit(True).alias("done")).schema, "every-until")
+    new: DataFrame | None = goal
     while new is not None:
-        hit = step_back(new, each).groupBy(*keys).agg(F.count(F.lit(1)).alias("got"))
-        if (hit := counted.add(hit)) is None:
-            break
-        total = counted.all().join(hit.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.sum("got").alias("got"))
-        done = total.join(need, KEY).where("got = need").select(*keys)
-        done = conjunction(done, path) if path is not None else done
-        new = found.add(difference(done, found.all()))
-    return _finished(found, each, log)
+        hit = step_back(new.select(*keys), each, "need").groupBy(*keys).agg(F.count(F.lit(1)).alias("got"), F.max("need").alias("need"))
+        before = counted.all().join(hit, keys, "left_semi").groupBy(*keys).agg(F.sum("got").alias("before"))
+        hit = hit.join(before, keys, "left").withColumn("done", F.col("need") == F.col("got") + F.coalesce("before", F.lit(0)))
+        counts = hit.select(*keys, "got", "done").join(goal, keys, "left_anti")
+        counts = counts if path is None else counts.join(path, [*names(path), *KEY], "left_semi")
+        new = counted.add(counts, F.col("done"))
+    _logged(counted, log)
+    each.unpersist()
+    return goal.unionByName(counted.all().where("done").select(*keys))
 
 
 def _also(goal: DataFrame, more: DataFrame, states: DataFrame) -> DataFrame:
     return goal.unionByName(widened(more, names(goal), states)).distinct()
 
 
-def _finished(found: Grown, edges: DataFrame, log: list | None) -> DataFrame:
-    edges.unpersist()
+def _logged(found: Grown, log: list | None) -> None:
     if log is not None:
         log += [(found.name, at, n) for at, n in enumerate(found.rounds)]
-    return found.all()
 
 
 def _prepared(path: DataFrame | None, goal: DataFrame, edges: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -102,7 +135,8 @@ def _prepared(path: DataFrame | None, goal: DataFrame, edges: DataFrame, states:
     A path without open names is applied to the edges here, once.
     """
     if path is not None and not names(path):
-        edges, path = edges.join(path.withColumnRenamed("state", "src"), ["src", "colour"], "left_semi").select("src", "dst", "colour"), None
+        kept = edges.columns
+        edges, path = edges.join(path.withColumnRenamed("state", "src"), ["src", "colour"], "left_semi").select(*kept), None
     if path is not None:  # read in every round
         path = cut(path, "path")
         goal = widened(goal, names(path), states)
@@ -116,9 +150,7 @@ def reach(seed: DataFrame, edges: DataFrame, forward: bool = True, guard: DataFr
     if guard is not None:
         edges = edges.join(guard.select(F.col("state").alias(into), "colour"), [into, "colour"], "left_semi")
     edges = edges.repartition(out, "colour").persist()
-    found = Grown(seed.sparkSession, seed.select(*KEY).schema, "reach")
-    new = found.add(seed.select(*KEY).distinct())
-    while new is not None:
-        step = edges.join(new.withColumnRenamed("state", out), [out, "colour"]).select(F.col(into).alias("state"), "colour").distinct()
-        new = found.add(difference(step, found.all()))
-    return _finished(found, edges, log)
+    step = lambda rel: edges.join(rel.withColumnRenamed("state", out), [out, "colour"]).select(F.col(into).alias("state"), "colour")
+    done = closure(seed.select(*KEY).distinct(), step, "reach", log)
+    edges.unpersist()
+    return done

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,9 @@ from tintwalk import formula as f
 from tintwalk.operators import relations as r
 from tintwalk.operators import temporal as t
 from tintwalk.system import TransitionSystem
+from tintwalk.written import cut
 
-#: Rows that a complement over open names may have: states to the power of names plus one, times colours.
+#: Rows that a table of all pairs, triples and so on of states may have, which a complement over open names, ``at`` and some quantifiers build.
 LARGEST_SPACE = 10**12
 
 
@@ -32,14 +34,34 @@ class Checker:
         self._known: dict[f.Formula, DataFrame] = {}
         self._past: TransitionSystem | None = None
         self._sizes: tuple[int, int] | None = None
+        self._written = False
 
     def verify(self, query: f.Formula | Mapping[str, f.Formula]) -> DataFrame | dict[str, DataFrame]:
         if isinstance(query, Mapping):
+            self._keep(query.values())
             return {name: self.verify(q) for name, q in query.items()}
         if names := sorted(f.free(query)):
             raise ValueError(f"states that are bound nowhere: {', '.join(names)}")
+        self._declared(query)
+        self._keep([query])
         return self.relation(f.canonical(query)).select(*r.KEY)
 
+    def _keep(self, queries: Iterable[f.Formula]) -> None:
+        """A system whose edges are read more than once is written, so that what it is made from isn't worked out each time."""
+        readers = {part for q in queries for part in f.subformulas(f.canonical(q)) if isinstance(part, f.Next | f.Until | f.Step)}
+        reads = sum(2 if getattr(part, "every", False) or getattr(part, "weak", False) else 1 for part in readers - set(self._known))
+        if not self._written and reads > 1:
+            self.system = replace(self.system, states=cut(self.system.states, "states"), edges=cut(self.system.edges, "edges"))
+            self._past, self._written = None, True
+
+    def _declared(self, query: f.Formula) -> None:
+        """``at`` a state that isn't there would hold nowhere, and its negation nowhere too; so it is refused."""
+        wanted = sorted({q.name for q in f.subformulas(query) if isinstance(q, f.At) and isinstance(q.name, int)})
+        if wanted:
+            known = {row[0] for row in self.system.states.where(F.col("state").isin(wanted)).select("state").distinct().collect()}
+            if missing := [str(name) for name in wanted if name not in known]:
+                raise ValueError(f"not a state: {', '.join(missing)}")
+
     def statistics(self) -> DataFrame:
         """``(fixpoint, round, rows)``: rows that each round of each fixpoint so far has added."""
         return self.system.states.sparkSession.createDataFrame(self.rounds, "fixpoint string, round int, rows long")
@@ -55,11 +77,18 @@ class Checker:
         self._past = self._past or self.system.reversed()
         return self._past.edges
 
+    def _count(self) -> tuple[int, int]:
+        self._sizes = self._sizes or (self.system.states.count(), self.system.colours.count())
+        return self._sizes
+
+    def _allow(self, rows: int, what: str) -> None:
+        if rows > self.largest_space:
+            raise ValueError(f"{what} would have {rows} rows; bound the names, or raise largest_space")
+
     def _space(self, open_names: int) -> DataFrame:
         if open_names:
-            self._sizes = self._sizes or (self.system.states.count(), self.system.colours.count())
-            if (rows := self._sizes[0] ** (open_names + 1) * self._sizes[1]) > self.largest_space:
-                raise ValueError(f"a negation over {open_names} open names would have {rows} rows; bound the names, or raise largest_space")
+            states, colours = self._count()
+            self._allow(states ** (open_names + 1) * colours, f"a negation over {open_names} open names")
         return self.system.space()
 
     def _made(self, q: f.Formula) -> DataFrame:
@@ -88,7 +117,10 @@ class Checker:
             case f.And(left, right):
                 return r.conjunction(self.relation(left), self.relation(right))
             case f.Or(left, right):
-                return r.disjunction(self.relation(left), self.relation(right), states)
+                a, b = self.relation(left), self.relation(right)
+                if set(r.names(a)) != set(r.names(b)):
+                    self._space(len({*r.names(a), *r.names(b)}))
+                return r.disjunction(a, b, states)
             case f.Next(every, past, inner, along):
                 return (t.every_next if every else t.some_next)(self.relation(inner), self._flow(past), along.column())
             case f.Until(every, past, path, goal, along, weak):
@@ -115,6 +147,8 @@ class Checker:
             there = rel.where(F.col("state") == F.col(column)).drop("state")
         else:
             there = rel.withColumnRenamed("state", column)
+        there = cut(there.distinct(), "there")
+        self._allow(there.count() * self._count()[0], "what holds at one state, at every state,")
         there = there.crossJoin(everywhere)
         return there.select(*sorted(r.names(there)), *r.KEY)
 
@@ -125,7 +159,9 @@ class Checker:
             rel = self.relation(inner.inner)
             if column in rel.columns:
                 others = [c for c in r.names(rel) if c not in limits.columns]
-                candidates = limits.join(self.system.states.select("state"))
+                limits = cut(limits, "bound")
+                self._allow(limits.count() * self._count()[0], "a quantifier's bound times all states")
+                candidates = limits.crossJoin(self.system.states.select("state"))
                 candidates = r.widened(candidates, others, self.system.states)
                 return self._dropped(r.difference(candidates, rel), column)
         rel = self.relation(inner)

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tintwalk import formula as f
+from tintwalk import formula_text
 from tintwalk.functions.colours import Arrays, Encoding, Masks, decoded, encoded
 from tintwalk.operators import components, partitioning, relations, temporal
 from tintwalk.plans.checker import Checker
-from tintwalk.sources import tables
+from tintwalk.sources import tables, text
 from tintwalk.sources.cube import Cube
 from tintwalk.system import TransitionSystem
 
@@ -185,10 +186,27 @@ asks("ag_ef_purchase", "journey", f.AG(f.EF(kind("purchase"))), f"SELECT state,
 
 REACH = "tc AS (SELECT src, dst, colour FROM e UNION SELECT tc.src, x.dst, tc.colour FROM tc JOIN e x ON x.src = tc.dst AND x.colour = tc.colour)"
 small = lambda n: f.where(f"state % {n} = 0")
-asks("exists_in", "handoff", f.exists("x", f.EX(f.var("x") & f.EX(small(3))), bound=small(2)), holds("EXISTS (SELECT 1 FROM e x JOIN e y ON y.src = x.dst AND y.colour = x.colour WHERE x.src = state AND x.colour = space.colour AND x.dst % 2 = 0 AND y.dst % 3 = 0)"))
-asks("exists_coloured_bound", "handoff", f.exists("x", f.EX(f.var("x")), bound=f.EX(small(40))), holds("EXISTS (SELECT 1 FROM e x JOIN e y ON y.src = x.dst AND y.colour = x.colour WHERE x.src = state AND x.colour = space.colour AND y.dst % 40 = 0)"))
-asks("exists_unused", "handoff", f.exists("x", small(2), bound=f.EX(small(100))), holds("state % 2 = 0 AND EXISTS (SELECT 1 FROM e y WHERE y.colour = space.colour AND y.dst % 100 = 0)"))
-asks("forall_in", "handoff", f.forall("x", f.EX(f.var("x")), bound=small(20)), holds("NOT EXISTS (SELECT 1 FROM states b WHERE b.state % 20 = 0 AND NOT EXISTS (SELECT 1 FROM e x WHERE x.src = space.state AND x.dst = b.state AND x.colour = space.colour))"))
+TWO_STEPS = "EXISTS (SELECT 1 FROM e x JOIN e y ON y.src = x.dst AND y.colour = x.colour WHERE x.src = state AND x.colour = space.colour AND {})"
+asks(
+    "exists_in",
+    "journey",
+    f.exists("x", f.EX(f.var("x") & f.EX(kind("view"))), bound=kind("purchase")),
+    holds(TWO_STEPS.format(f"{is_kind('purchase', 'x.dst')} AND {is_kind('view', 'y.dst')}")),
+)
+asks("exists_coloured_bound", "journey", f.exists("x", f.EX(f.var("x")), bound=f.EX(kind("error"))), holds(TWO_STEPS.format(is_kind("error", "y.dst"))))
+asks(
+    "exists_unused",
+    "journey",
+    f.exists("x", kind("view"), bound=f.EX(kind("error"))),
+    holds(f"{is_kind('view')} AND EXISTS (SELECT 1 FROM e y WHERE y.colour = space.colour AND {is_kind('error', 'y.dst')})"),
+)
+asks(
+    "forall_in",
+    "handoff",
+    f.forall("x", f.EX(f.var("x")), bound=f.var(5) | f.var(7)),
+    holds("NOT EXISTS (SELECT 1 FROM states b WHERE b.state IN (5, 7) AND NOT EXISTS (SELECT 1 FROM e x WHERE x.src = space.state AND x.dst = b.state AND x.colour = space.colour))"),
+)
+asks("forall_not_in", "hierarchy", f.forall("x", ~f.EX(f.var("x")), bound=level("region")), holds(f"NOT EXISTS (SELECT 1 FROM e x WHERE x.src = state AND x.colour = space.colour AND {is_level('region', 'x.dst')})"))
 asks("exists_free", "handoff", f.exists("x", f.var("x") & f.EX(f.var("x"))), holds("EXISTS (SELECT 1 FROM e x WHERE x.src = state AND x.dst = state AND x.colour = space.colour)"))
 asks("forall_free", "handoff", f.forall("x", f.var("x").implies(f.EX(f.var("x")))), holds("EXISTS (SELECT 1 FROM e x WHERE x.src = state AND x.dst = state AND x.colour = space.colour)"))
 asks("bind_cycle", "journey", f.bind("x", f.EX(f.EF(f.var("x")))), "SELECT src AS state, colour FROM tc WHERE src = dst", ctes=REACH)
@@ -283,28 +301,99 @@ WHERE NOT EXISTS (SELECT 1 FROM open_ended o WHERE o.src = state AND o.colour =
 does("terminal_components", "journey", components.terminal_components, FOUND, ctes=f"{REACH}, {TERMINAL}")
 does("terminal_components_deadlocks", "hierarchy", components.terminal_components, FOUND, ctes=f"{REACH}, {TERMINAL}")
 
-# ---- where rows lie doesn't change what holds
+# ---- parts of the state space; the results of all queries are the same however rows lie, which Spark decides
 
+N = "(SELECT max(state) + 1 FROM states)"
 PARTS = {
-    "single": lambda state, n: (partitioning.single(state), 1),
-    "hash": lambda state, n: (partitioning.hashed(state, 4), 4),
-    "uniform": lambda state, n: (partitioning.uniform(state, 4, n), 4),
-    "interval": lambda state, n: (F.greatest(partitioning.intervals(state, [(0, n // 3), (n // 3 + 1, n)]), F.lit(0)), 2),
-    "block": lambda state, n: (partitioning.blocks(state, 4, n, 16), 4),
+    "single": (lambda state, n: partitioning.single(state), "0"),
+    "hash": (lambda state, n: partitioning.hashed(state, 4), "state % 4"),
+    "uniform": (lambda state, n: partitioning.uniform(state, 4, n), f"state // (({N} + 3) // 4)"),
+    "interval": (lambda state, n: partitioning.intervals(state, [(0, n // 3), (n // 3 + 1, n // 2)]), f"CASE WHEN state <= {N} // 3 THEN 0 WHEN state <= {N} // 2 THEN 1 ELSE -1 END"),
+    "block": (lambda state, n: partitioning.blocks(state, 4, n, 16), f"state // ({N} // 16) % 4"),
 }
 
 
-def _dealt(how):
+def _parted(how) -> Callable[[TransitionSystem], DataFrame]:
     def run(system: TransitionSystem) -> DataFrame:
-        part, parts = how(F.col("state"), system.states.agg(F.max("state")).first()[0] + 1)
-        return Checker(partitioning.dealt(system, part, parts)).verify(f.EF(kind("purchase")))
+        count = system.states.agg(F.max("state")).first()[0] + 1
+        return system.states.select("state", how(F.col("state"), count).alias("part"))
 
     return run
 
 
-for name, how in PARTS.items():
-    does(f"partition_{name}", "journey", _dealt(how), R, ctes=until_ctes(False, "true", is_kind("purchase")))
-does("partition_listed", "journey", lambda s: partitioning.listed(s, s.states.where("state % 2 = 0").select("state", F.lit(3).alias("part"))), "SELECT state, CAST(CASE WHEN state % 2 = 0 THEN 3 ELSE 0 END AS INTEGER) AS part FROM states")
+for name, (how, rule) in PARTS.items():
+    does(f"partition_{name}", "journey", _parted(how), f"SELECT state, CAST({rule} AS INTEGER) AS part FROM states")
+LISTED = lambda s: partitioning.listed(s, s.states.where("state % 2 = 0").select("state", F.lit(3).alias("part")))
+does("partition_listed", "journey", LISTED, "SELECT state, CAST(CASE WHEN state % 2 = 0 THEN 3 ELSE 0 END AS INTEGER) AS part FROM states")
+
+# ---- relations made by hand, and their comparison
+
+FIVE_COLOURS = "range(5) c(colour)"
+does("states_as_relation", "hierarchy", lambda s: relations.of_states(s.states.where("level = 'nation'"), s.colours), holds(is_level("nation")))
+does("range_as_relation", "journey", lambda s: relations.of_range(s.states.sparkSession, 3, 17, s.colours), f"SELECT s AS state, CAST(colour AS INTEGER) AS colour FROM range(3, 18) t(s), {FIVE_COLOURS}")
+does("state_as_relation", "journey", lambda s: relations.of_state(s.states.sparkSession, 7, s.colours), f"SELECT CAST(7 AS BIGINT) AS state, CAST(colour AS INTEGER) AS colour FROM {FIVE_COLOURS}")
+does("map_as_relation", "journey", lambda s: relations.of_map(s.states.sparkSession, {3: [0, 4, 4], 5: [], 9: [2]}), "SELECT CAST(a AS BIGINT) AS state, CAST(b AS INTEGER) AS colour FROM (VALUES (3, 0), (3, 4), (9, 2)) t(a, b)")
+
+
+def _compared(system: TransitionSystem) -> DataFrame:
+    """Whether an assertion of equality passes: of a relation with itself in another order, and with another one."""
+    out, into = temporal.sources(system.edges), temporal.targets(system.edges)
+    rows = []
+    for name, a, b in (("same", out, out.unionByName(out).orderBy("colour")), ("other", out, into)):
+        try:
+            relations.assert_equal(a, b, name)
+            rows.append((name, True))
+        except AssertionError:
+            rows.append((name, False))
+    return system.states.sparkSession.createDataFrame(rows, "pair string, passes boolean")
+
+
+does("assert_equal", "journey", _compared, f"SELECT 'same' AS pair, true AS passes UNION ALL SELECT 'other', NOT EXISTS (({OUT} EXCEPT {IN}) UNION ALL ({IN} EXCEPT {OUT}))")
+
+# ---- text: formulas, and whole descriptions
+
+ASKED = "EX{value+} (2 * user_id + 1 > 40) && !(value:in-) || pEX (user_id / 3 < 2 && value:out+)"
+QUERIES["formula_text"] = lambda spark, sf_dir: Checker(tables.journey(spark, sf_dir)).verify(formula_text.parse(ASKED, f.where, formula_text.step))
+ORACLES["formula_text"] = sql(
+    "journey",
+    holds(f"""{next_sql(False, "2 * (x.dst // 5) + 1 > 40", "x.facet = '+'")} AND NOT EXISTS (SELECT 1 FROM e x WHERE x.dst = state AND x.colour = space.colour AND facet = '-')
+OR EXISTS (SELECT 1 FROM e x WHERE x.dst = state AND x.colour = space.colour AND (x.src // 5) / 3.0 < 2 AND EXISTS (SELECT 1 FROM e y WHERE y.src = x.src AND y.colour = x.colour AND y.facet = '+'))"""),
+)
+
+
+def described(spark: SparkSession, sf_dir: str) -> text.Description:
+    """Nations and regions as a text: a nation leads to its region in the colour of its number's remainder by two."""
+    nations, regions = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("nation", "region"))
+    nation, region = F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey")
+    edge = F.concat(F.lit(":edges "), nation, F.lit(" -("), F.when(F.col("n_nationkey") % 2 == 0, "even").otherwise("odd"), F.lit(')> "up +" '), region)
+    lines = [
+        nations.select(F.concat(F.lit(":states "), nation).alias("line")),
+        regions.select(F.concat(F.lit(":states(1) r"), "r_regionkey").alias("line")),
+        nations.select(edge.alias("line")),
+        regions.select(F.concat(F.lit(":edges r"), "r_regionkey", F.lit(" -> r"), "r_regionkey").alias("line")),
+        regions.agg(F.concat(F.lit(':atom "level == 1" = ['), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("r"), "r_regionkey"))), ", "), F.lit("]")).alias("line")),
+        spark.createDataFrame([(x,) for x in (":params even, odd", ':verify "EF level==1" /* every state', "that */", *ASSERTS)], "line string"),
+    ]
+    rows = lines[0]
+    for more in lines[1:]:
+        rows = rows.unionByName(more)
+    return text.described(rows.agg(F.array_join(F.collect_list("line"), "\n").alias("value")))
+
+
+ASSERTS = (
+    ':assert "level == 1 && EX level==1" == [r0, r1, r2, r3, r4]',
+    ':assert "exists s in level == 1: EX s && !level == 1" == []  # wrong: nations are there',
+    ':assert "false" == []',
+    ':assert "AG level == 1" == [r0, r1, r2, r3, r4]; :assert "pEX{up-} !level == 1" == []',
+)
+NAMED = "(SELECT 'n' || n_nationkey AS state, CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS colour FROM nation UNION ALL SELECT 'r' || r_regionkey, c FROM region, (VALUES ('even'), ('odd')) t(c))"
+QUERIES["text_model"] = lambda spark, sf_dir: described(spark, sf_dir).verify()["EF level==1"]
+ORACLES["text_model"] = f"SELECT * FROM {NAMED}"
+QUERIES["text_states"] = lambda spark, sf_dir: (d := described(spark, sf_dir)).state_names.join(d.parts, "state").select("name", "part")
+ORACLES["text_states"] = "SELECT 'n' || n_nationkey AS name, CAST(0 AS INTEGER) AS part FROM nation UNION ALL SELECT 'r' || r_regionkey, 1 FROM region"
+QUERIES["text_assert"] = lambda spark, sf_dir: described(spark, sf_dir).outcomes()
+ORACLES["text_assert"] = """SELECT * FROM (VALUES ('level == 1 && EX level==1', (SELECT count(*) = 5 FROM region)), ('exists s in level == 1: EX s && !level == 1', (SELECT count(*) = 0 FROM nation)),
+('false', true), ('AG level == 1', (SELECT count(*) = 5 FROM region)), ('pEX{up-} !level == 1', (SELECT count(*) = 0 FROM nation))) t(formula, holds)"""
 
 
 def _cube(spark: SparkSession, sf_dir: str) -> DataFrame:

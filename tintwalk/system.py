@@ -37,7 +37,8 @@ class TransitionSystem:
 
     def reversed(self) -> TransitionSystem:
         """The same system with time turned round: edges swapped and rising directions falling."""
-        edges = self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dir_name", flipped(F.col("dir_facet")).alias("dir_facet"), "colour")
+        facet = flipped(F.col("dir_facet")).alias("dir_facet")
+        edges = self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dir_name", facet, "colour")
         return replace(self, edges=edges)
 
     def deadlocks(self) -> DataFrame:
@@ -46,9 +47,16 @@ class TransitionSystem:
 
     def totalised(self) -> TransitionSystem:
         """With a loop for each (state, colour) that has no enabled edge, so that every path is infinite."""
-        loops = self.deadlocks().select(F.col("state").alias("src"), F.col("state").alias("dst"), F.lit(None).cast("string").alias("dir_name"), F.lit(LOOP).alias("dir_facet"), "colour")
+        none, facet = F.lit(None).cast("string").alias("dir_name"), F.lit(LOOP).alias("dir_facet")
+        loops = self.deadlocks().select(F.col("state").alias("src"), F.col("state").alias("dst"), none, facet, "colour")
         return replace(self, edges=self.edges.select(*loops.columns).unionByName(loops))
 
+    def restricted_to(self, colours: DataFrame) -> TransitionSystem:
+        """The same system under some of its colours only."""
+        few = colours.select("colour").distinct()
+        kept = lambda df: df.join(few, "colour", "left_semi").select(*df.columns)
+        return replace(self, colours=kept(self.colours), edges=kept(self.edges), atoms=None if self.atoms is None else kept(self.atoms))
+
     def is_total(self) -> bool:
         return self.deadlocks().isEmpty()
 
