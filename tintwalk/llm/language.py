@@ -43,14 +43,16 @@ OTHER, NOISE = "", 2000
 SCRIPTS = (0x3B1, 0x430, 0x5D0, 0x627, 0x905, 0xE01, 0x3042, 0x4E00, 0xAC00)
 #: Code points hashed at a time, which bounds memory on very long texts.
 CHUNK = 1 << 20
-#: What isn't a letter: besides what Python's classes say, numerals such as fractions, which count as word characters there.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-NOT_LETTERS = re.compile(rf"[\W\d_{re.escape(NUMERALS)}]+")
+#: What isn't a letter; and numerals such as fractions, which count as word characters to Python, to be taken out afterwards.
+NOT_LETTERS = re.compile(r"[\W\d_]+")
+NUMERALS = {ord(c): " " for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()}
 
 
 def grams(text: str) -> np.ndarray:
     """The bucket of every n-gram of the words of ``text``."""
     words = NOT_LETTERS.sub(" ", text).lower()
+    if not words.isascii() and any(ord(c) in NUMERALS for c in set(words)):
+        words = " ".join(words.translate(NUMERALS).split())
     if not words.strip():
         return np.zeros(0, dtype=np.int64)
     codes = np.frombuffer(f" {words.strip()} ".encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
