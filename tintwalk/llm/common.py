@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 import numpy as np
@@ -9,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tintwalk.written import cut, ranked, shared_folder
+from tintwalk.written import cut, dropped, ranked, shared_folder, written
 
-__all__ = ["SPACE", "WORD", "components", "cut", "let", "lists", "ranked", "running_in_row", "running_total", "shared_folder", "table"]
+__all__ = ["SPACE", "WORD", "components", "cut", "let", "lists", "ranked", "released", "running_in_row", "running_total", "shared_folder", "table"]
 
 #: ASCII white space as the contracts define it, and a word between such characters.
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
@@ -36,6 +37,12 @@ def lists(rows: pa.Table, column: str) -> list[np.ndarray]:
     return np.split(held.flatten().to_numpy(zero_copy_only=False), at[1:-1])
 
 
+def released(spark: SparkSession) -> None:
+    """Let go of the shuffles behind tables that have been written since: Spark keeps them until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def running_total(df: DataFrame, value: Column, *order: Column, name: str = "running") -> DataFrame:
     """``df`` (written) with ``before``: the sum of ``value`` over all rows that precede in ``order``.
 
@@ -73,7 +80,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     step's edges are written to the shared folder. Hub nodes are aggregated map-side and their joins are plain sort-merge joins,
     which Spark splits where a key is hot.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
+    spark = edges.sparkSession
+    now, path = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -83,8 +91,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        large = cut(large, name)
+        large, between = written(large.where("a <> b").distinct(), name)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.greatest("b", "m").alias("x"), F.col("m")).where("x <> m")
-        now = cut(small.union(least.select("a", "m")).toDF("a", "b").distinct(), name)
+        before = path
+        now, path = written(small.union(least.select("a", "m")).toDF("a", "b").distinct(), name)
+        dropped(spark, [before, between])
