@@ -117,9 +117,24 @@ RISES, FALLS = f.up("value"), f.down("value")
 
 asks("atom_true", "journey", f.TRUE, holds("true"))
 asks("atom_false", "journey", f.FALSE, holds("false"))
-asks("atom_float", "journey", f.where("2 * user_id + 1 > 40 AND event_type = 'purchase'"), holds("2 * (state // 5) + 1 > 40 AND " + is_kind("purchase")))
-asks("atom_transition", "journey", f.steps_in(RISES), holds("EXISTS (SELECT 1 FROM e x WHERE x.dst = state AND x.colour = space.colour AND facet = '+')"))
-asks("atom_transition_out", "journey", f.steps_out(FALLS), holds("EXISTS (SELECT 1 FROM e x WHERE x.src = state AND x.colour = space.colour AND facet = '-')"))
+asks(
+    "atom_float",
+    "journey",
+    f.where("2 * user_id + 1 > 40 AND event_type = 'purchase'"),
+    holds("2 * (state // 5) + 1 > 40 AND " + is_kind("purchase")),
+)
+asks(
+    "atom_transition",
+    "journey",
+    f.steps_in(RISES),
+    holds("EXISTS (SELECT 1 FROM e x WHERE x.dst = state AND x.colour = space.colour AND facet = '+')"),
+)
+asks(
+    "atom_transition_out",
+    "journey",
+    f.steps_out(FALLS),
+    holds("EXISTS (SELECT 1 FROM e x WHERE x.src = state AND x.colour = space.colour AND facet = '-')"),
+)
 asks("state_ref", "journey", f.var(12), holds("state = 12"))
 
 
@@ -134,10 +149,25 @@ QUERIES["atom_table"] = _with_atoms
 ORACLES["atom_table"] = sql("journey", "SELECT DISTINCT src AS state, colour FROM e")
 
 asks("bool_not", "journey", ~kind("purchase"), holds(f"NOT ({is_kind('purchase')})"))
-asks("bool_and", "journey", f.EX(kind("view")) & f.EX(kind("click")), holds(f"{next_sql(False, is_kind('view', 'x.dst'))} AND {next_sql(False, is_kind('click', 'x.dst'))}"))
+asks(
+    "bool_and",
+    "journey",
+    f.EX(kind("view")) & f.EX(kind("click")),
+    holds(f"{next_sql(False, is_kind('view', 'x.dst'))} AND {next_sql(False, is_kind('click', 'x.dst'))}"),
+)
 asks("bool_or", "journey", f.EX(kind("view")) | kind("click"), holds(f"{next_sql(False, is_kind('view', 'x.dst'))} OR {is_kind('click')}"))
-asks("bool_implies", "journey", f.EX(kind("view")).implies(kind("click")), holds(f"NOT {next_sql(False, is_kind('view', 'x.dst'))} OR {is_kind('click')}"))
-asks("bool_iff", "journey", f.EX(kind("view")).iff(f.EX(kind("click"))), holds(f"({next_sql(False, is_kind('view', 'x.dst'))}) = ({next_sql(False, is_kind('click', 'x.dst'))})"))
+asks(
+    "bool_implies",
+    "journey",
+    f.EX(kind("view")).implies(kind("click")),
+    holds(f"NOT {next_sql(False, is_kind('view', 'x.dst'))} OR {is_kind('click')}"),
+)
+asks(
+    "bool_iff",
+    "journey",
+    f.EX(kind("view")).iff(f.EX(kind("click"))),
+    holds(f"({next_sql(False, is_kind('view', 'x.dst'))}) = ({next_sql(False, is_kind('click', 'x.dst'))})"),
+)
 
 NEXT = {
     "ex": (f.EX, lambda goal, along="true": next_sql(False, goal, along)),
@@ -146,38 +176,132 @@ NEXT = {
     "awx": (f.AwX, lambda goal, along="true": f"NOT ({next_sql(False, f'NOT ({goal})', along)})"),
 }
 for op, (build, cond) in NEXT.items():
-    asks(op, "hierarchy", build(level("nation") | level("region")), holds(cond(f"{is_level('nation', 'x.dst')} OR {is_level('region', 'x.dst')}")))
-    asks(f"{op}_dir", "journey", build(kind("purchase") | kind("view"), RISES), holds(cond(f"{is_kind('purchase', 'x.dst')} OR {is_kind('view', 'x.dst')}", "x.facet = '+'")))
+    asks(
+        op,
+        "hierarchy",
+        build(level("nation") | level("region")),
+        holds(cond(f"{is_level('nation', 'x.dst')} OR {is_level('region', 'x.dst')}")),
+    )
+    asks(
+        f"{op}_dir",
+        "journey",
+        build(kind("purchase") | kind("view"), RISES),
+        holds(cond(f"{is_kind('purchase', 'x.dst')} OR {is_kind('view', 'x.dst')}", "x.facet = '+'")),
+    )
 for op, build in {"ex": f.pEX, "ax": f.pAX, "ewx": f.pEwX, "awx": f.pAwX}.items():
-    asks(f"p_{op}", "hierarchy", build(level("order") | level("customer")), holds(NEXT[op][1](f"{is_level('order', 'x.dst')} OR {is_level('customer', 'x.dst')}")), past=True)
+    asks(
+        f"p_{op}",
+        "hierarchy",
+        build(level("order") | level("customer")),
+        holds(NEXT[op][1](f"{is_level('order', 'x.dst')} OR {is_level('customer', 'x.dst')}")),
+        past=True,
+    )
 asks("p_ex_dir", "journey", f.pEX(kind("view"), RISES), holds(next_sql(False, is_kind("view", "x.dst"), "x.facet = '+'")), past=True)
-asks("dir_and_or_not", "journey", f.EX(kind("view"), ~RISES & (FALLS | ~FALLS)), holds(next_sql(False, is_kind("view", "x.dst"), "x.facet <> '+'")))
-asks("dir_implies_iff", "journey", f.EX(kind("view"), RISES.implies(FALLS) | RISES.iff(FALLS)), holds(next_sql(False, is_kind("view", "x.dst"), "x.facet <> '+'")))
+asks(
+    "dir_and_or_not",
+    "journey",
+    f.EX(kind("view"), ~RISES & (FALLS | ~FALLS)),
+    holds(next_sql(False, is_kind("view", "x.dst"), "x.facet <> '+'")),
+)
+asks(
+    "dir_implies_iff",
+    "journey",
+    f.EX(kind("view"), RISES.implies(FALLS) | RISES.iff(FALLS)),
+    holds(next_sql(False, is_kind("view", "x.dst"), "x.facet <> '+'")),
+)
 asks("dir_loop", "journey", f.EX(f.TRUE, f.LOOPING), holds("false"), total=True)
 
 asks("ef", "journey", f.EF(kind("purchase")), R, ctes=until_ctes(False, "true", is_kind("purchase")))
-asks("eu", "journey", f.EU(kind("view") | kind("click"), kind("purchase")), R, ctes=until_ctes(False, f"{is_kind('view')} OR {is_kind('click')}", is_kind("purchase")))
+asks(
+    "eu",
+    "journey",
+    f.EU(kind("view") | kind("click"), kind("purchase")),
+    R,
+    ctes=until_ctes(False, f"{is_kind('view')} OR {is_kind('click')}", is_kind("purchase")),
+)
 asks("eu_false", "journey", f.EU(f.FALSE, kind("purchase")), R, ctes=until_ctes(False, "false", is_kind("purchase")))
 asks("p_ef", "journey", f.pEF(kind("signup")), R, past=True, ctes=until_ctes(False, "true", is_kind("signup")))
-asks("p_eu", "journey", f.pEU(kind("view") | kind("click"), kind("signup")), R, past=True, ctes=until_ctes(False, f"{is_kind('view')} OR {is_kind('click')}", is_kind("signup")))
+asks(
+    "p_eu",
+    "journey",
+    f.pEU(kind("view") | kind("click"), kind("signup")),
+    R,
+    past=True,
+    ctes=until_ctes(False, f"{is_kind('view')} OR {is_kind('click')}", is_kind("signup")),
+)
 asks("ef_dir", "journey", f.EF(kind("purchase"), RISES), R, ctes=until_ctes(False, "true", is_kind("purchase"), "x.facet = '+'"))
-asks("eu_dir", "journey", f.EU(kind("view"), kind("purchase"), ~FALLS), R, ctes=until_ctes(False, is_kind("view"), is_kind("purchase"), "x.facet <> '-'"))
+asks(
+    "eu_dir",
+    "journey",
+    f.EU(kind("view"), kind("purchase"), ~FALLS),
+    R,
+    ctes=until_ctes(False, is_kind("view"), is_kind("purchase"), "x.facet <> '-'"),
+)
 asks("ewf", "journey", f.EwF(kind("purchase")), R, ctes=until_ctes(False, "true", is_kind("purchase"), weak=True))
-asks("ewf_dir", "journey", f.EwF(kind("purchase"), RISES), R, ctes=until_ctes(False, "true", is_kind("purchase"), "x.facet = '+'", weak=True))
+asks(
+    "ewf_dir",
+    "journey",
+    f.EwF(kind("purchase"), RISES),
+    R,
+    ctes=until_ctes(False, "true", is_kind("purchase"), "x.facet = '+'", weak=True),
+)
 asks("af", "journey", f.AF(kind("purchase")), R, total=True, ctes=until_ctes(True, "true", is_kind("purchase")))
 asks("af_deadlocks", "hierarchy", f.AF(level("region")), R, ctes=until_ctes(True, "true", is_level("region")))
-asks("au", "journey", f.AU(kind("view") | kind("click"), kind("purchase")), R, total=True, ctes=until_ctes(True, f"{is_kind('view')} OR {is_kind('click')}", is_kind("purchase")))
+asks(
+    "au",
+    "journey",
+    f.AU(kind("view") | kind("click"), kind("purchase")),
+    R,
+    total=True,
+    ctes=until_ctes(True, f"{is_kind('view')} OR {is_kind('click')}", is_kind("purchase")),
+)
 asks("p_af", "journey", f.pAF(kind("signup")), R, total=True, past=True, ctes=until_ctes(True, "true", is_kind("signup")))
-asks("p_au", "journey", f.pAU(kind("view") | kind("click"), kind("signup")), R, total=True, past=True, ctes=until_ctes(True, f"{is_kind('view')} OR {is_kind('click')}", is_kind("signup")))
-asks("au_dir", "journey", f.AU(kind("view") | kind("click"), kind("purchase"), RISES), R, total=True, ctes=until_ctes(True, f"{is_kind('view')} OR {is_kind('click')}", is_kind("purchase"), "x.facet = '+'"))
+asks(
+    "p_au",
+    "journey",
+    f.pAU(kind("view") | kind("click"), kind("signup")),
+    R,
+    total=True,
+    past=True,
+    ctes=until_ctes(True, f"{is_kind('view')} OR {is_kind('click')}", is_kind("signup")),
+)
+asks(
+    "au_dir",
+    "journey",
+    f.AU(kind("view") | kind("click"), kind("purchase"), RISES),
+    R,
+    total=True,
+    ctes=until_ctes(True, f"{is_kind('view')} OR {is_kind('click')}", is_kind("purchase"), "x.facet = '+'"),
+)
 asks("awf", "journey", f.AwF(kind("purchase")), R, ctes=until_ctes(True, "true", is_kind("purchase"), weak=True))
-asks("awf_dir", "journey", f.AwF(kind("purchase"), RISES), R, total=True, ctes=until_ctes(True, "true", is_kind("purchase"), "x.facet = '+'", weak=True))
+asks(
+    "awf_dir",
+    "journey",
+    f.AwF(kind("purchase"), RISES),
+    R,
+    total=True,
+    ctes=until_ctes(True, "true", is_kind("purchase"), "x.facet = '+'", weak=True),
+)
 asks("eg", "journey", f.EG(~kind("purchase")), NOT_R, total=True, ctes=until_ctes(True, "true", is_kind("purchase")))
 asks("ag", "journey", f.AG(~kind("error")), NOT_R, total=True, ctes=until_ctes(False, "true", is_kind("error")))
 asks("p_eg", "journey", f.pEG(~kind("signup")), NOT_R, total=True, past=True, ctes=until_ctes(True, "true", is_kind("signup")))
 asks("p_ag", "journey", f.pAG(~kind("error")), NOT_R, total=True, past=True, ctes=until_ctes(False, "true", is_kind("error")))
-asks("eg_dir", "journey", f.EG(~kind("purchase"), RISES), NOT_R, total=True, ctes=until_ctes(True, "true", is_kind("purchase"), "x.facet = '+'", weak=True))
-asks("ag_dir", "journey", f.AG(~kind("error"), RISES), NOT_R, total=True, ctes=until_ctes(False, "true", is_kind("error"), "x.facet = '+'", weak=True))
+asks(
+    "eg_dir",
+    "journey",
+    f.EG(~kind("purchase"), RISES),
+    NOT_R,
+    total=True,
+    ctes=until_ctes(True, "true", is_kind("purchase"), "x.facet = '+'", weak=True),
+)
+asks(
+    "ag_dir",
+    "journey",
+    f.AG(~kind("error"), RISES),
+    NOT_R,
+    total=True,
+    ctes=until_ctes(False, "true", is_kind("error"), "x.facet = '+'", weak=True),
+)
 AG_EF = "space EXCEPT SELECT state, colour FROM s"
 AG_EF_CTES = until_ctes(False, "true", is_kind("purchase")) + ", s AS (SELECT state, colour FROM (SELECT state, colour FROM space EXCEPT SELECT state, colour FROM r) UNION SELECT x.src, x.colour FROM s JOIN e x ON x.dst = s.state AND x.colour = s.colour)"
 asks("ag_ef_purchase", "journey", f.AG(f.EF(kind("purchase"))), f"SELECT state, colour FROM {AG_EF}", total=True, ctes=AG_EF_CTES)
@@ -193,7 +317,12 @@ asks(
     f.exists("x", f.EX(f.var("x") & f.EX(kind("view"))), bound=kind("purchase")),
     holds(TWO_STEPS.format(f"{is_kind('purchase', 'x.dst')} AND {is_kind('view', 'y.dst')}")),
 )
-asks("exists_coloured_bound", "journey", f.exists("x", f.EX(f.var("x")), bound=f.EX(kind("error"))), holds(TWO_STEPS.format(is_kind("error", "y.dst"))))
+asks(
+    "exists_coloured_bound",
+    "journey",
+    f.exists("x", f.EX(f.var("x")), bound=f.EX(kind("error"))),
+    holds(TWO_STEPS.format(is_kind("error", "y.dst"))),
+)
 asks(
     "exists_unused",
     "journey",
@@ -206,15 +335,56 @@ asks(
     f.forall("x", f.EX(f.var("x")), bound=f.var(5) | f.var(7)),
     holds("NOT EXISTS (SELECT 1 FROM states b WHERE b.state IN (5, 7) AND NOT EXISTS (SELECT 1 FROM e x WHERE x.src = space.state AND x.dst = b.state AND x.colour = space.colour))"),
 )
-asks("forall_not_in", "hierarchy", f.forall("x", ~f.EX(f.var("x")), bound=level("region")), holds(f"NOT EXISTS (SELECT 1 FROM e x WHERE x.src = state AND x.colour = space.colour AND {is_level('region', 'x.dst')})"))
-asks("exists_free", "handoff", f.exists("x", f.var("x") & f.EX(f.var("x"))), holds("EXISTS (SELECT 1 FROM e x WHERE x.src = state AND x.dst = state AND x.colour = space.colour)"))
-asks("forall_free", "handoff", f.forall("x", f.var("x").implies(f.EX(f.var("x")))), holds("EXISTS (SELECT 1 FROM e x WHERE x.src = state AND x.dst = state AND x.colour = space.colour)"))
+asks(
+    "forall_not_in",
+    "hierarchy",
+    f.forall("x", ~f.EX(f.var("x")), bound=level("region")),
+    holds(f"NOT EXISTS (SELECT 1 FROM e x WHERE x.src = state AND x.colour = space.colour AND {is_level('region', 'x.dst')})"),
+)
+asks(
+    "exists_free",
+    "handoff",
+    f.exists("x", f.var("x") & f.EX(f.var("x"))),
+    holds("EXISTS (SELECT 1 FROM e x WHERE x.src = state AND x.dst = state AND x.colour = space.colour)"),
+)
+asks(
+    "forall_free",
+    "handoff",
+    f.forall("x", f.var("x").implies(f.EX(f.var("x")))),
+    holds("EXISTS (SELECT 1 FROM e x WHERE x.src = state AND x.dst = state AND x.colour = space.colour)"),
+)
 asks("bind_cycle", "journey", f.bind("x", f.EX(f.EF(f.var("x")))), "SELECT src AS state, colour FROM tc WHERE src = dst", ctes=REACH)
-asks("bind_two_steps", "handoff", f.bind("x", f.EX(f.EX(f.var("x")))), holds("EXISTS (SELECT 1 FROM e x JOIN e y ON y.src = x.dst AND y.colour = x.colour WHERE x.src = state AND y.dst = state AND x.colour = space.colour)"))
-asks("at_state", "handoff", f.at(5, f.EX(small(7))), holds("EXISTS (SELECT 1 FROM e x WHERE x.src = 5 AND x.colour = space.colour AND x.dst % 7 = 0)"))
-asks("at_bound_state", "handoff", f.bind("x", f.EX(f.at("x", f.EX(small(7))))), holds(f"{next_sql(False, 'true')} AND {next_sql(False, 'x.dst % 7 = 0')}"))
-asks("bind_stable", "handoff", f.bind("x", f.AG(f.EF(f.var("x")))), holds("NOT EXISTS (SELECT 1 FROM tc t WHERE t.src = state AND t.colour = space.colour AND t.dst <> t.src AND NOT EXISTS (SELECT 1 FROM tc b WHERE b.src = t.dst AND b.dst = t.src AND b.colour = t.colour))"), ctes=REACH)
-asks("shadowed_name", "handoff", f.bind("x", f.EX(f.bind("x", f.EX(f.var("x"))))), holds("EXISTS (SELECT 1 FROM e x JOIN e y ON y.src = x.dst AND y.dst = x.dst AND y.colour = x.colour WHERE x.src = state AND x.colour = space.colour)"))
+asks(
+    "bind_two_steps",
+    "handoff",
+    f.bind("x", f.EX(f.EX(f.var("x")))),
+    holds("EXISTS (SELECT 1 FROM e x JOIN e y ON y.src = x.dst AND y.colour = x.colour WHERE x.src = state AND y.dst = state AND x.colour = space.colour)"),
+)
+asks(
+    "at_state",
+    "handoff",
+    f.at(5, f.EX(small(7))),
+    holds("EXISTS (SELECT 1 FROM e x WHERE x.src = 5 AND x.colour = space.colour AND x.dst % 7 = 0)"),
+)
+asks(
+    "at_bound_state",
+    "handoff",
+    f.bind("x", f.EX(f.at("x", f.EX(small(7))))),
+    holds(f"{next_sql(False, 'true')} AND {next_sql(False, 'x.dst % 7 = 0')}"),
+)
+asks(
+    "bind_stable",
+    "handoff",
+    f.bind("x", f.AG(f.EF(f.var("x")))),
+    holds("NOT EXISTS (SELECT 1 FROM tc t WHERE t.src = state AND t.colour = space.colour AND t.dst <> t.src AND NOT EXISTS (SELECT 1 FROM tc b WHERE b.src = t.dst AND b.dst = t.src AND b.colour = t.colour))"),
+    ctes=REACH,
+)
+asks(
+    "shadowed_name",
+    "handoff",
+    f.bind("x", f.EX(f.bind("x", f.EX(f.var("x"))))),
+    holds("EXISTS (SELECT 1 FROM e x JOIN e y ON y.src = x.dst AND y.dst = x.dst AND y.colour = x.colour WHERE x.src = state AND x.colour = space.colour)"),
+)
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,6 +399,16 @@ QUERIES["multi_formula_batch"] = _batch
 ORACLES["multi_formula_batch"] = sql("journey", f"""SELECT state, colour, 'reachable' AS formula FROM r
 UNION ALL SELECT DISTINCT x.src, x.colour, 'next' FROM e x JOIN r ON r.state = x.dst AND r.colour = x.colour UNION ALL SELECT state, colour, 'never' FROM ({NOT_R})""", ctes=until_ctes(False, "true", is_kind("purchase")))
 
+def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each kind of fixpoint has added in all its rounds."""
+    checker = Checker(tables.journey(spark, sf_dir))
+    checker.verify(f.EF(kind("purchase")))
+    return checker.statistics().groupBy("fixpoint").agg(F.sum("rows").alias("rows"))
+
+
+QUERIES["statistics"] = _statistics
+ORACLES["statistics"] = sql("journey", "SELECT 'exists-until' AS fixpoint, count(*) AS rows FROM r", ctes=until_ctes(False, "true", is_kind("purchase")))
+
 # ---- sets of colours
 
 OUT, IN = "SELECT DISTINCT src AS state, colour FROM e", "SELECT DISTINCT dst AS state, colour FROM e"
@@ -266,9 +446,24 @@ SET_TESTS = {
 for name, (combine, body) in SET_TESTS.items():
     does(f"{name}_mask", "journey", _coloured(Masks(5), combine), body)
     does(f"{name}_array", "journey", _coloured(Arrays(tuple(range(5))), combine), body)
-does("colour_union_rows", "journey", lambda s: relations.disjunction(temporal.sources(s.edges), temporal.targets(s.edges), s.states), f"{OUT} UNION {IN}")
-does("pretty", "journey", lambda s: relations.pretty(temporal.sources(s.edges)).select("state", F.array_join("colours", ",").alias("colours")), f"SELECT state, string_agg(colour, ',' ORDER BY colour) AS colours FROM ({OUT}) GROUP BY state")
-does("different", "journey", lambda s: relations.different(temporal.sources(s.edges), temporal.targets(s.edges)), f"SELECT *, 'left' AS side FROM ({OUT} EXCEPT {IN}) UNION ALL SELECT *, 'right' FROM ({IN} EXCEPT {OUT})")
+does(
+    "colour_union_rows",
+    "journey",
+    lambda s: relations.disjunction(temporal.sources(s.edges), temporal.targets(s.edges), s.states),
+    f"{OUT} UNION {IN}",
+)
+does(
+    "pretty",
+    "journey",
+    lambda s: relations.pretty(temporal.sources(s.edges)).select("state", F.array_join("colours", ",").alias("colours")),
+    f"SELECT state, string_agg(colour, ',' ORDER BY colour) AS colours FROM ({OUT}) GROUP BY state",
+)
+does(
+    "different",
+    "journey",
+    lambda s: relations.different(temporal.sources(s.edges), temporal.targets(s.edges)),
+    f"SELECT *, 'left' AS side FROM ({OUT} EXCEPT {IN}) UNION ALL SELECT *, 'right' FROM ({IN} EXCEPT {OUT})",
+)
 
 # ---- reachability and components
 
@@ -284,16 +479,49 @@ def reach_cte(forward: bool, guarded: bool) -> str:
 
 for forward in (True, False):
     word = "forward" if forward else "backward"
-    does(f"reach_{word}", "journey", lambda s, forward=forward: temporal.reach(CLICKS(s), s.edges, forward), R, ctes=reach_cte(forward, False))
-    does(f"reach_{word}_guarded", "journey", lambda s, forward=forward: temporal.reach(CLICKS(s), s.edges, forward, NOT_ERRORS(s)), R, ctes=reach_cte(forward, True))
+    does(
+        f"reach_{word}",
+        "journey",
+        lambda s, forward=forward: temporal.reach(CLICKS(s), s.edges, forward),
+        R,
+        ctes=reach_cte(forward, False),
+    )
+    does(
+        f"reach_{word}_guarded",
+        "journey",
+        lambda s, forward=forward: temporal.reach(CLICKS(s), s.edges, forward, NOT_ERRORS(s)),
+        R,
+        ctes=reach_cte(forward, True),
+    )
 does("subtract", "journey", lambda s: relations.difference(temporal.sources(s.edges), temporal.targets(s.edges)), f"{OUT} EXCEPT {IN}")
-does("invert", "journey", lambda s: relations.complement(temporal.sources(s.edges), s.space(), s.states), f"SELECT state, colour FROM space EXCEPT {OUT}")
-does("restrict", "journey", lambda s: relations.restricted(temporal.sources(s.edges), s.colours.where("colour < 2")), f"SELECT state, colour FROM ({OUT}) WHERE colour < 2")
+does(
+    "invert",
+    "journey",
+    lambda s: relations.complement(temporal.sources(s.edges), s.space(), s.states),
+    f"SELECT state, colour FROM space EXCEPT {OUT}",
+)
+does(
+    "restrict",
+    "journey",
+    lambda s: relations.restricted(temporal.sources(s.edges), s.colours.where("colour < 2")),
+    f"SELECT state, colour FROM ({OUT}) WHERE colour < 2",
+)
 does("all_colours", "journey", lambda s: relations.all_colours(temporal.sources(s.edges)), "SELECT DISTINCT colour FROM e")
 does("pivots", "journey", lambda s: relations.pivots(temporal.sources(s.edges)), "SELECT min(src) AS state, colour FROM e GROUP BY colour")
-does("sinks", "hierarchy", components.sinks, holds("NOT EXISTS (SELECT 1 FROM e x WHERE x.src = state AND x.colour = space.colour AND x.dst <> x.src)"))
+does(
+    "sinks",
+    "hierarchy",
+    components.sinks,
+    holds("NOT EXISTS (SELECT 1 FROM e x WHERE x.src = state AND x.colour = space.colour AND x.dst <> x.src)"),
+)
 does("deadlocks", "journey", lambda s: s.deadlocks(), f"SELECT state, colour FROM space EXCEPT {OUT}")
-does("totalise", "journey", lambda s: s.edges.select("src", "dst", F.col("dir_facet").alias("facet"), "colour"), "SELECT src, dst, facet, colour FROM e", total=True)
+does(
+    "totalise",
+    "journey",
+    lambda s: s.edges.select("src", "dst", F.col("dir_facet").alias("facet"), "colour"),
+    "SELECT src, dst, facet, colour FROM e",
+    total=True,
+)
 TERMINAL = """full_tc AS (SELECT src, dst, colour FROM tc UNION SELECT state, state, colour FROM space),
 open_ended AS (SELECT DISTINCT a.src, a.colour FROM tc a WHERE NOT EXISTS (SELECT 1 FROM full_tc b WHERE b.src = a.dst AND b.dst = a.src AND b.colour = a.colour))"""
 FOUND = """SELECT (SELECT min(dst) FROM full_tc t WHERE t.src = space.state AND t.colour = space.colour) AS component, state, colour FROM space
@@ -329,10 +557,30 @@ does("partition_listed", "journey", LISTED, "SELECT state, CAST(CASE WHEN state
 # ---- relations made by hand, and their comparison
 
 FIVE_COLOURS = "range(5) c(colour)"
-does("states_as_relation", "hierarchy", lambda s: relations.of_states(s.states.where("level = 'nation'"), s.colours), holds(is_level("nation")))
-does("range_as_relation", "journey", lambda s: relations.of_range(s.states.sparkSession, 3, 17, s.colours), f"SELECT s AS state, CAST(colour AS INTEGER) AS colour FROM range(3, 18) t(s), {FIVE_COLOURS}")
-does("state_as_relation", "journey", lambda s: relations.of_state(s.states.sparkSession, 7, s.colours), f"SELECT CAST(7 AS BIGINT) AS state, CAST(colour AS INTEGER) AS colour FROM {FIVE_COLOURS}")
-does("map_as_relation", "journey", lambda s: relations.of_map(s.states.sparkSession, {3: [0, 4, 4], 5: [], 9: [2]}), "SELECT CAST(a AS BIGINT) AS state, CAST(b AS INTEGER) AS colour FROM (VALUES (3, 0), (3, 4), (9, 2)) t(a, b)")
+does(
+    "states_as_relation",
+    "hierarchy",
+    lambda s: relations.of_states(s.states.where("level = 'nation'"), s.colours),
+    holds(is_level("nation")),
+)
+does(
+    "range_as_relation",
+    "journey",
+    lambda s: relations.of_range(s.states.sparkSession, 3, 17, s.colours),
+    f"SELECT s AS state, CAST(colour AS INTEGER) AS colour FROM range(3, 18) t(s), {FIVE_COLOURS}",
+)
+does(
+    "state_as_relation",
+    "journey",
+    lambda s: relations.of_state(s.states.sparkSession, 7, s.colours),
+    f"SELECT CAST(7 AS BIGINT) AS state, CAST(colour AS INTEGER) AS colour FROM {FIVE_COLOURS}",
+)
+does(
+    "map_as_relation",
+    "journey",
+    lambda s: relations.of_map(s.states.sparkSession, {3: [0, 4, 4], 5: [], 9: [2]}),
+    "SELECT CAST(a AS BIGINT) AS state, CAST(b AS INTEGER) AS colour FROM (VALUES (3, 0), (3, 4), (9, 2)) t(a, b)",
+)
 
 
 def _compared(system: TransitionSystem) -> DataFrame:
@@ -348,7 +596,12 @@ def _compared(system: TransitionSystem) -> DataFrame:
     return system.states.sparkSession.createDataFrame(rows, "pair string, passes boolean")
 
 
-does("assert_equal", "journey", _compared, f"SELECT 'same' AS pair, true AS passes UNION ALL SELECT 'other', NOT EXISTS (({OUT} EXCEPT {IN}) UNION ALL ({IN} EXCEPT {OUT}))")
+does(
+    "assert_equal",
+    "journey",
+    _compared,
+    f"SELECT 'same' AS pair, true AS passes UNION ALL SELECT 'other', NOT EXISTS (({OUT} EXCEPT {IN}) UNION ALL ({IN} EXCEPT {OUT}))",
+)
 
 # ---- text: formulas, and whole descriptions
 
