@@ -3,8 +3,9 @@
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -244,6 +245,19 @@ def test_preference_query_and_edge_cases(spark):
     assert none.count() == 0
 
 
+def test_preference_query_is_its_sql(spark):
+    con = duckdb.connect()
+    rows = [(1, 0, "user", "q <|end|>"), (1, 1, "assistant", "<\\\\|x"), (None, 1, "assistant", None), (2, 0, "user", "\U0001f600"), (3, None, "assistant", "é\U0001f600"), (3, 0, "assistant", "two")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    small, supplied = preferences.swapped_answers(turns), spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    for given, table in ((small, turns.toPandas()), (preferences.swapped_answers(supplied), supplied.toPandas())):
+        con.register("conversations", table)
+        cur = con.execute(preferences.ORACLE)
+        columns = [c[0] for c in cur.description]
+        got = preferences.format_pairs(*given).withColumn("conv_id", F.col("pair.id")).select(*columns).collect()
+        assert Counter(map(tuple, got)) == Counter(cur.fetchall())
+
+
 # -- embeddings
 
 

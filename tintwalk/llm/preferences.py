@@ -89,20 +89,40 @@ def whole(rows: DataFrame) -> DataFrame:
 def swapped_answers(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides of pairs made from a table of conversations ``(conv_id, turn, role, text)``, which has no preferences of its own.
 
-    A conversation is chosen as it is; rejected is the same with one of its assistant's turns, drawn by a hash, replaced by that drawn from the next
-    conversation (ascending conv_id, the first after the last) that has any. So sides may part at any turn; a conversation without such turns is equal to itself.
+    A conversation is chosen as it is; rejected is the same with one of its assistant's turns replaced by one from the next conversation (ascending
+    conv_id, the first after the last) that has any. Of n such turns that of number i mod n is taken, where i numbers the conversations that have any, so
+    sides may part at any turn; a conversation without such turns is equal to itself.
     """
     rows = cut(placed(turns), "conversations")
-    drawn = F.struct(F.xxhash64("pair", "place").alias("h"), "place", "text")
-    picked = rows.where(F.col("role") == TRAINED).groupBy("pair").agg(F.min(drawn).alias("d")).select("pair", "d.place", "d.text")
-    order = ranked(picked, F.col("pair"), name="order")
-    n = order.count()
-    given = order.select(F.pmod(F.col("rank") - 1, F.lit(max(n, 1))).alias("rank"), F.col("text").alias("answer"))
-    swap = order.select("pair", "place", "rank").join(given, "rank").select("pair", "place", "answer")
+    answers = ranked(rows.where(F.col("role") == TRAINED).select("pair", "place", "text"), F.col("pair"), F.col("place"), name="answers")
+    counts = answers.groupBy("pair").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
+    counts = cut(ranked(counts, F.col("pair"), name="order").withColumnRenamed("rank", "number"), "order")
+    taken = answers.join(counts, "pair").where(F.col("rank") == F.col("first") + F.pmod("number", "n")).select("pair", "place", "text", "number")
+    taken = cut(taken, "taken")
+    given = taken.select(F.pmod(F.col("number") - 1, F.lit(max(counts.count(), 1))).alias("number"), F.col("text").alias("answer"))
+    swap = taken.select("pair", "place", "number").join(given, "number").select("pair", "place", "answer")
     other = rows.join(swap, ["pair", "place"], "left").select("pair", "place", "role", F.coalesce("answer", "text").alias("text"))
     return rows, other
 
 
+ORACLE = r"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place,
+  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+a AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM t WHERE role = 'assistant' WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
+c AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id NULLS FIRST) - 1 AS number FROM (SELECT DISTINCT conv_id FROM a)),
+p AS (SELECT number, a.conv_id, place, text FROM a JOIN c ON a.conv_id IS NOT DISTINCT FROM c.conv_id WHERE k = number % n),
+s AS (SELECT p.conv_id, p.place, q.text AS answer FROM p JOIN p q ON q.number = (p.number + 1) % (SELECT count(*) FROM c)),
+b AS (SELECT t.conv_id, t.place, t.role, coalesce(answer, t.text) AS text FROM t LEFT JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.place = s.place),
+m AS (SELECT t.conv_id, coalesce(min(CASE WHEN t.text <> b.text THEN t.place END), max(t.place) + 1) AS n_common
+  FROM t JOIN b ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.place = b.place GROUP BY t.conv_id),
+o AS (SELECT t.*, n_common, CASE WHEN place < n_common THEN 'prompt' ELSE 'chosen' END AS part FROM t JOIN m ON t.conv_id IS NOT DISTINCT FROM m.conv_id
+  UNION ALL SELECT b.*, n_common, 'rejected' FROM b JOIN m ON b.conv_id IS NOT DISTINCT FROM m.conv_id WHERE place >= n_common),
+e AS (SELECT conv_id, part, place, n_common, role, regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g') AS who, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS own FROM o),
+r AS (SELECT *, '<|' || who || '|>' || chr(10) || own || '<|end|>' || chr(10) AS text FROM e),
+f AS (SELECT *, CAST(sum(length(text)) OVER (PARTITION BY conv_id, part ORDER BY place) AS BIGINT) AS mask_end FROM r)
+SELECT conv_id, part, place, n_common, mask_end - length(text) AS start, text, CASE WHEN role = 'assistant' THEN mask_end - length(own) - 8 END AS mask_start,
+  CASE WHEN role = 'assistant' THEN mask_end END AS mask_end FROM f"""
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = format_pairs(*swapped_answers(table(spark, sf_dir, "conversations")))
     return rows.select(F.col("pair.id").alias("conv_id"), "part", "place", "n_common", "start", "text", "mask_start", "mask_end")

@@ -15,4 +15,5 @@ QUERIES = {
     "op10_urls": urls.op10,
 }
 
-ORACLES: dict[str, str] = {}
+#: The others have fitted models, hashes or tokenizers, or need iteration; their tests compare with brute force, round trips or held-out labels.
+ORACLES = {"op6_preferences": preferences.ORACLE}
