@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tests.llm.tables import DOCS, documents
@@ -90,6 +91,17 @@ def test_whole_pipeline_is_its_stages(spark):
     assert whole.count() > 200
 
 
+def test_marks_bound_what_sets_share():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 50, 300, 5000, 40_000):
+        a = np.unique(rng.integers(-(2**63), 2**63, n))
+        for kept in (1.0, 0.9, 0.5, 0.0):
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < kept], rng.integers(-(2**63), 2**63, round(n * (1 - kept) * 1.3))]))
+            shared = len(np.intersect1d(a, b))
+            bound = similar.most_shared(len(a), len(b), similar.marks(a), similar.marks(b))
+            assert shared <= bound <= shared + 0.3 * len(a) + 2
+
+
 def test_near_duplicate_stage_links_by_similarity(spark):
     """Near copies at a five-word similarity of 0.8 or more go, however many bits their fingerprints differ in; those below stay."""
     rng = random.Random(11)

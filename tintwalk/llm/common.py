@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tintwalk.written import cut, dropped, ranked, shared_folder, written
 
-__all__ = ["SPACE", "WORD", "components", "cut", "let", "lists", "ranked", "released", "running_in_row", "running_total", "shared_folder", "table"]
+__all__ = ["SPACE", "WORD", "components", "cut", "dropped", "let", "lists", "ranked", "released", "running_in_row", "running_total", "shared_folder", "table", "written"]
 
 #: ASCII white space as the contracts define it, and a word between such characters.
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
@@ -39,8 +39,9 @@ def lists(rows: pa.Table, column: str) -> list[np.ndarray]:
 
 def released(spark: SparkSession) -> None:
     """Let go of the shuffles behind tables that have been written since: Spark keeps them until the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go first, Java can the second time
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def running_total(df: DataFrame, value: Column, *order: Column, name: str = "running") -> DataFrame:
