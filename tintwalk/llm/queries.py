@@ -1,6 +1,6 @@
 """The queries of this package, by name, and their oracle SQL where SQL can express them."""
 
-from tintwalk.llm import embeddings, fingerprints, language, mixing, packing, preferences, sanitise, simhash, toxicity, urls
+from tintwalk.llm import embeddings, fingerprints, interactions, language, mixing, packing, preferences, sanitise, simhash, toxicity, urls
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
@@ -13,7 +13,8 @@ QUERIES = {
     "op8_language": language.op8,
     "op9_toxicity": toxicity.op9,
     "op10_urls": urls.op10,
+    "op12_interactions": interactions.op12,
 }
 
 #: The others have fitted models, hashes or tokenizers, or need iteration; their tests compare with brute force, round trips or held-out labels.
-ORACLES = {"op6_preferences": preferences.ORACLE}
+ORACLES = {"op6_preferences": preferences.ORACLE, "op12_interactions": interactions.ORACLE}
