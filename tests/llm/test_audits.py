@@ -4,10 +4,11 @@ import re
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import numpy as np
 import pytest
 
 from tests.llm.tables import DOCS, documents
-from tintwalk.llm import interactions
+from tintwalk.llm import divergence, interactions
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LABELS = "doc_id long, quality int, toxic int"
@@ -73,3 +74,61 @@ def test_parts_are_given_out_as_they_are_counted(spark, monkeypatch):
     whole = interactions.audit(docs, labels).groupBy("part").sum("removed").collect()
     monkeypatch.setattr(interactions, "HELD", 7)
     assert sorted(interactions.audit(docs, labels).groupBy("part").sum("removed").collect()) == sorted(whole)
+
+
+# -- divergence of sources
+
+
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def brute_divergence(rows):
+    counts, in_docs = defaultdict(Counter), defaultdict(Counter)
+    for _, text, lang, source, *_ in rows:
+        terms = TERM.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        counts[lang or "", source or ""].update(terms)
+        in_docs[lang or ""].update(set(terms))
+    found = set()
+    for lang in in_docs:
+        kept = {t for t, n in in_docs[lang].items() if n >= 3}
+        groups = {source: {t: c for t, c in found_terms.items() if t in kept} for (of, source), found_terms in counts.items() if of == lang}
+        whole = Counter()
+        for group in groups.values():
+            whole.update(group)
+        share = lambda group, t: 1 + 10**9 * (group.get(t, 0) + 1) // (sum(group.values()) + len(kept))
+        apart = lambda p, q: (p - q) ** 2 // q
+        for source, group in groups.items():
+            pairs = [(-sum(apart(share(group, t), share(other, t)) for t in kept), name.encode()) for name, other in groups.items() if name != source]
+            terms = [(-apart(share(group, t), share(whole, t)), t.encode()) for t in group if share(group, t) > share(whole, t)]
+            for part, items in (("pair", sorted(pairs)), ("term", sorted(terms)[:200])):
+                found |= {(lang, source, part, item.decode(), -value, rank) for rank, (value, item) in enumerate(items, 1)}
+    return found
+
+
+def told(df):
+    rows = df.select("lang", "source", "part", "item", "value", "rank").collect()
+    assert len(set(rows)) == len(rows)
+    return {tuple(r) for r in rows}
+
+
+def test_divergence_of_sources(spark, none, monkeypatch):
+    rows = documents(160)
+    rows += [(900 + i, f"Été ÉTÉ été {'Ünïque' * (i % 2)} w{i % 3} tail's", "fr", f"site{i % 5}", *rows[0][4:]) for i in range(30)]
+    rows += [(990, "", "fr", "silent", *rows[0][4:]), (991, "alone", "it", "one", *rows[0][4:]), (992, "alone two", "it", "two", *rows[0][4:]), (993, None, None, None, *rows[0][4:])]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    want = brute_divergence(rows)
+    assert told(divergence.audit(docs)) == want
+    for name, value in (("HELD", 20), ("CELLS", 8), ("SUMS", 6)):  # all that is held is given out over and over
+        monkeypatch.setattr(divergence, name, value)
+    assert told(divergence.audit(docs)) == want
+    assert divergence.audit(none).count() == 0
+
+
+def test_shares_of_large_counts_are_exact():
+    counts, sizes = np.array([10**13, 3, 10**18 // 7]), np.array([10**13 + 7, 10, 10**18])
+    assert divergence._shares(counts, sizes).tolist() == [1 + 10**9 * (int(c) + 1) // int(n) for c, n in zip(counts, sizes, strict=True)]
+    shares, repeats = np.array([[10**9, 1, 7], [5, 10**9, 3]]), np.array([7, 2])
+    want = [[sum(int(r) * ((int(p[a]) - int(p[b])) ** 2 // int(p[b])) for p, r in zip(shares, repeats, strict=True)) for b in range(3)] for a in range(3)]
+    assert [x.tolist() for x in divergence._differences(shares, repeats)] == want
+    with pytest.raises(OverflowError):
+        list(divergence._differences(shares, repeats * 10))
