@@ -1,5 +1,7 @@
 """The audits of filters and sources, and removal of repeated passages, against brute force."""
 
+import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 from itertools import permutations
@@ -7,8 +9,8 @@ from itertools import permutations
 import numpy as np
 import pytest
 
-from tests.llm.tables import DOCS, documents
-from tintwalk.llm import divergence, interactions
+from tests.llm.tables import DOCS, documents, prose
+from tintwalk.llm import divergence, interactions, passages
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LABELS = "doc_id long, quality int, toxic int"
@@ -132,3 +134,61 @@ def test_shares_of_large_counts_are_exact():
     assert [x.tolist() for x in divergence._differences(shares, repeats)] == want
     with pytest.raises(OverflowError):
         list(divergence._differences(shares, repeats * 10))
+
+
+# -- repeated passages
+
+
+def brute_passages(rows):
+    first = {}
+    cut = [(r[0], WORD.findall(r[1] or "")) for r in rows]
+    for i, words in cut:
+        for at in range(len(words) - 49):
+            if i is not None:
+                key = tuple(words[at : at + 50])
+                first[key] = min(first.get(key, i), i)
+    found = []
+    for i, words in cut:
+        gone = set()
+        for at in range(len(words) - 49):
+            if i is not None and first[tuple(words[at : at + 50])] < i:
+                gone.update(range(at, at + 50))
+        kept = " ".join(w for at, w in enumerate(words) if at not in gone)
+        found.append((i, len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(found, key=str)
+
+
+def repeating(seed=5):
+    rng = random.Random(seed)
+    passage, other, line = prose(rng, 60), prose(rng, 130), prose(rng, 9)
+    rows = documents()
+    texts = [f"{prose(rng, rng.randint(0, 80))} {passage}\n{prose(rng, rng.randint(0, 80))}" for _ in range(25)]
+    texts += [f"{prose(rng, 30)} {other[i * 40:]}\t{passage}" for i in range(6)] + [" ".join([line] * n) for n in (3, 6, 40, 41)]
+    texts += [" ".join(passage.split()[:50]), " ".join(passage.split()[:49]), passage.replace(" ", "  \n"), passage.upper(), "x" * 500 + f" {passage} {'y' * 70}", "x" * 500 + f" {passage} {'y' * 71}"]
+    texts += [prose(rng, 300) + " " + other] * 2 + ["\u00a0 \u2003 no-break " * 40] * 2
+    rows += [(1000 - i if i % 3 else 1000 + i, t, *rows[0][2:]) for i, t in enumerate(texts)]
+    rows += [(1001, passage + " " + prose(rng, 4), *rows[0][2:]), (None, passage, *rows[0][2:]), (None, texts[0], *rows[0][2:]), rows[-1], rows[-3], (2000, None, *rows[0][2:])]
+    return rows
+
+
+@pytest.mark.parametrize("bucket", [passages.BUCKET, 5, 0])
+def test_repeated_passages(spark, bucket):
+    rows = repeating()
+    found = passages.without_repeats(spark.createDataFrame(rows, DOCS).repartition(4), bucket).collect()
+    assert sorted((tuple(r) for r in found), key=str) == brute_passages(rows)
+    assert sum(r.n_removed > 0 for r in found) > 30
+
+
+def test_no_documents_have_no_passages(spark, none):
+    assert passages.without_repeats(none).count() == 0
+
+
+def test_stretches_cover_each_window_once(monkeypatch):
+    words = prose(random.Random(1), 3000).encode().split()
+    start, windows, minimiser = passages.stretches(words)
+    assert start[0] == 0 and (start[1:] == (start + windows)[:-1]).all() and start[-1] + windows[-1] == len(words) - 49
+    for at in range(0, 2900, 37):  # a window by itself has the minimiser of its stretch
+        assert passages.stretches(words[at : at + 50])[2].tolist() == [minimiser[np.searchsorted(start, at, side="right") - 1]]
+    monkeypatch.setattr(passages, "CHUNK", 7)
+    assert [x.tolist() for x in passages.stretches(words)] == [x.tolist() for x in (start, windows, minimiser)]
+    assert windows.max() <= 43 and len(start) < len(words) / 15

@@ -1,6 +1,6 @@
 """The queries of this package, by name, and their oracle SQL where SQL can express them."""
 
-from tintwalk.llm import divergence, embeddings, fingerprints, interactions, language, mixing, packing, preferences, sanitise, simhash, toxicity, urls
+from tintwalk.llm import divergence, embeddings, fingerprints, interactions, language, mixing, packing, passages, preferences, sanitise, simhash, toxicity, urls
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
@@ -15,7 +15,13 @@ QUERIES = {
     "op10_urls": urls.op10,
     "op11_divergence": divergence.op11,
     "op12_interactions": interactions.op12,
+    "op13_passages": passages.op13,
 }
 
 #: The others have fitted models, hashes or tokenizers, or need iteration; their tests compare with brute force, round trips or held-out labels.
-ORACLES = {"op6_preferences": preferences.ORACLE, "op11_divergence": divergence.ORACLE, "op12_interactions": interactions.ORACLE}
+ORACLES = {
+    "op6_preferences": preferences.ORACLE,
+    "op11_divergence": divergence.ORACLE,
+    "op12_interactions": interactions.ORACLE,
+    "op13_passages": passages.ORACLE,
+}
