@@ -105,41 +105,46 @@ def test_rules_are_those_of_brute_force(spark):
     pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(PAGES + extra)], "page_id long, url string, host string, n long")
     labels = spark.createDataFrame([(p + 100 * (h == "a"), int(h == "b"), int(h == "a")) for h in "ab" for p in range(20)], "doc_id long, quality int, toxic int")
     rows = urls.judge(pages, labels).collect()
-    limit = urls.RATIO * 0.5
     assert len(rows) == len(PAGES) + len(extra)
     for r in rows:
         host, path, rule, verdict = brute_rule((PAGES + extra)[r.page_id])
         assert (r.host, r.path, r.rule) == (host, path, rule)
-        assert r.verdict == verdict or verdict is None and r.verdict == ("block" if r.bad_lower > limit else "allow")
+        assert r.verdict == verdict or verdict is None and r.verdict == ("block" if r.bad_lower > r.bad_limit else "allow")
     by_host = {r.host: r for r in rows}
     assert by_host["a.example.org"].verdict == "block" and by_host["b.example.org"].verdict == "allow"
     assert by_host["a.example.org"].bad_mean < 1 and by_host["b.example.org"].bad_mean > 0
 
 
 def brute_reputation(hosts):
-    """{host: (mean, weight)} from {host: (n, k)}, level by level."""
-    suffix = {h: h.rsplit(".", 1)[-1] for h in hosts}
-    domain = {h: ".".join(h.rsplit(".", 2)[-2:]) for h in hosts}
-
-    def level(members, prior):
-        some = {m: x for m, x in members.items() if x[0]}
-        s = sum((k - n * prior[m]) ** 2 / n / (prior[m] * (1 - prior[m])) for m, (n, k) in some.items())
-        total, squares = sum(n for n, _ in some.values()), sum(n * n for n, _ in some.values())
-        excess = total - squares / total - (len(some) - 1)
-        rho = min(max((s - (len(some) - 1)) / excess, 1e-4), 0.5) if excess > 0 else 0.5
-        strength = 1 / rho - 1
-        return {m: ((strength * prior[m] + k) / (strength + n), strength + n) for m, (n, k) in members.items()}
-
-    def sums(key):
-        out = defaultdict(lambda: (0, 0))
-        for h, (n, k) in hosts.items():
-            out[key[h]] = (out[key[h]][0] + n, out[key[h]][1] + k)
-        return dict(out)
-
-    n, k = map(sum, zip(*hosts.values(), strict=True))
-    by_suffix = level(sums(suffix), dict.fromkeys(suffix.values(), (k + 1) / (n + 2)))
-    by_domain = level(sums(domain), {domain[h]: by_suffix[suffix[h]][0] for h in hosts})
-    return level(hosts, {h: by_domain[domain[h]][0] for h in hosts})
+    """{host: (mean, weight)} from {host: (n, k)}, with priors from the pages of others alone."""
+    keys = [{h: h for h in hosts}, {h: ".".join(h.rsplit(".", 2)[-2:]) for h in hosts}, {h: h.rsplit(".", 1)[-1] for h in hosts}, dict.fromkeys(hosts, "")]
+    counts = []
+    for key in keys:
+        counts.append(defaultdict(lambda: np.zeros(2)))
+        for h, nk in hosts.items():
+            counts[-1][key[h]] += nk
+    rhos = []
+    for level in range(3):
+        seen = chance = pages = 0
+        for group, (n, k) in counts[level + 1].items():
+            members = [counts[level][m] for m in {keys[level][h] for h in hosts if keys[level + 1][h] == group}]
+            members = [m for m in members if m[0]]
+            if 0 < k < n:
+                seen += sum((b - a * k / n) ** 2 / a for a, b in members) / (k / n * (1 - k / n))
+                chance += len(members) - 1
+                pages += n - sum(a * a for a, _ in members) / n
+        rhos.append(min(max((seen - chance) / (pages - chance), 0), 1))
+    found = {}
+    for h in hosts:
+        of = [counts[i][keys[i][h]] for i in range(4)]
+        n, k = of[3] - of[2]
+        weight, mean = n + 1, (k + 0.5) / (n + 1)
+        for i in (2, 1, 0):
+            n, k = of[i] - of[i - 1] if i else of[0]
+            prior = max(1 / (1 / (weight + 1) + rhos[i]) - 1, 1)
+            mean, weight = (prior * mean + k) / (prior + n), prior + n
+        found[h] = mean, weight
+    return found
 
 
 def test_posteriors_are_those_of_brute_force(spark):
@@ -157,6 +162,50 @@ def test_posteriors_are_those_of_brute_force(spark):
         assert np.mean(drawn <= r.lower) == pytest.approx(urls.BOUND, abs=0.01)
 
 
+@pytest.mark.parametrize("rate", [0.03, 0.5])
+@pytest.mark.parametrize("pages, hosts, spread", [(10, 3, "even"), (86, 18, "even"), (400, 3, "one suffix"), (3000, 900, "skewed"), (100_000, 300, "skewed")])
+def test_hosts_that_do_not_differ_are_not_blocked(spark, pages, hosts, spread, rate):
+    rng = np.random.default_rng(pages)
+    share = 1 / (1 + np.arange(hosts)) if spread == "skewed" else np.ones(hosts)
+    n = rng.multinomial(pages, share / share.sum())
+    names = [f"h{i}.d{i % 7}.{'org' if spread == 'one suffix' else ['org', 'com', 'co.uk', 'net'][i % 4]}" for i in range(hosts)]
+    rows = [(h, int(a), int(rng.binomial(a, rate))) for h, a in zip(names, n, strict=True)]
+    found = urls.reputation(spark.createDataFrame(rows, "host string, n long, k long"))
+    assert found.where(F.col("lower") > urls.RATIO * F.col("base")).count() <= 0.05 * hosts
+
+
+def test_hosts_that_differ_are_blocked(spark):
+    rng = np.random.default_rng(8)
+    rates = {f"h{i}.d{i}.{'org' if i % 2 else 'com'}": 0.8 if i % 10 == 0 else 0.1 for i in range(100)}
+    rows = [(h, 30, int(rng.binomial(30, p))) for h, p in rates.items()]
+    found = urls.reputation(spark.createDataFrame(rows, "host string, n long, k long")).collect()
+    assert {r.host for r in found if r.lower > r.base} == {h for h, p in rates.items() if p == 0.8}
+
+
+@pytest.mark.parametrize("bad", [0, 1])
+def test_equal_outcomes_block_no_host(spark, bad):
+    rows = [(f"h{i}.org", i, bad * i) for i in range(9)]
+    assert urls.reputation(spark.createDataFrame(rows, "host string, n long, k long")).where("lower > base").count() == 0
+
+
+def test_sites_and_domains(spark):
+    hosts = {
+        "www.example.com:802": ("com", "example.com"),
+        "user:pass@a.b.co.uk:": ("co.uk", "b.co.uk"),
+        "co.uk": ("co.uk", "co.uk"),
+        "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"),
+        "[::1]:8080": ("[::1]", "[::1]"),
+        "example.org.": ("org", "example.org"),
+        "localhost": ("localhost", "localhost"),
+        "": ("", ""),
+        "x.city.kawasaki.jp": ("jp", "kawasaki.jp"),
+    }
+    at = urls.site(F.col("host"))
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", urls.suffix(at).alias("s"), urls.domain(at).alias("d"), urls.domain(at, ["kawasaki.jp", "city.kawasaki.jp"]).alias("own")).collect()
+    assert {r.host: (r.s, r.d) for r in rows} == hosts
+    assert {r.host: r.own for r in rows}["x.city.kawasaki.jp"] == "x.city.kawasaki.jp"
+
+
 def test_page_numbers_are_those_of_documents(spark):
     """Nearly every page of the supplied table shows the document whose number stands in its path, so that its labels are the page's outcome."""
     pages, docs = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("pages", "documents"))
