@@ -6,7 +6,8 @@ bucket are cut out and sorted, and those that an earlier document has too are to
 
 Only what can repeat travels. Equal texts are collapsed first: of a text that an earlier document has whole, each window goes. Then minimisers alone are
 counted, and windows sent if their minimiser stands in two texts or more. A minimiser that stands in more than ``BUCKET`` places would make a bucket too
-large for a task; its windows go one by one, by digests of 128 bits, each to a bucket of its own, and are counted on the way.
+large for a task. Its packed strings are compared by digests of 128 bits, each in a bucket of its own, which settles all windows of a string that an earlier document
+has whole; the windows of the earliest document of each string then go one by one, by their digests.
 
 Defined cases: null texts are empty; a document without an id is neither earlier nor later than any, so it loses nothing and takes nothing away; documents of one id
 don't take from each other; texts shorter than a window keep all their words; repeated rows get equal results; words of over ``LONG`` bytes are compared by
@@ -101,19 +102,19 @@ def suspects(docs: DataFrame, texts: DataFrame, bucket: int = BUCKET) -> DataFra
     return cut(docs.select("doc_id", _name(), "text").join(shared, ["name", "doc_id"]).dropDuplicates(["name"]), "suspects")
 
 
-def _pieces(rows: DataFrame, wanted: str, made, schema: str) -> DataFrame:
-    """``made(words, start, windows, minimiser)`` gives the tuples that follow ``name, doc_id`` for each stretch whose minimiser is in the column ``wanted``."""
+def _pieces(rows: DataFrame, wanted: str, of: int, made, schema: str) -> DataFrame:
+    """``made(words, stretch)`` gives the tuples that follow ``name, doc_id`` for each stretch whose start (``of`` is 0) or minimiser (2) is in the column ``wanted``."""
     names = [field.split()[0] for field in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, doc_id, text, keep in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 words = words_of(text)
-                start, windows, minimiser = stretches(words)
-                keep = np.flatnonzero(np.isin(minimiser, np.array(keep, dtype=np.int64)))
-                found = [(name, doc_id, *piece) for i in keep.tolist() for piece in made(words, int(start[i]), int(windows[i]), int(minimiser[i]))]
-                for at in range(0, len(found), CHUNK):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found[at : at + CHUNK], strict=True)], names=names)
+                found = stretches(words)
+                keep = np.isin(found[of], np.array(keep, dtype=np.int64))
+                pieces = [(name, doc_id, *piece) for stretch in zip(*(x[keep].tolist() for x in found), strict=True) for piece in made(words, *stretch)]
+                for at in range(0, len(pieces), CHUNK):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*pieces[at : at + CHUNK], strict=True)], names=names)
 
     return rows.where(F.size(wanted) > 0).select("name", "doc_id", "text", wanted).mapInArrow(run, schema)
 
@@ -141,27 +142,46 @@ def repeats(rows: Iterable[tuple[bytes, int, int, bytes]], window: int = WINDOW)
     return found
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """``(name, start, windows)``: windows of ``suspects`` that a document with a smaller doc_id has too."""
+def _in_buckets(rows: DataFrame) -> DataFrame:
+    """``(name, start, windows)`` that repeat, of stretches whose minimisers are in ``wanted``."""
 
     def whole(words: list[bytes], start: int, windows: int, minimiser: int) -> list[tuple]:
         return [(minimiser, start, packed(words[start : start + windows + WINDOW - 1]))]
 
-    def single(words: list[bytes], start: int, windows: int, minimiser: int) -> list[tuple]:
-        return [(_digest(b" ".join(words[at : at + WINDOW])), at) for at in range(start, start + windows)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         in_order = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
         for _, bucket in groupby(in_order, key=itemgetter(0)):
             if found := repeats(row[1:] for row in bucket):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["name", "start", "windows"])
 
-    strings = _pieces(rows, "wanted", whole, "name binary, doc_id long, minimiser long, start long, packed binary").select("minimiser", "name", "doc_id", "start", "packed")
-    small = strings.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(run, "name binary, start long, windows long")
-    alone = cut(_pieces(rows, "hot", single, "name binary, doc_id long, window binary, start long"), "windows")
-    first = alone.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    large = alone.join(first, "window").where("doc_id > first").select("name", "start", F.lit(1).cast("long").alias("windows"))
-    return small.unionByName(large)
+    strings = _pieces(rows, "wanted", 2, whole, "name binary, doc_id long, minimiser long, start long, packed binary").select("minimiser", "name", "doc_id", "start", "packed")
+    return strings.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(run, "name binary, start long, windows long")
+
+
+def _by_digests(rows: DataFrame) -> DataFrame:
+    """As :func:`_in_buckets`, of stretches whose minimisers are in ``hot``."""
+
+    def string(words: list[bytes], start: int, windows: int, minimiser: int) -> list[tuple]:
+        return [(_digest(b" ".join(words[start : start + windows + WINDOW - 1])), start, windows)]
+
+    def single(words: list[bytes], start: int, windows: int, minimiser: int) -> list[tuple]:
+        return [(_digest(b" ".join(words[at : at + WINDOW])), at, 1) for at in range(start, start + windows)]
+
+    def judged(pieces: DataFrame, name: str) -> DataFrame:
+        pieces = cut(pieces, name)
+        first = pieces.groupBy("digest").agg(F.min("doc_id").alias("first"))
+        return cut(pieces.join(first, "digest").select("name", "start", "windows", (F.col("doc_id") > F.col("first")).alias("later")), name)
+
+    schema = "name binary, doc_id long, digest binary, start long, windows long"
+    strings = judged(_pieces(rows, "hot", 2, string, schema), "strings")
+    own = strings.where("not later").groupBy("name").agg(F.collect_list("start").alias("starts"))
+    singles = judged(_pieces(rows.join(own, "name"), "starts", 0, single, schema), "windows")
+    return strings.where("later").unionByName(singles.where("later")).drop("later")
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """``(name, start, windows)``: windows of ``suspects`` that a document with a smaller doc_id has too."""
+    return _in_buckets(rows).unionByName(_by_digests(rows))
 
 
 def cleaned(rows: DataFrame, found: DataFrame) -> DataFrame:
