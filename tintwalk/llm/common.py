@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tintwalk.written import cut, dropped, ranked, shared_folder, written
 
-__all__ = ["SPACE", "WORD", "components", "cut", "dropped", "let", "lists", "ranked", "released", "running_in_row", "running_total", "shared_folder", "table", "written"]
+__all__ = ["SPACE", "WORD", "components", "cut", "cut_out", "dropped", "let", "lists", "pieces", "ranked", "released", "running_in_row", "running_total", "shared_folder", "table", "written"]
 
 #: ASCII white space as the contracts define it, and a word between such characters.
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
@@ -58,22 +58,36 @@ def running_total(df: DataFrame, value: Column, *order: Column, name: str = "run
     return rows.withColumn("_inside", inside).join(F.broadcast(parts), "_part").withColumn("before", F.col("_base") + F.col("_inside")).drop("_value", "_at", "_part", "_inside", "_base")
 
 
-def running_in_row(values: Column, block: int = 64) -> Column:
-    """Inclusive running sums of an array of ints, in blocks, so that the work stays near-linear in its length."""
+def running_in_row(values: Column, plus: Callable[[Column, Column], Column] = lambda a, b: a + b, block: int = 64) -> Column:
+    """Inclusive running sums of an array of ints (0 or more), or what ``plus`` makes of them, in blocks, so that the work stays near-linear in its length."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, b: plus(a, b))
 
     def whole(a: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int")), lambda b: F.slice(a, b * block + 1, F.lit(block)))
         return F.when(F.size(a) < 1, F.array().cast("array<int>")).otherwise(let(blocks, joined))
 
     def joined(blocks: Column) -> Column:
-        total = lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v)
-        totals = F.transform(blocks, total)
-        offsets = let(totals, lambda t: F.transform(F.sequence(F.lit(1), F.size(t)), lambda b: F.aggregate(F.slice(t, F.lit(1), b - 1), F.lit(0), lambda s, v: s + v)))
-        return F.flatten(F.zip_with(blocks, offsets, lambda x, o: F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: o + F.aggregate(F.slice(x, F.lit(1), i), F.lit(0), lambda s, v: s + v))))
+        offsets = let(F.transform(blocks, total), lambda t: F.transform(F.sequence(F.lit(1), F.size(t)), lambda b: total(F.slice(t, F.lit(1), b - 1))))
+        return F.flatten(F.zip_with(blocks, offsets, lambda x, o: F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: plus(o, total(F.slice(x, F.lit(1), i))))))
 
     return let(values, whole)
 
 
+#: Code points of a piece that a text is cut into, to get at places in it without a walk from its start.
+PIECE = 1024
+
+
+def pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut_out(pieces: Column, start: Column, length: Column) -> Column:
+    """``length`` code points from ``start`` (0 is the first) of a text given as :func:`pieces`; "" if length isn't above 0."""
+    first = F.floor(start / PIECE).cast("int")
+    some = F.slice(pieces, first + 1, F.floor((start + length - 1) / PIECE).cast("int") - first + 1)
+    return F.when(length > 0, F.substring(F.array_join(some, ""), start - first * PIECE + 1, length)).otherwise("")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``edges(a, b)`` (long ids): ``(node, root)`` with the smallest id of each component, for every node in an edge.
 

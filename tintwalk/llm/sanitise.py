@@ -3,28 +3,34 @@
 Patterns find the protected entities: e-mail and IP addresses, card and phone numbers (the base), and secrets such as keys and tokens. Over the whole
 corpus, documents are counted that hold an entity, a term, and both, wherever in the document they stand. Their pointwise mutual information
 over the entity's information content is the disclosure: how much of the entity the term gives away, 1 if wherever the term stands the entity does.
-In the documents that hold the entity, terms above ``GENERALISE`` are replaced by a general term and those above ``REMOVE`` are removed. An
-entity that stands in one document only is given away by the terms that hardly stand anywhere else; the larger the corpus, the fewer these are.
+In the documents that hold the entity, terms above ``GENERALISE`` are replaced by a general term and those above ``REMOVE`` are removed.
 
-Entities that stand in the same documents are one, as nothing tells them apart, and terms that are too frequent to reach the
-threshold with any entity are left out before they are paired. Both are exact.
+Disclosure needs evidence. What a term gives away in one document is told from the documents of other text only, as a reader would learn it there; and
+the share of a term's documents that hold the entity is taken at the lower end of its confidence interval (Wilson's, one-sided, 95 %). So an
+entity of one document is given away by no word, and one document more that has both counts for less than many do.
+
+Equal texts are one text with so many copies. Entities that stand in the same texts are one, as nothing tells them apart, and terms that are too frequent
+to reach the threshold with any entity are left out before they are paired. All three are exact. A text of m groups of entities has m rows for each of
+its rare terms.
 
 Defined cases: null texts are empty; texts are read whole; repeated rows get equal results but count as documents; terms are words of two
-letters or digits or more that begin with a letter, outside entities, whatever their case; a document's entity that all documents hold has nothing to
+letters or digits or more that begin with a letter, that meet no entity's place, whatever their case; an entity that all documents hold has nothing to
 give away; other columns are ignored. Only built-in functions run here.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tintwalk.llm.common import cut, let, running_in_row, table
+from tintwalk.llm.common import cut, cut_out, let, pieces, running_in_row, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: What the method adds to the base; ranks in lists of spans follow this order.
 ADDED = ("secret", "term")
 GENERALISE, REMOVE = 0.8, 0.95
+#: Standard deviations of the one-sided confidence bound.
+SURE = 1.645
 TERM = r"\p{L}[\p{L}\p{M}\p{N}]++"
 #: Same matches as the base patterns, written so that a match starts at the first place of a run only and never goes back: linear in the text.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -109,40 +115,53 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda x: F.lower(x)))
 
 
-def outside(text: Column, spans: Column) -> Column:
-    """``text`` with a space in the place of each span."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    before = lambda s, x: F.concat(s.parts, F.array(F.substring(text, s["at"] + 1, F.greatest(x.start - s["at"], F.lit(0)))))
-    add = lambda s, x: F.struct(F.greatest(s["at"], x.end).alias("at"), before(s, x).alias("parts"))
-    rest = lambda s: F.concat_ws(" ", s.parts, F.substring(text, s["at"] + 1, F.length(text)))
-    return F.aggregate(spans, start, add, rest)
+def words_outside(held: DataFrame) -> DataFrame:
+    """``(name, start, end, word)`` of the terms of ``held(name, text, spans)`` that no span meets."""
+    found = let(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda m: F.zip_with(m, F.slice(F.split("text", TERM, -1), F.lit(1), F.size(m)), lambda w, g: F.struct(w.alias("word"), g.alias("gap"))))
+    rows = held.select("name", F.posexplode(found).alias("at", "f")).select("name", "at", F.col("f.word").alias("word"), F.length("f.gap").alias("gap"))
+    so_far = F.sum(F.col("gap") + F.length("word")).over(Window.partitionBy("name").orderBy("at")).cast("int")
+    rows = rows.select("name", (so_far - F.length("word")).alias("start"), so_far.alias("end"), "word")
+    spans = held.select("name", F.explode("spans").alias("s")).select("name", "s.start", "s.end", F.lit(None).cast("string").alias("word"))
+    # one merge of words and spans by place: a word is met by the span that ends last of those that start before it, or by the next that starts
+    order = Window.partitionBy("name").orderBy("start", F.col("word").isNotNull())
+    before = F.max(F.when(F.col("word").isNull(), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(F.when(F.col("word").isNull(), F.col("start"))).over(Window.partitionBy("name").orderBy(F.desc("start"), F.col("word").isNull()).rowsBetween(Window.unboundedPreceding, -1))
+    merged = rows.unionByName(spans).withColumn("before", before).withColumn("after", after).where("word is not null")
+    return merged.where((F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))).select("name", "start", "end", "word")
+
 
+def lower_bound(k: Column, n: Column, z: float = SURE) -> Column:
+    """The lower end of Wilson's interval for a share of k in n."""
+    p, zz = k / n, F.lit(z * z) / n
+    return (p + zz / 2 - z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n + zz / (4 * n))) / (1 + zz)
 
-def disclosing(rows: DataFrame, held: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """``(row_key, term, removed)``: what gives away an entity of the same document, from all ``rows(text)`` and those that hold entities, ``held(doc,
-    row_key, text, spans)``, numbered by ``doc``.
 
-    A term in n documents that stands with an entity of m documents in k of them discloses log(N k / n m) / log(N / m). As k is m at
-    most, n must be N ^ (1 - generalise) m ^ generalise at most, which few terms of a document are.
+def disclosing(docs: float, frequency: DataFrame, held: DataFrame, words: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """``(name, term, removed)``: what gives away an entity of the same text. There are ``docs`` documents, ``frequency(term, n_term)`` of them with a term;
+    those of ``held(name, spans, copies)`` hold entities, and ``words(name, word)``.
+
+    For a text of c copies, a term in n + c documents that stands with an entity of m + c documents in k + c of them discloses log(N p / m) / log(N / m), where p
+    is the lower bound of k / n and N + c are all documents. As k is m at most, n must be N ^ (1 - generalise) m ^ generalise at most, which few
+    terms of a text are.
     """
-    docs = float(max(rows.count(), 1))
     entity = F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s.kind, F.lower(s.value))))).alias("entity")
-    entities = held.select("doc", entity)
-    place = [F.count(F.lit(1)).alias("n_entity"), F.bit_xor(F.xxhash64("doc")).alias("a"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("b")]
-    group = ["n_entity", "a", "b"]
-    groups = entities.groupBy("entity").agg(*place).where(F.col("n_entity") < docs)
-    grouped = cut(entities.join(groups, "entity").select("doc", *group).distinct(), "entities")
-    most = lambda n: docs ** (1 - generalise) * F.pow(n, F.lit(generalise)) * (1 + 1e-9)
-    top = grouped.agg(F.max(most(F.col("n_entity")))).first()[0] or 0.0
-    frequency = rows.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    rare = held.select("doc", F.explode(terms(outside(F.col("text"), F.col("spans")))).alias("term")).join(frequency.where(F.col("n_term") <= top), "term")
-    pairs = cut(rare.join(grouped, "doc").where(F.col("n_term") <= most(F.col("n_entity"))), "pairs")
-    counts = pairs.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("n_both"), F.max("n_term").alias("n_term"))
-    information = F.log(docs * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    told = counts.withColumn("disclosure", information / F.log(docs / F.col("n_entity"))).where(F.col("disclosure") >= generalise - 1e-9)
-    told = pairs.join(told.select(*group, "term", "disclosure"), [*group, "term"]).groupBy("doc", "term").agg(F.max("disclosure").alias("disclosure"))
-    told = told.join(held.select("doc", "row_key"), "doc").groupBy("row_key", "term").agg(F.max("disclosure").alias("disclosure"))
-    return cut(told.select("row_key", "term", (F.col("disclosure") >= remove - 1e-9).alias("removed")), "disclosing")
+    entities = held.select("name", "copies", entity)
+    place = [F.sum("copies").alias("n_entity"), F.count(F.lit(1)).alias("texts"), F.max("copies").alias("most_copies"), F.bit_xor(F.xxhash64("name")).alias("a"), F.bit_xor(F.xxhash64("name", F.lit(1))).alias("b")]
+    group = ["n_entity", "most_copies", "a", "b"]
+    groups = entities.groupBy("entity").agg(*place).where((F.col("n_entity") < docs) & (F.col("texts") > 1)).drop("texts")
+    room = F.lit(docs ** (1 - generalise)) * F.pow("n_entity", F.lit(generalise)) * (1 + 1e-9) + F.col("most_copies")
+    grouped = cut(entities.join(groups, "entity").select("name", "copies", *group, room.alias("room")).distinct(), "entities")
+    top = grouped.agg(F.max("room")).first()[0] or 0.0
+    terms = words.join(grouped.select("name").distinct(), "name", "left_semi").select("name", F.lower("word").alias("term")).distinct()
+    rare = terms.join(frequency.where(F.col("n_term") <= top), "term")
+    pairs = cut(rare.join(grouped, "name").where(F.col("n_term") <= F.col("room")).drop("room"), "pairs")
+    both = pairs.groupBy(*group, "term").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts")).where("texts > 1").drop("texts")
+    rest = lambda c: F.col(c) - F.col("copies")
+    others, held_by = docs - F.col("copies"), rest("n_entity")
+    told = pairs.join(both, [*group, "term"]).where(others > held_by)
+    disclosure = F.log(others * lower_bound(rest("n_both"), rest("n_term")) / held_by) / F.log(others / held_by)
+    told = told.groupBy("name", "term").agg(F.max(disclosure).alias("disclosure")).where(F.col("disclosure") >= generalise - 1e-9)
+    return cut(told.select("name", "term", (F.col("disclosure") >= remove - 1e-9).alias("removed")), "disclosing")
 
 
 def general(word: Column) -> Column:
@@ -150,42 +169,47 @@ def general(word: Column) -> Column:
     return F.when(word.rlike(r"\p{N}"), "[CODE]").when(word.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
 
 
-def term_spans(held: DataFrame, told: DataFrame) -> DataFrame:
-    """``(row_key, term_spans)``: the places outside entities of the terms ``told(row_key, term, removed)`` in their own documents."""
-    places = _found(F.col("text"), TERM, "term", lambda x: F.lit(True))
-    words = held.join(told.select("row_key").distinct(), "row_key", "left_semi").select("row_key", "spans", F.explode(places).alias("s"))
-    words = words.where(~F.exists("spans", lambda x: (x.start < F.col("s.end")) & (x.end > F.col("s.start"))))
-    words = words.select("row_key", "s", F.lower("s.value").alias("term")).join(told, ["row_key", "term"])
-    put = F.when(F.col("removed"), "").otherwise(general(F.col("s.value"))).alias("value")
-    span = F.struct("s.start", "s.rank", "s.end", "s.kind", put)
-    return words.groupBy("row_key").agg(F.sort_array(F.collect_set(span)).alias("term_spans"))
+def term_spans(words: DataFrame, told: DataFrame) -> DataFrame:
+    """``(name, term_spans)``: the places of ``words`` that are terms of ``told(name, term, removed)`` in their own texts."""
+    found = words.withColumn("term", F.lower("word")).join(told, ["name", "term"])
+    put = F.when(F.col("removed"), "").otherwise(general(F.col("word"))).alias("value")
+    rank = F.lit((*KINDS, *ADDED).index("term")).alias("rank")
+    span = F.struct("start", rank, "end", F.lit("term").alias("kind"), put)
+    return found.groupBy("name").agg(F.sort_array(F.collect_list(span)).alias("term_spans"))
 
 
 def annotate(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
-    """The columns in ``keep``, ``spans`` (entities) and ``term_spans`` for each row; rows meet their terms by a hash of id and text."""
-    key = F.struct("doc_id", F.xxhash64("text").alias("h"))
-    rows = docs.select(*[c for c in keep if c != "text"], F.coalesce("text", F.lit("")).alias("text"), key.alias("row_key")).withColumn("spans", entity_spans(F.col("text")))
-    held = rows.where(F.size("spans") > 0).select(F.monotonically_increasing_id().alias("doc"), "row_key", "text", "spans")
-    held = cut(held, "held")  # numbered in a written table, before anything is made of the rows
-    words = term_spans(held, disclosing(rows.select("text"), held))
+    """The columns in ``keep``, ``spans`` (entities) and ``term_spans`` for each row; rows meet their terms by a digest of the text."""
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = docs.select(*[c for c in keep if c != "text"], text, F.unhex(F.md5(text)).alias("name")).withColumn("spans", entity_spans(F.col("text")))
+    held = rows.where(F.size("spans") > 0).select("name", "text", "spans").groupBy("name")
+    held = cut(held.agg(F.any_value("text").alias("text"), F.any_value("spans").alias("spans"), F.count(F.lit(1)).alias("copies")), "held")
+    words = cut(words_outside(held), "words")
+    frequency = rows.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    found = term_spans(words, disclosing(float(max(docs.count(), 1)), frequency, held.select("name", "spans", "copies"), words))
     light = rows if with_text else rows.drop("text")
-    return light.join(words, "row_key", "left").withColumn("term_spans", F.coalesce("term_spans", F.array().cast(SPAN))).drop("row_key")
+    return light.join(found, "name", "left").withColumn("term_spans", F.coalesce("term_spans", F.array().cast(SPAN))).drop("name")
 
 
 def redact(text: Column, spans: Column, term_spans: Column) -> Column:
     """``text`` with entities replaced by their kind and telling terms by a general one or nothing; overlapping spans go as one."""
     kinds = F.create_map(*[F.lit(x) for pair in REPLACED.items() for x in pair])
-    all_spans = F.sort_array(F.concat(spans, term_spans))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
-    def add(s: Column, x: Column) -> Column:
-        inside = x.start < s["at"]
-        put = F.when(x.kind == "term", x["value"]).otherwise(kinds[x.kind])
-        parts = F.when(inside, s.parts).otherwise(F.concat(s.parts, F.array(F.substring(text, s["at"] + 1, x.start - s["at"]), put)))
-        return F.struct(F.greatest(s["at"], x.end).alias("at"), parts.alias("parts"))
+    def cleaned(found: Column) -> Column:
+        ends = running_in_row(F.transform(found, lambda x: x.end), F.greatest)  # up to where the text is taken after each span
+        return let(ends, lambda e: let(pieces(text), lambda p: put(found, e, p)))
+
+    def put(found: Column, ends: Column, cut_text: Column) -> Column:
+        begins = F.concat(F.array(F.lit(0)), ends)
+
+        def part(x: Column, begin: Column) -> Column:
+            new = F.when(x.kind == "term", x["value"]).otherwise(kinds[x.kind])
+            return F.when(x.start < begin, "").otherwise(F.concat(cut_out(cut_text, begin, x.start - begin), new))
+
+        last = F.get(ends, F.size(ends) - 1)
+        return F.concat(F.array_join(F.zip_with(found, F.slice(begins, F.lit(1), F.size(found)), part), ""), cut_out(cut_text, last, F.length(text) - last))
 
-    done = F.aggregate(all_spans, start, add, lambda s: F.concat(F.array_join(s.parts, ""), F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(all_spans) == 0, text).otherwise(done)
+    return F.when(F.size(spans) + F.size(term_spans) == 0, text).otherwise(let(F.sort_array(F.concat(spans, term_spans)), cleaned))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
