@@ -487,6 +487,49 @@ def test_language_rejects_what_it_does_not_know(spark):
         assert sum(kept[False]) / len(kept[False]) < 0.5
 
 
+def test_language_scores_are_those_of_a_plain_pass(spark):
+    """Label, score and acceptance against sums over n-grams one by one."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.fitted(docs)
+    texts = [r.text for r in docs.collect()] + [*FOREIGN, "a", "Ab \u00bd cd"]
+    for text in texts:
+        counts = Counter(language.grams(text or "").tolist())
+        n = sum(counts.values())
+        got = model.predict(text)
+        if not n:
+            assert got == ("und", 0.0, False)
+            continue
+        z = [math.fsum(c / n * model.scores[g, k] for g, c in counts.items()) + model.bias[k] for k in range(len(model.bias))]
+        e = [math.exp((x - max(z)) / model.temperature) for x in z]
+        p = [x / math.fsum(e) for x in e][: len(model.languages)]
+        best = max(range(len(p)), key=p.__getitem__)
+        assert got[0] == model.languages[best] and got[1] == pytest.approx(p[best]) and got[2] == (got[1] >= model.least)
+
+
+@pytest.mark.parametrize("lang", ["a", language.OTHER])
+def test_language_step_follows_the_gradient(lang):
+    """A tiny step on one text, against differences of its loss by the biases; the loss falls."""
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, language.BUCKETS, 6))
+    n = rng.integers(1, 4, len(keys))
+    before, after = (language._fit([(lang, keys, n)], epochs, 1e-5, 7)[0] for epochs in (0, 1))
+    place = len(before.bias) - 1 if lang == language.OTHER else 0
+
+    def loss(model, bias):
+        z = (n / n.sum()) @ model.scores[keys] + bias
+        return math.log(np.exp(z).sum()) - z[place]
+
+    slope = np.array([(loss(before, before.bias + d) - loss(before, before.bias - d)) / 2e-4 for d in np.eye(len(before.bias)) * 1e-4])
+    assert (before.bias - after.bias) / 1e-5 == pytest.approx(slope, rel=1e-4, abs=1e-9)
+    assert len(slope) == 1 or loss(after, after.bias) < loss(before, before.bias)
+
+
+def test_language_noise_is_bounded(spark):
+    rows = [(i, f"some words of language {i % 30} and number {i}", f"l{i % 30}") for i in range(1200)]
+    found = Counter(r[0] for r in language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), per_language=20))
+    assert found[language.OTHER] <= 2 * 20 + 30 and len(found) == 31 and all(n <= 20 for lang, n in found.items() if lang)
+
+
 def test_language_sample_is_bounded(spark):
     """Rows of one id or text, or without an id, are drawn no more than others."""
     rows = [(None, f"the same words {i % 3}", "en") for i in range(500)] + [(7, f"der andere Text {i}", "de") for i in range(500)]

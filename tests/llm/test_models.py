@@ -56,6 +56,29 @@ def test_likelihood_and_its_gradients():
         assert by_t[k] == pytest.approx((brute(s, t + e) - brute(s, t - e)) / 2e-5, rel=1e-4)
 
 
+def test_scores_are_those_of_a_plain_sum(spark):
+    """Severity, grade and verdict against sums over features one by one, by a model as trained."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(toxicity.sample(docs, toxicity.severity_grades(labels)))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.score(docs, model).collect():
+        values = [(model.values[x], model.weights[x]) for x in toxicity.features(texts[r.doc_id]).tolist()]
+        total = math.fsum(v for v, _ in values)
+        s = math.fsum(v * w for v, w in values) * 2 * toxicity.DRAWN / (toxicity.DRAWN + total)
+        above = [1 / (1 + math.exp(min(t - s, 700))) for t in model.thresholds]
+        assert r.severity == pytest.approx(sum(above), abs=1e-9)
+        assert r.grade == sum(p >= 0.5 for p in above) or min(abs(p - 0.5) for p in above) < 1e-9
+        assert r.toxic == (above[0] >= model.cut) or abs(above[0] - model.cut) < 1e-9
+
+
+@pytest.mark.parametrize("grades, severity, toxic", [([], 0, False), ([0] * 9, 0, False), ([1] * 9, 1, True), ([2] * 9, 2, True), ([1, 2] * 5, 1.5, True)])
+def test_toxicity_with_one_kind_of_rows(spark, grades, severity, toxic):
+    rows = [(grade, 1.0, toxicity.features(f"word{i} other{i % 3}")) for i, grade in enumerate(grades)]
+    model = toxicity.train(rows)
+    found = toxicity.score(spark.createDataFrame([(1, "word1 other2"), (2, None)], "doc_id long, text string"), model).collect()
+    assert [r.severity for r in found] == pytest.approx([severity] * 2) and all(r.toxic == toxic for r in found)
+
+
 def test_toxicity_sample_is_bounded(spark):
     rows = [(i % 4, f"word{i} other{i}") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)

@@ -141,6 +141,8 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, entries: int = ENT
     first = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
     drawn = drawn.withColumn("place", first).where(F.col("place") <= per_language)
 
+    noisy = 2 * -(-2 * per_language // len(counts))  # of these places every other gives noise, ``2 * per_language`` rows or a few more
+
     def counted(text: str) -> tuple[list[int], list[int]]:
         found = Counter()
         for at in range(0, len(text), CHUNK):
@@ -153,7 +155,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, entries: int = ENT
             made = []
             for lang, text, draw, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 made.append((lang, draw, *counted(text)))
-                if place % 2:
+                if place % 2 and place <= noisy:
                     made.append((OTHER, draw, *counted(noise(text))))
             lang, at, keys, n = zip(*made, strict=True) if made else ((), (), (), ())
             columns = [pa.array(lang, pa.string()), pa.array(at, pa.float64()), *(pa.array(x, pa.list_(pa.int32())) for x in (keys, n))]

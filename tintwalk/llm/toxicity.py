@@ -11,7 +11,8 @@ Training takes a bounded sample, up to ``PER_GRADE`` labelled rows and ``ENTRIES
 weighted back to their true share; a fifth of it is kept back to choose the probability from which a text counts as toxic.
 
 Defined cases: null and empty texts have no features, their severity is that of the thresholds alone; texts are read whole; repeated
-rows get equal results; labels that repeat for an id count at their highest; without labelled rows severity is 0 everywhere.
+rows get equal results; labels that repeat for an id count at their highest; without labelled rows severity is 0 everywhere; where there are toxic rows only, or none, every
+text has the shares of the grades, so that one grade alone is everyone's.
 """
 
 from __future__ import annotations
@@ -140,7 +141,9 @@ def train(rows: list[tuple[int, float, np.ndarray]], steps: int = STEPS, rate: f
     kept, fit = order[: len(rows) // 5], order[len(rows) // 5 :]
     toxic = grades[fit] > 0
     if not toxic.any() or toxic.all():
-        return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), np.full(1, 40.0))
+        share = np.array([np.average(grades > k, weights=weights) if len(rows) else 0.0 for k in range(max(top, 1))])
+        with np.errstate(divide="ignore"):
+            return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), np.clip(np.log(1 - share) - np.log(share), -40, 40))
     seen = [np.bincount(np.concatenate([rows[i][2] for i in fit[of]]), minlength=BUCKETS) + 0.5 for of in (toxic, ~toxic)]
     many = toxic.sum() + 1, (~toxic).sum() + 1
     odds = np.log(seen[0] / many[0]) - np.log(seen[1] / many[1])
