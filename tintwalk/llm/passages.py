@@ -6,8 +6,9 @@ bucket are cut out and sorted, and those that an earlier document has too are to
 
 Only what can repeat travels. Equal texts are collapsed first: of a text that an earlier document has whole, each window goes. Then minimisers alone are
 counted, and windows sent if their minimiser stands in two texts or more. A minimiser that stands in more than ``BUCKET`` places would make a bucket too
-large for a task. Its packed strings are compared by digests of 128 bits, each in a bucket of its own, which settles all windows of a string that an earlier document
-has whole; the windows of the earliest document of each string then go one by one, by their digests.
+large for a task. Its windows are compared by digests of 128 bits, each in a bucket of its own: first those of chunks, runs of such stretches that end at minimisers of a
+kind, so that equal passages have equal chunks; then, of the earliest document of each chunk, single stretches; then, of the earliest of each stretch, single windows.
+What an earlier document has whole is settled at each step, so that a passage in very many documents sends few rows for each.
 
 Defined cases: null texts are empty; a document without an id is neither earlier nor later than any, so it loses nothing and takes nothing away; documents of one id
 don't take from each other; texts shorter than a window keep all their words; repeated rows get equal results; words of over ``LONG`` bytes are compared by
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from tintwalk.llm.common import cut, table
 
 WINDOW, RUN, BUCKET = 50, 8, 4096
+#: One minimiser in so many ends a chunk.
+ENDS = 16
 #: Longer words travel as their digest, behind a character that no word holds.
 LONG = 64
 #: Windows whose minimisers are found at a time, which bounds memory on very long texts.
@@ -102,21 +105,27 @@ def suspects(docs: DataFrame, texts: DataFrame, bucket: int = BUCKET) -> DataFra
     return cut(docs.select("doc_id", _name(), "text").join(shared, ["name", "doc_id"]).dropDuplicates(["name"]), "suspects")
 
 
-def _pieces(rows: DataFrame, wanted: str, of: int, made, schema: str) -> DataFrame:
-    """``made(words, stretch)`` gives the tuples that follow ``name, doc_id`` for each stretch whose start (``of`` is 0) or minimiser (2) is in the column ``wanted``."""
+def _pieces(rows: DataFrame, keep: list[str], made, schema: str) -> DataFrame:
+    """``made(words, stretches)`` gives the tuples that follow ``name, doc_id``, from the stretches whose minimisers are in the column ``keep`` names, or, if it
+    names two, which start within the ranges that these columns give by start and windows."""
     names = [field.split()[0] for field in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, doc_id, text, keep in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for name, doc_id, text, *wanted in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 words = words_of(text)
                 found = stretches(words)
-                keep = np.isin(found[of], np.array(keep, dtype=np.int64))
-                pieces = [(name, doc_id, *piece) for stretch in zip(*(x[keep].tolist() for x in found), strict=True) for piece in made(words, *stretch)]
+                if len(wanted) == 1:
+                    chosen = np.isin(found[2], np.array(wanted[0], dtype=np.int64))
+                else:
+                    begins, lengths = np.array(sorted(zip(*wanted, strict=True)), dtype=np.int64).T
+                    at = np.maximum(np.searchsorted(begins, found[0], side="right") - 1, 0)
+                    chosen = (begins[at] <= found[0]) & (found[0] < begins[at] + lengths[at])
+                pieces = [(name, doc_id, *piece) for piece in made(words, list(zip(*(x[chosen].tolist() for x in found), strict=True)))]
                 for at in range(0, len(pieces), CHUNK):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*pieces[at : at + CHUNK], strict=True)], names=names)
 
-    return rows.where(F.size(wanted) > 0).select("name", "doc_id", "text", wanted).mapInArrow(run, schema)
+    return rows.where(F.size(keep[0]) > 0).select("name", "doc_id", "text", *keep).mapInArrow(run, schema)
 
 
 def repeats(rows: Iterable[tuple[bytes, int, int, bytes]], window: int = WINDOW) -> list[tuple[bytes, int, int]]:
@@ -145,8 +154,8 @@ def repeats(rows: Iterable[tuple[bytes, int, int, bytes]], window: int = WINDOW)
 def _in_buckets(rows: DataFrame) -> DataFrame:
     """``(name, start, windows)`` that repeat, of stretches whose minimisers are in ``wanted``."""
 
-    def whole(words: list[bytes], start: int, windows: int, minimiser: int) -> list[tuple]:
-        return [(minimiser, start, packed(words[start : start + windows + WINDOW - 1]))]
+    def whole(words: list[bytes], found: list[tuple[int, int, int]]) -> list[tuple]:
+        return [(minimiser, start, packed(words[start : start + windows + WINDOW - 1])) for start, windows, minimiser in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         in_order = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
@@ -154,29 +163,43 @@ def _in_buckets(rows: DataFrame) -> DataFrame:
             if found := repeats(row[1:] for row in bucket):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["name", "start", "windows"])
 
-    strings = _pieces(rows, "wanted", 2, whole, "name binary, doc_id long, minimiser long, start long, packed binary").select("minimiser", "name", "doc_id", "start", "packed")
+    strings = _pieces(rows, ["wanted"], whole, "name binary, doc_id long, minimiser long, start long, packed binary").select("minimiser", "name", "doc_id", "start", "packed")
     return strings.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(run, "name binary, start long, windows long")
 
 
 def _by_digests(rows: DataFrame) -> DataFrame:
     """As :func:`_in_buckets`, of stretches whose minimisers are in ``hot``."""
 
-    def string(words: list[bytes], start: int, windows: int, minimiser: int) -> list[tuple]:
-        return [(_digest(b" ".join(words[start : start + windows + WINDOW - 1])), start, windows)]
+    def chunks(words: list[bytes], found: list[tuple[int, int, int]]) -> list[tuple]:
+        made, end = [], None
+        for start, windows, minimiser in found:
+            if start == end:
+                made[-1][1] += windows
+            else:
+                made.append([start, windows])
+            end = start + windows if minimiser % ENDS else None
+        return strings(words, made)
 
-    def single(words: list[bytes], start: int, windows: int, minimiser: int) -> list[tuple]:
-        return [(_digest(b" ".join(words[at : at + WINDOW])), at, 1) for at in range(start, start + windows)]
+    def strings(words: list[bytes], found: list) -> list[tuple]:
+        return [(_digest(b" ".join(words[start : start + windows + WINDOW - 1])), start, windows) for start, windows, *_ in found]
 
-    def judged(pieces: DataFrame, name: str) -> DataFrame:
-        pieces = cut(pieces, name)
-        first = pieces.groupBy("digest").agg(F.min("doc_id").alias("first"))
-        return cut(pieces.join(first, "digest").select("name", "start", "windows", (F.col("doc_id") > F.col("first")).alias("later")), name)
+    def singles(words: list[bytes], found: list[tuple[int, int, int]]) -> list[tuple]:
+        return strings(words, [(at, 1) for start, windows, _ in found for at in range(start, start + windows)])
 
-    schema = "name binary, doc_id long, digest binary, start long, windows long"
-    strings = judged(_pieces(rows, "hot", 2, string, schema), "strings")
-    own = strings.where("not later").groupBy("name").agg(F.collect_list("start").alias("starts"))
-    singles = judged(_pieces(rows.join(own, "name"), "starts", 0, single, schema), "windows")
-    return strings.where("later").unionByName(singles.where("later")).drop("later")
+    def judged(rows: DataFrame, keep: list[str], made) -> DataFrame:
+        pieces = cut(_pieces(rows, keep, made, "name binary, doc_id long, digest binary, start long, windows long"), "pieces")
+        first = pieces.groupBy("digest").agg(F.min("doc_id").alias("first"))
+        later = (F.col("doc_id") > F.col("first")).alias("later")
+        return cut(pieces.join(first, "digest").select("name", "start", "windows", later), "judged")
+
+    found = judged(rows, ["hot"], chunks)
+    repeated = found.where("later")
+    for made in (strings, singles):
+        own = found.where("not later").groupBy("name").agg(F.collect_list(F.struct("start", "windows")).alias("own"))
+        rest = rows.select("name", "doc_id", "text").join(own.select("name", "own.start", "own.windows"), "name")
+        found = judged(rest, ["start", "windows"], made)
+        repeated = repeated.unionByName(found.where("later"))
+    return repeated.drop("later")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
