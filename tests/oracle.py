@@ -47,6 +47,8 @@ class Graph:
             case f.Var(name):
                 k = env.get(name, name)
                 return {(s, c) for s, c in self.space() if s == k}
+            case f.Step(along, incoming):
+                return {((b if incoming else a), c) for a, b, name, facet, c in self.edges if holds(along, name, facet)}
             case f.Not(a):
                 return self.space() - sub(a)
             case f.And(a, b):
