@@ -1,8 +1,12 @@
-"""Evaluates formulas over a transition system: each becomes a relation ``(state, colour)``, by way of one relation per sub-formula."""
+"""Evaluates formulas over a transition system: each becomes a relation ``(state, colour)``, by way of one relation per sub-formula.
+
+Relations of sub-formulas have a sign, and a state only if it matters (see :mod:`tintwalk.operators.signed`). They are built as rows with all their columns where a temporal
+operator reads them, and at the end.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -10,11 +14,13 @@ from pyspark.sql import functions as F
 
 from tintwalk import formula as f
 from tintwalk.operators import relations as r
+from tintwalk.operators import signed
 from tintwalk.operators import temporal as t
+from tintwalk.operators.signed import COLOUR, STATE, Relation
 from tintwalk.system import TransitionSystem
 from tintwalk.written import cut
 
-#: Rows that a table of all pairs, triples and so on of states may have, which a complement over open names, ``at`` and some quantifiers build.
+#: Rows that a table of all pairs, triples and so on of states may have, which a negation over open names needs if a temporal operator reads it.
 LARGEST_SPACE = 10**12
 
 
@@ -31,7 +37,8 @@ class Checker:
     def __init__(self, system: TransitionSystem, largest_space: int = LARGEST_SPACE):
         self.system, self.largest_space = system, largest_space
         self.rounds: list[tuple[str, int, int]] = []
-        self._known: dict[f.Formula, DataFrame] = {}
+        self._known: dict[f.Formula, Relation] = {}
+        self._built: dict[f.Formula, DataFrame] = {}
         self._past: TransitionSystem | None = None
         self._sizes: tuple[int, int] | None = None
         self._written = False
@@ -44,7 +51,7 @@ class Checker:
             raise ValueError(f"states that are bound nowhere: {', '.join(names)}")
         self._declared(query)
         self._keep([query])
-        return self.relation(f.canonical(query)).select(*r.KEY)
+        return self.rows(f.canonical(query)).select(*r.KEY)
 
     def _keep(self, queries: Iterable[f.Formula]) -> None:
         """A system whose edges are read more than once is written, so that what it is made from isn't worked out each time."""
@@ -66,11 +73,37 @@ class Checker:
         """``(fixpoint, round, rows)``: rows that each round of each fixpoint so far has added."""
         return self.system.states.sparkSession.createDataFrame(self.rounds, "fixpoint string, round int, rows long")
 
-    def relation(self, q: f.Formula) -> DataFrame:
+    def relation(self, q: f.Formula) -> Relation:
         if q not in self._known:
             self._known[q] = self._made(q)
         return self._known[q]
 
+    def rows(self, q: f.Formula) -> DataFrame:
+        """``(names..., state, colour)``."""
+        if q not in self._built:
+            rel = self.relation(q)
+            self._built[q] = self._with(rel, rel.columns | {STATE})
+        return self._built[q]
+
+    def _with(self, rel: Relation, columns: set[str]) -> DataFrame:
+        """Rows of ``rel`` with all of ``columns``: any state for those that it lacks."""
+        if not rel.negated and rel.columns == columns:
+            return signed.ordered(rel.rows, columns)
+        lacking = columns - (set() if rel.negated else rel.columns)
+        if len(columns) > 1 and lacking:
+            states, colours = self._count()
+            if rel.negated:
+                self._allow(states ** len(columns) * colours, f"a negation over {len(columns) - (STATE in columns)} open names")
+            else:
+                rel = Relation(cut(rel.rows, "rows"))
+                self._allow(rel.rows.count() * states ** len(lacking), "what holds for any state")
+        space = self.system.colours.select(COLOUR) if rel.negated else rel.rows
+        for column in sorted(lacking):
+            space = space.crossJoin(self.system.states.select(F.col(STATE).alias(column)))
+        if rel.negated:
+            space = space.join(rel.rows, [*sorted(rel.columns), COLOUR], "left_anti")
+        return signed.ordered(space, columns)
+
     def _flow(self, past: bool) -> DataFrame:
         if not past:
             return self.system.edges
@@ -85,92 +118,74 @@ class Checker:
         if rows > self.largest_space:
             raise ValueError(f"{what} would have {rows} rows; bound the names, or raise largest_space")
 
-    def _space(self, open_names: int) -> DataFrame:
-        if open_names:
-            states, colours = self._count()
-            self._allow(states ** (open_names + 1) * colours, f"a negation over {open_names} open names")
-        return self.system.space()
-
-    def _made(self, q: f.Formula) -> DataFrame:
+    def _made(self, q: f.Formula) -> Relation:
         system, states = self.system, self.system.states
         match q:
             case f.Truth(value):
-                return system.space() if value else r.nothing(system.space())
+                return Relation(r.nothing(system.colours.select(COLOUR)), negated=value)
             case f.Atom(name):
                 if system.atoms is None:
-                    return r.nothing(system.space())
-                return system.atoms.where(F.regexp_replace("atom", r"\s+", "") == name).select(*r.KEY).distinct()
+                    return Relation(r.nothing(system.space()))
+                return Relation(system.atoms.where(F.regexp_replace("atom", r"\s+", "") == name).select(*r.KEY).distinct())
             case f.Where(condition):
-                return states.where(F.expr(condition)).select("state").crossJoin(system.colours.select("colour"))
+                return Relation(states.where(F.expr(condition)).select(STATE).crossJoin(system.colours.select(COLOUR)))
             case f.Step(along, incoming):
                 edges = system.edges.where(along.column())
-                return t.targets(edges) if incoming else t.sources(edges)
+                return Relation(t.targets(edges) if incoming else t.sources(edges))
             case f.Var(name):
                 if isinstance(name, int):
-                    return system.space().where(F.col("state") == name)
-                return system.space().select(F.col("state").alias(_column(name)), *r.KEY)
+                    return Relation(system.space().where(F.col(STATE) == name))
+                return Relation(system.space().select(F.col(STATE).alias(_column(name)), *r.KEY))
             case f.Not(inner):
-                rel = self.relation(inner)
-                return r.complement(rel, self._space(len(r.names(rel))), states)
-            case f.And(left, f.Not(right)) | f.And(f.Not(right), left) if f.free(right) <= f.free(left):
-                return r.difference(self.relation(left), self.relation(right))
+                return ~self.relation(inner)
             case f.And(left, right):
-                return r.conjunction(self.relation(left), self.relation(right))
+                a, b = self.relation(left), self.relation(right)
+                return signed.both(a, b) or self._widened(signed.both, a, b)
             case f.Or(left, right):
                 a, b = self.relation(left), self.relation(right)
-                if set(r.names(a)) != set(r.names(b)):
-                    self._space(len({*r.names(a), *r.names(b)}))
-                return r.disjunction(a, b, states)
+                return signed.either(a, b) or self._widened(signed.either, a, b)
             case f.Next(every, past, inner, along):
-                return (t.every_next if every else t.some_next)(self.relation(inner), self._flow(past), along.column())
+                return Relation((t.every_next if every else t.some_next)(self.rows(inner), self._flow(past), along.column()))
             case f.Until(every, past, path, goal, along, weak):
-                held = None if path == f.TRUE else self.relation(path)
-                rel, edges = self.relation(goal), self._flow(past)
+                held = None if path == f.TRUE else self.rows(path)
+                rel, edges = self.rows(goal), self._flow(past)
                 if every:
-                    return t.every_until(held, rel, edges, along.column(), states, weak, system.space(), log=self.rounds)
-                return t.exists_until(held, rel, edges, along.column(), states, weak, log=self.rounds)
+                    return Relation(t.every_until(held, rel, edges, along.column(), states, weak, system.space(), log=self.rounds))
+                return Relation(t.exists_until(held, rel, edges, along.column(), states, weak, log=self.rounds))
             case f.Bind(name, inner):
-                rel = self.relation(inner)
-                return rel.where(F.col(_column(name)) == F.col("state")).drop(_column(name))
+                return signed.bound(self.relation(inner), _column(name))
             case f.At(name, inner):
-                return self._at(name, self.relation(inner))
+                return signed.at(self.relation(inner), name if isinstance(name, int) else _column(name))
             case f.Exists(name, bound, inner):
                 return self._exists(_column(name), bound, inner)
         raise ValueError(f"not a formula: {q}")
 
-    def _at(self, name: str | int, rel: DataFrame) -> DataFrame:
-        """What holds at one state, at every state."""
-        everywhere = self.system.states.select("state")
-        if isinstance(name, int):
-            there = rel.where(F.col("state") == name).drop("state")
-        elif (column := _column(name)) in rel.columns:
-            there = rel.where(F.col("state") == F.col(column)).drop("state")
-        else:
-            there = rel.withColumnRenamed("state", column)
-        there = cut(there.distinct(), "there")
-        self._allow(there.count() * self._count()[0], "what holds at one state, at every state,")
-        there = there.crossJoin(everywhere)
-        return there.select(*sorted(r.names(there)), *r.KEY)
-
-    def _exists(self, column: str, bound: f.Formula, inner: f.Formula) -> DataFrame:
+    def _widened(self, meet: Callable[[Relation, Relation], Relation | None], a: Relation, b: Relation) -> Relation:
+        """``meet`` of relations that lack each other's columns: both get any state for them, or the one that would lose rows to the other."""
+        columns = a.columns | b.columns
+        loses = lambda x: a.negated == b.negated or x.negated == (meet is signed.either)
+        return meet(*(Relation(self._with(Relation(x.rows), columns), x.negated) if loses(x) and x.columns != columns else x for x in (a, b)))
+
+    def _exists(self, column: str, bound: f.Formula, inner: f.Formula) -> Relation:
         """Some state of ``bound`` puts a row into ``inner``. The bound's own names stay open."""
-        limits = self.relation(bound).withColumnRenamed("state", column)
-        if isinstance(inner, f.Not):  # candidates under the bound less what fails, not all pairs less what fails
-            rel = self.relation(inner.inner)
-            if column in rel.columns:
-                others = [c for c in r.names(rel) if c not in limits.columns]
-                limits = cut(limits, "bound")
-                self._allow(limits.count() * self._count()[0], "a quantifier's bound times all states")
-                candidates = limits.crossJoin(self.system.states.select("state"))
-                candidates = r.widened(candidates, others, self.system.states)
-                return self._dropped(r.difference(candidates, rel), column)
-        rel = self.relation(inner)
+        rel, limits = self.relation(inner), None
+        if bound != f.TRUE:
+            limits = self.rows(bound).withColumnRenamed(STATE, column)
+        if not rel.negated:
+            return signed.some(rel.rows, column, limits)
+        if limits is None:
+            limits = self.system.space().withColumnRenamed(STATE, column)
         if column not in rel.columns:
-            limits = limits.drop(column).distinct()
-        shared = [c for c in rel.columns if c in limits.columns]
-        return self._dropped(rel.join(limits, shared), column)
-
-    @staticmethod
-    def _dropped(rel: DataFrame, column: str) -> DataFrame:
-        kept = sorted(c for c in r.names(rel) if c != column)
-        return rel.select(*kept, *r.KEY).distinct()
+            some = Relation(limits.drop(column).distinct())
+            return signed.both(some, rel) or self._widened(signed.both, some, rel)
+        names = set(limits.columns) - {COLOUR}
+        if rel.columns <= names:
+            return signed.some(limits.join(rel.rows, [*sorted(rel.columns), COLOUR], "left_anti"), column, None)
+        if names == {column}:  # not all of them are in what is negated
+            all_in = signed.every(rel.rows, column, limits)
+            idle = self.system.colours.select(COLOUR).join(limits, COLOUR, "left_anti")
+            if not idle.isEmpty():  # in a colour without candidates there is none
+                rest = self._with(Relation(idle), rel.columns - {column})
+                all_in = all_in.unionByName(rest)
+            return ~Relation(all_in)
+        return signed.some(self._with(rel, rel.columns | names), column, limits)
