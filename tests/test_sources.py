@@ -1,9 +1,14 @@
 """Text descriptions, generated cubes, encodings and partitions."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from tests.oracle import Graph
 from tintwalk import formula as f
+from tintwalk import formula_text
 from tintwalk.functions.colours import Arrays, Masks, decoded, encoded
 from tintwalk.operators import partitioning, relations
 from tintwalk.plans.checker import Checker
@@ -87,30 +92,68 @@ def test_a_description_is_asked_and_checked(spark):
         wrong.check()
 
 
-TREE = """:states r; :states r1, r2; :states a, b, c, d
-:edges r -> r1, r -> r2, r1 -> a, r1 -> b, r2 -> c, r2 -> d, a -> a, b -> b, c -> c, d -> d
-:atom "leaf == 1" = [a, b]; :atom "leaf == 2" = [c, d]; :atom "leaf == 11" = [a]; :atom "2*leaf == 0" = [r, r1, r2]; :atom "x:in+" = [r1, a]
-:assert "EX leaf == 1 && ! leaf == 1" == [r1]
-:assert "AX leaf == 2 && ! leaf == 2" == [r2]
-:assert "EX 2 * leaf == 0 && 2*leaf==0" == [r]
-:assert "EF leaf == 11" == [r, r1, a]
-:assert "!(EF leaf == 11 -> EF leaf == 2)" == [r1, a]
-:assert "AF leaf == 1 AU leaf == 11" == [a]
-:assert "EF leaf == 1 EU leaf == 11" == [r, r1, a]
-:assert "exists s in leaf == 11: EF s && !s" == [r, r1]
-:assert "! exists s in leaf == 11: EF s" == [r2, b, c, d]
-:assert "forall s in x:in+: EF s" == [r, r1]
-:assert "EF leaf == 1 && bind x: pAF (EF leaf == 2 && !x)" == [r1]
-:assert "bind x: EX x" == [a, b, c, d]
-:assert "exists x: x && AG AF x" == [a, b, c, d]
-:assert "exists s: at s: x:in+" == [r, r1, r2, a, b, c, d]
-:assert "x:in+ <-> leaf == 1 || false" == [r, r2, a, c, d]
-:assert "pEX 2*leaf == 0 && pEwX true" == [r1, r2, a, b, c, d]
-"""
-
-
-def test_asserts_of_a_tree(spark):
-    assert text.parse(spark, TREE).check() == 16
+#: A ticket of a help desk, from (source, direction, target): strict desks review all work, loose ones let a ticket be dropped.
+STATES = ("done", "dropped", "fresh", "parked", "review", "sorted", "work")  # in order of their numbers
+MOVES = {
+    "strict, loose": [("fresh", "age+", "sorted"), ("sorted", "age+", "work"), ("work", "age+", "parked"), ("parked", "age-", "work"), ("done", None, "done")],
+    "strict": [("work", "age+", "review"), ("review", "age-", "work"), ("review", "age+", "done")],
+    "loose": [("work", "age+", "done"), ("sorted", "age-", "dropped"), ("parked", "age-", "dropped")],
+}
+HOLDS = {
+    "open == 1": {"fresh": "strict, loose", "sorted": "strict, loose", "work": "strict, loose", "parked": "strict, loose", "review": "strict"},
+    "closed == 1": {"done": "strict, loose", "dropped": "loose"},
+    "owner >= 1": {"work": "strict, loose", "review": "strict", "parked": "loose"},
+}
+TICKET_FORMULAS = [
+    "AG (open == 1 -> EF closed == 1)",
+    "owner>=1 AU closed == 1",
+    "EwX closed == 1 && EX true",
+    "EX{age+} owner >= 1 && !EX{age-} true",
+    "bind here: AX AF here",
+    "bind here: EX{!age-} EF here && open == 1",
+    "exists t in closed == 1: EF t && !EX t",
+    "forall t in owner >= 1: EF (t || closed == 1)",
+    "forall t in closed == 1: open == 1 EU t",
+    "at 6: EX owner >= 1",
+    "exists t: (at t: closed == 1) && EX EX t",
+    "pEF{age+} (open == 1 && !owner >= 1) && !pEX owner >= 1",
+    "pAX open == 1 <-> open == 1",
+    "AwF{age+} closed == 1",
+    "EG owner >= 1 || pAG open == 1",
+    "age:in+ && !age:out- || age : out +",
+    "forall y in (bind z: EX EF z): EF y",
+    "exists y in (bind z: EX EF z): EF y && !closed == 1",
+]
+
+
+def ticket():
+    """The description without assertions, and the same graph for the evaluator."""
+    of = {"loose": 0, "strict": 1}  # by name
+    lines, edges, atoms = [":params strict, loose", ":states " + ", ".join(reversed(STATES))], set(), set()
+    for colours, moves in MOVES.items():
+        for a, way, b in moves:
+            lines.append(f":edges {a} -({colours})> " + (f'"{way[:-1]} {way[-1]}" ' if way else "") + b)
+            edges |= {(STATES.index(a), STATES.index(b), way and way[:-1], way[-1] if way else "TRUE", of[c]) for c in colours.split(", ")}
+    for atom, where in HOLDS.items():
+        lines.append(f':atom "{atom}" = [' + ", ".join(f"{state}({colours})" for state, colours in where.items()) + "]")
+        atoms |= {(atom.replace(" ", ""), STATES.index(state), of[c]) for state, colours in where.items() for c in colours.split(", ")}
+    for facet in "+-":
+        for side, k in (("in", 1), ("out", 0)):
+            atoms |= {(f"age:{side}{facet}", e[k], e[4]) for e in edges if e[2:4] == ("age", facet)}
+            lines.append(f':atom "age:{side}{facet}" = [' + ", ".join(f"{STATES[s]}({['loose', 'strict'][c]})" for a, s, c in sorted(atoms) if a == f"age:{side}{facet}") + "]")
+    return "\n".join(lines), Graph(len(STATES), 2, edges, atoms)
+
+
+def test_a_ticket_is_asserted(spark):
+    """Assertions as text, of what the evaluator answers on the same graph; a wrong one fails."""
+    told, graph = ticket()
+    for asked in TICKET_FORMULAS:
+        found = graph.sat(formula_text.parse(asked))
+        listed = [f"{STATES[s]}({['loose', 'strict'][c]})" for s, c in sorted(found)]
+        told += f'\n:assert "{asked}" == [{", ".join(listed)}]'
+    assert text.parse(spark, told).check() == len(TICKET_FORMULAS)
+    with pytest.raises(AssertionError, match="EX closed==1|EX closed == 1"):
+        text.parse(spark, told + '\n:assert "EX closed == 1" == [fresh]').check()
 
 
 def test_relations_by_hand(spark):
@@ -127,21 +170,28 @@ def test_relations_by_hand(spark):
         relations.assert_equal(a, b, "p")
 
 
-def test_modular_boolean_model(spark):
-    """Propositions over states by remainders, in four colours; connectives against sets."""
-    n = 2000
-    holds = {
-        "p": {(s, c) for s in range(0, n, 2) for c in (3, 4, 1 if s % 4 == 0 else 2)},
-        "q": {(s, c) for s in range(0, n, 3) for c in (2, 3, 1 if s % 9 == 0 else 4)},
-        "t": {(s, c) for s in range(0, n, 5) for c in (1, 4, 3 if s % 25 == 0 else 2)},
+def test_connectives_over_many_states(spark):
+    """Random connectives over propositions by the digits of a state, in six colours, against sets."""
+    rng, n, colours = random.Random(12), 1500, 6
+    rules = {
+        "ones": lambda s, c: bin(s).count("1") > c + 2,
+        "ends": lambda s, c: str(s)[-1] == str(c),
+        "square": lambda s, c: math.isqrt(s - c) ** 2 == s - c if s >= c else c == 5,
     }
-    atoms = spark.createDataFrame([(a, *x) for a, rows in holds.items() for x in rows], "atom string, state long, colour int")
-    states, colours = spark.range(n).withColumnRenamed("id", "state"), spark.createDataFrame([(c,) for c in (1, 2, 3, 4)], "colour int")
-    checker = Checker(TransitionSystem(states, colours, spark.createDataFrame([], EDGE_SCHEMA), atoms))
-    p, q, t, full = holds["p"], holds["q"], holds["t"], {(s, c) for s in range(n) for c in (1, 2, 3, 4)}
-    a, b, c = f.atom("p"), f.atom("q"), f.atom("t")
-    for asked, want in ((a & b, p & q), (a | c, p | t), (~b, full - q), (a.implies(b), (full - p) | q), (a.iff(c), (p & t) | (full - p - t)), (a & ~(b | c) | (b & c & ~a), (p - q - t) | (q & t) - p)):
-        assert {tuple(r) for r in checker.verify(asked).collect()} == want
+    g = Graph(n, colours, set(), {(name, s, c) for name, rule in rules.items() for s in range(n) for c in range(colours) if rule(s, c)})
+    atoms = spark.createDataFrame(sorted(g.atoms), "atom string, state long, colour int")
+    states, some = spark.range(n).withColumnRenamed("id", "state"), spark.createDataFrame([(c,) for c in range(colours)], "colour int")
+    checker = Checker(TransitionSystem(states, some, spark.createDataFrame([], EDGE_SCHEMA), atoms))
+
+    def drawn(depth):
+        if not depth:
+            return f.atom(rng.choice(list(rules)))
+        a, b = drawn(depth - 1), drawn(depth - 1)
+        return rng.choice([a & b, a | b, ~a, a.implies(b), a.iff(b), a & ~b])
+
+    for _ in range(12):
+        asked = drawn(rng.randint(1, 4))
+        assert {tuple(r) for r in checker.verify(asked).collect()} == g.sat(asked), asked
 
 
 def test_long_chain(spark):

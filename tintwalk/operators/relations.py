@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ["state", "colour"]
@@ -68,9 +69,11 @@ def pivots(rel: DataFrame) -> DataFrame:
 def different(a: DataFrame, b: DataFrame) -> DataFrame:
     """``(side, ...)``: rows of one relation that the other lacks; empty for equal relations, whatever the order or repeats of rows."""
     cols = a.columns
-    only = lambda x, y, side: x.select(*cols).exceptAll(y.select(*cols)).withColumn("side", F.lit(side))
-    a, b = a.distinct(), b.select(*cols).distinct()
-    return only(a, b, "left").unionByName(only(b, a, "right"))
+    a = a.distinct().select(*[F.col(c).alias(f"a_{c}") for c in cols], F.lit(1).alias("in_a"))
+    b = b.select(*cols).distinct().select(*[F.col(c).alias(f"b_{c}") for c in cols], F.lit(1).alias("in_b"))
+    same = reduce(Column.__and__, [F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) for c in cols])
+    rows = a.join(b, same, "full_outer").where("in_a is null or in_b is null")
+    return rows.select(*[F.coalesce(f"a_{c}", f"b_{c}").alias(c) for c in cols], F.when(F.col("in_b").isNull(), "left").otherwise("right").alias("side"))
 
 
 def equal(a: DataFrame, b: DataFrame) -> bool:
