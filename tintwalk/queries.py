@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from tintwalk import formula as f
 from tintwalk import formula_text
 from tintwalk.functions.colours import Arrays, Encoding, Masks, decoded, encoded
-from tintwalk.operators import components, partitioning, relations, temporal
+from tintwalk.operators import components, partitioning, relations, sets, temporal
 from tintwalk.plans.checker import Checker
+from tintwalk.plans.set_checker import SetChecker, encoding_of
 from tintwalk.sources import tables, text
 from tintwalk.sources.cube import Cube
 from tintwalk.system import TransitionSystem
@@ -563,24 +565,36 @@ does(
     lambda s: relations.of_states(s.states.where("level = 'nation'"), s.colours),
     holds(is_level("nation")),
 )
-does(
-    "range_as_relation",
-    "journey",
-    lambda s: relations.of_range(s.states.sparkSession, 3, 17, s.colours),
-    f"SELECT s AS state, CAST(colour AS INTEGER) AS colour FROM range(3, 18) t(s), {FIVE_COLOURS}",
-)
-does(
-    "state_as_relation",
-    "journey",
-    lambda s: relations.of_state(s.states.sparkSession, 7, s.colours),
-    f"SELECT CAST(7 AS BIGINT) AS state, CAST(colour AS INTEGER) AS colour FROM {FIVE_COLOURS}",
-)
-does(
-    "map_as_relation",
-    "journey",
-    lambda s: relations.of_map(s.states.sparkSession, {3: [0, 4, 4], 5: [], 9: [2]}),
-    "SELECT CAST(a AS BIGINT) AS state, CAST(b AS INTEGER) AS colour FROM (VALUES (3, 0), (3, 4), (9, 2)) t(a, b)",
-)
+NATION, CUSTOMER = f"n_nationkey + {tables.NATIONS_AT}", f"c_custkey + {tables.CUSTOMERS_AT}"
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states from the first nation to the last, in all colours."""
+    system = tables.hierarchy(spark, sf_dir)
+    first, last = system.states.where("level = 'nation'").agg(F.min("state"), F.max("state")).first()
+    return relations.of_range(spark, first, last, system.colours)
+
+
+def _busiest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer with the most orders, in all colours."""
+    system = tables.hierarchy(spark, sf_dir)
+    orders = system.edges.where(f"src >= {tables.ORDERS_AT}").groupBy("dst").agg(F.count_distinct("src").alias("n"))
+    return relations.of_state(spark, orders.orderBy(F.desc("n"), "dst").first().dst, system.colours)
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions in the colours of their nations, as a map; there are 25 nations at any scale."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy("n_regionkey").agg(F.collect_list(F.col("n_nationkey") % 5).alias("colours")).collect()
+    return relations.of_map(spark, {r.n_regionkey: r.colours for r in rows})
+
+
+QUERIES |= {"range_as_relation": _nations, "state_as_relation": _busiest, "map_as_relation": _listed}
+ORACLES |= {
+    "range_as_relation": f"SELECT CAST(s AS BIGINT) AS state, CAST(colour AS INTEGER) AS colour FROM range((SELECT min({NATION}) FROM nation), (SELECT max({NATION}) + 1 FROM nation)) t(s), {FIVE_COLOURS}",
+    "state_as_relation": f"""SELECT CAST(o_custkey + {tables.CUSTOMERS_AT} AS BIGINT) AS state, CAST(colour AS INTEGER) AS colour
+FROM (SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY count(DISTINCT o_orderkey) DESC, o_custkey LIMIT 1), {FIVE_COLOURS}""",
+    "map_as_relation": "SELECT DISTINCT CAST(n_regionkey AS BIGINT) AS state, CAST(n_nationkey % 5 AS INTEGER) AS colour FROM nation",
+}
 
 
 def _compared(system: TransitionSystem) -> DataFrame:
@@ -619,18 +633,18 @@ def described(spark: SparkSession, sf_dir: str) -> text.Description:
     nations, regions = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("nation", "region"))
     nation, region = F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey")
     edge = F.concat(F.lit(":edges "), nation, F.lit(" -("), F.when(F.col("n_nationkey") % 2 == 0, "even").otherwise("odd"), F.lit(')> "up +" '), region)
+    n, r = F.col("n_nationkey").cast("long").alias("at"), F.col("r_regionkey").cast("long").alias("at")
     lines = [
-        nations.select(F.concat(F.lit(":states "), nation).alias("line")),
-        regions.select(F.concat(F.lit(":states(1) r"), "r_regionkey").alias("line")),
-        nations.select(edge.alias("line")),
-        regions.select(F.concat(F.lit(":edges r"), "r_regionkey", F.lit(" -> r"), "r_regionkey").alias("line")),
-        regions.agg(F.concat(F.lit(':atom "level == 1" = ['), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("r"), "r_regionkey"))), ", "), F.lit("]")).alias("line")),
-        spark.createDataFrame([(x,) for x in (":params even, odd", ':verify "EF level==1" /* every state', "that */", *ASSERTS)], "line string"),
+        nations.select(n, F.concat(F.lit(":states "), nation).alias("line")),
+        regions.select(r, F.concat(F.lit(":states(1) r"), "r_regionkey").alias("line")),
+        nations.select(n, edge.alias("line")),
+        regions.select(r, F.concat(F.lit(":edges r"), "r_regionkey", F.lit(" -> r"), "r_regionkey").alias("line")),
+        regions.agg(F.lit(0).cast("long").alias("at"), F.concat(F.lit(':atom "level == 1" = ['), F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("r"), "r_regionkey"))), ", "), F.lit("]")).alias("line")),
+        spark.createDataFrame(list(enumerate((":params even, odd", ':verify "EF level==1" /* every state', "that */", *ASSERTS))), "at long, line string"),
     ]
-    rows = lines[0]
-    for more in lines[1:]:
-        rows = rows.unionByName(more)
-    return text.described(rows.agg(F.array_join(F.collect_list("line"), "\n").alias("value")))
+    rows = reduce(DataFrame.unionByName, (df.withColumn("part", F.lit(i)) for i, df in enumerate(lines)))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("part", "at", "line"))), lambda x: x.line)
+    return text.described(rows.agg(F.array_join(in_order, "\n").alias("value")))
 
 
 ASSERTS = (
@@ -650,11 +664,66 @@ ORACLES["text_assert"] = """SELECT * FROM (VALUES ('level == 1 && EX level==1',
 
 
 def _cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A generated system: where the upper corner of a cube of side 4 is reached."""
-    cube = Cube(3, 4)
+    """A generated system: where the upper corner is reached, of a cube with a cell for every supplier."""
+    suppliers, size = spark.read.parquet(f"{sf_dir}/supplier.parquet").count(), 1
+    while size**3 < suppliers:
+        size += 1
+    cube = Cube(3, size)
     return Checker(cube.system(spark)).verify(f.AF(f.where(cube.upper_corner)))
 
 
 QUERIES["cube_af_upper"] = _cube
-ORACLES["cube_af_upper"] = """WITH s AS (SELECT CAST(i AS BIGINT) AS state, [i % 4, i // 4 % 4, i // 16] AS x FROM range(64) t(i)), c AS (SELECT CAST(k AS INTEGER) AS colour FROM range(11) t(k))
-SELECT state, colour FROM s, c WHERE state = 63 OR colour = 0 OR (colour <= 9 AND (colour - 1) % 3 + 1 <= x[(colour - 1) // 3 + 1])"""
+ORACLES["cube_af_upper"] = """WITH n AS (SELECT min(k) AS n FROM range(1, 10000) t(k) WHERE k * k * k >= (SELECT count(*) FROM supplier)),
+s AS (SELECT CAST(i AS BIGINT) AS state, [i % n, i // n % n, i // (n * n)] AS x, n FROM n, range((SELECT n * n * n FROM n)) t(i)),
+c AS (SELECT CAST(k AS INTEGER) AS colour FROM range((SELECT (n - 1) * 3 + 2 FROM n)) t(k))
+SELECT state, colour FROM s, c WHERE state = n * n * n - 1 OR colour = 0 OR (colour <= (n - 1) * 3 AND (colour - 1) % greatest(n - 1, 1) + 1 <= x[(colour - 1) // greatest(n - 1, 1) + 1])"""
+
+# ---- sets of colours in fixpoints: the same answers
+
+
+def _set_asks(name: str, system: str, query: f.Formula, same_as: str, total: bool = False) -> None:
+    build = system_of(system, total)
+    QUERIES[name] = lambda spark, sf_dir: SetChecker(build(spark, sf_dir)).verify(query)
+    ORACLES[name] = ORACLES[same_as]
+
+
+_set_asks("ef_sets", "journey", f.EF(kind("purchase")), "ef")
+_set_asks("au_sets", "journey", f.AU(kind("view") | kind("click"), kind("purchase")), "au", total=True)
+_set_asks("ax_sets", "hierarchy", f.AX(level("nation") | level("region")), "ax")
+
+
+def _set_reach(system: TransitionSystem) -> DataFrame:
+    how = encoding_of(system)
+    coded = lambda rel: encoded(rel, how)
+    return decoded(sets.reach(coded(CLICKS(system)), sets.edges_of(system.edges, how), how, guard=coded(NOT_ERRORS(system))), how)
+
+
+QUERIES["reach_sets"] = lambda spark, sf_dir: _set_reach(system_of("journey")(spark, sf_dir))
+ORACLES["reach_sets"] = ORACLES["reach_forward_guarded"]
+
+# ---- negations and quantifiers that build no pairs
+
+HAND = "EXISTS (SELECT 1 FROM e x WHERE x.src = space.state AND x.colour = space.colour AND x.dst = {})"
+asks(
+    "not_pairs",
+    "handoff",
+    f.exists("x", f.exists("y", ~(f.EX(f.var("x")) & f.EX(f.var("y"))), bound=small(5)), bound=small(7)),
+    holds(f"EXISTS (SELECT 1 FROM states a, states b WHERE a.state % 7 = 0 AND b.state % 5 = 0 AND NOT ({HAND.format('a.state')} AND {HAND.format('b.state')}))"),
+)
+asks(
+    "forall_counted",
+    "handoff",
+    f.forall("x", f.EX(f.EX(f.var("x"))), bound=f.EX(small(97))),
+    f"""SELECT state, colour FROM space WHERE (SELECT count(*) FROM b WHERE b.colour = space.colour) =
+(SELECT count(*) FROM two JOIN b ON b.state = two.dst AND b.colour = two.colour WHERE two.src = space.state AND two.colour = space.colour)""",
+    ctes="""b AS (SELECT DISTINCT src AS state, colour FROM e WHERE dst % 97 = 0),
+two AS (SELECT DISTINCT x.src, y.dst, x.colour FROM e x JOIN e y ON y.src = x.dst AND y.colour = x.colour)""",
+)
+asks(
+    "at_some",
+    "handoff",
+    f.exists("x", f.at("x", f.EX(small(7)) & ~f.EX(small(11))) & f.EX(f.var("x"))) & ~f.at(5, f.EX(small(7)) & small(11)),
+    holds("""EXISTS (SELECT 1 FROM e x WHERE x.src = space.state AND x.colour = space.colour
+  AND EXISTS (SELECT 1 FROM e y WHERE y.src = x.dst AND y.colour = x.colour AND y.dst % 7 = 0)
+  AND NOT EXISTS (SELECT 1 FROM e y WHERE y.src = x.dst AND y.colour = x.colour AND y.dst % 11 = 0))"""),
+)
