@@ -102,7 +102,9 @@ def suspects(docs: DataFrame, texts: DataFrame, bucket: int = BUCKET) -> DataFra
     shared = texts.select("name", "doc_id", F.explode(F.array_distinct("minimisers")).alias("minimiser")).join(counts, "minimiser")
     lists = [F.collect_list(F.when(F.col("large") == large, F.col("minimiser"))).alias(name) for large, name in ((False, "wanted"), (True, "hot"))]
     shared = cut(shared.groupBy("name", "doc_id").agg(*lists), "shared")
-    return cut(docs.select("doc_id", _name(), "text").join(shared, ["name", "doc_id"]).dropDuplicates(["name"]), "suspects")
+    key = ["name", "doc_id"]  # met without the lists first, which is a small table as long as few texts share anything
+    texts = docs.select("doc_id", _name(), "text").join(shared.select(*key), key, "left_semi").join(shared, key)
+    return cut(texts.dropDuplicates(["name"]), "suspects")
 
 
 def _pieces(rows: DataFrame, keep: list[str], made, schema: str) -> DataFrame:
@@ -192,6 +194,7 @@ def _by_digests(rows: DataFrame) -> DataFrame:
         later = (F.col("doc_id") > F.col("first")).alias("later")
         return cut(pieces.join(first, "digest").select("name", "start", "windows", later), "judged")
 
+    rows = rows.where(F.size("hot") > 0)
     found = judged(rows, ["hot"], chunks)
     repeated = found.where("later")
     for made in (strings, singles):
