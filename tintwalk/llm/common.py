@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tintwalk.written import cut, dropped, ranked, shared_folder, written
 
-__all__ = ["SPACE", "WORD", "components", "cut", "cut_out", "dropped", "let", "lists", "pieces", "ranked", "released", "running_in_row", "running_total", "shared_folder", "table", "written"]
+__all__ = ["SPACE", "WORD", "components", "cut", "cut_out", "dropped", "let", "lists", "pieces", "ranked", "running_in_row", "running_total", "shared_folder", "table", "written"]
 
 #: ASCII white space as the contracts define it, and a word between such characters.
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
@@ -37,13 +36,6 @@ def lists(rows: pa.Table, column: str) -> list[np.ndarray]:
     return np.split(held.flatten().to_numpy(zero_copy_only=False), at[1:-1])
 
 
-def released(spark: SparkSession) -> None:
-    """Let go of the shuffles behind tables that have been written since: Spark keeps them until the driver collects its garbage."""
-    for _ in range(2):  # what Python lets go first, Java can the second time
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-
-
 def running_total(df: DataFrame, value: Column, *order: Column, name: str = "running") -> DataFrame:
     """``df`` (written) with ``before``: the sum of ``value`` over all rows that precede in ``order``.
 
