@@ -9,9 +9,9 @@ Disclosure needs evidence. What a term gives away in one document is told from t
 the share of a term's documents that hold the entity is taken at the lower end of its confidence interval (Wilson's, one-sided, 95 %). So an
 entity of one document is given away by no word, and one document more that has both counts for less than many do.
 
-Equal texts are one text with so many copies. Entities that stand in the same texts are one, as nothing tells them apart, and terms that are too frequent
-to reach the threshold with any entity are left out before they are paired. All three are exact. A text of m groups of entities has m rows for each of
-its rare terms.
+Equal texts are one text with so many copies. Entities that stand in the same texts are one, as nothing tells them apart; words are read where an entity has another
+text only, and terms that are too frequent to reach the threshold with any entity are left out before they are paired. All of this is exact. A text of m groups of
+entities has m rows for each of its rare terms.
 
 Defined cases: null texts are empty; texts are read whole; repeated rows get equal results but count as documents; terms are words of two
 letters or digits or more that begin with a letter, that meet no entity's place, whatever their case; an entity that all documents hold has nothing to
@@ -136,29 +136,36 @@ def lower_bound(k: Column, n: Column, z: float = SURE) -> Column:
     return (p + zz / 2 - z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n + zz / (4 * n))) / (1 + zz)
 
 
-def disclosing(docs: float, frequency: DataFrame, held: DataFrame, words: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """``(name, term, removed)``: what gives away an entity of the same text. There are ``docs`` documents, ``frequency(term, n_term)`` of them with a term;
-    those of ``held(name, spans, copies)`` hold entities, and ``words(name, word)``.
+GROUP = ["n_entity", "most_copies", "a", "b"]
 
-    For a text of c copies, a term in n + c documents that stands with an entity of m + c documents in k + c of them discloses log(N p / m) / log(N / m), where p
-    is the lower bound of k / n and N + c are all documents. As k is m at most, n must be N ^ (1 - generalise) m ^ generalise at most, which few
-    terms of a text are.
-    """
+
+def entity_groups(docs: float, held: DataFrame, generalise: float = GENERALISE) -> DataFrame:
+    """``(name, copies, n_entity, most_copies, a, b, room)`` (written): the groups of entities of each text of ``held(name, spans, copies)`` that other texts hold
+    too, with the documents that hold them and the documents that a term may stand in to give them away."""
     entity = F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s.kind, F.lower(s.value))))).alias("entity")
     entities = held.select("name", "copies", entity)
     place = [F.sum("copies").alias("n_entity"), F.count(F.lit(1)).alias("texts"), F.max("copies").alias("most_copies"), F.bit_xor(F.xxhash64("name")).alias("a"), F.bit_xor(F.xxhash64("name", F.lit(1))).alias("b")]
-    group = ["n_entity", "most_copies", "a", "b"]
     groups = entities.groupBy("entity").agg(*place).where((F.col("n_entity") < docs) & (F.col("texts") > 1)).drop("texts")
     room = F.lit(docs ** (1 - generalise)) * F.pow("n_entity", F.lit(generalise)) * (1 + 1e-9) + F.col("most_copies")
-    grouped = cut(entities.join(groups, "entity").select("name", "copies", *group, room.alias("room")).distinct(), "entities")
+    return cut(entities.join(groups, "entity").select("name", "copies", *GROUP, room.alias("room")).distinct(), "entities")
+
+
+def disclosing(docs: float, frequency: DataFrame, grouped: DataFrame, words: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """``(name, term, removed)``: what gives away an entity of the same text. There are ``docs`` documents, ``frequency(term, n_term)`` of them with a term; entities
+    are those of ``grouped``, of texts with ``words(name, word)``.
+
+    For a text of c copies, a term in n + c documents that stands with an entity of m + c documents in k + c of them discloses log(N p / m) / log(N / m), where p
+    is the lower bound of k / n and N + c are all documents. As k is m at most, n must be N ^ (1 - generalise) m ^ generalise at most, which few
+    terms of a text are.
+    """
     top = grouped.agg(F.max("room")).first()[0] or 0.0
-    terms = words.join(grouped.select("name").distinct(), "name", "left_semi").select("name", F.lower("word").alias("term")).distinct()
+    terms = words.select("name", F.lower("word").alias("term")).distinct()
     rare = terms.join(frequency.where(F.col("n_term") <= top), "term")
     pairs = cut(rare.join(grouped, "name").where(F.col("n_term") <= F.col("room")).drop("room"), "pairs")
-    both = pairs.groupBy(*group, "term").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts")).where("texts > 1").drop("texts")
+    both = pairs.groupBy(*GROUP, "term").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts")).where("texts > 1").drop("texts")
     rest = lambda c: F.col(c) - F.col("copies")
     others, held_by = docs - F.col("copies"), rest("n_entity")
-    told = pairs.join(both, [*group, "term"]).where(others > held_by)
+    told = pairs.join(both, [*GROUP, "term"]).where(others > held_by)
     disclosure = F.log(others * lower_bound(rest("n_both"), rest("n_term")) / held_by) / F.log(others / held_by)
     told = told.groupBy("name", "term").agg(F.max(disclosure).alias("disclosure")).where(F.col("disclosure") >= generalise - 1e-9)
     return cut(told.select("name", "term", (F.col("disclosure") >= remove - 1e-9).alias("removed")), "disclosing")
@@ -184,9 +191,11 @@ def annotate(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_text: bo
     rows = docs.select(*[c for c in keep if c != "text"], text, F.unhex(F.md5(text)).alias("name")).withColumn("spans", entity_spans(F.col("text")))
     held = rows.where(F.size("spans") > 0).select("name", "text", "spans").groupBy("name")
     held = cut(held.agg(F.any_value("text").alias("text"), F.any_value("spans").alias("spans"), F.count(F.lit(1)).alias("copies")), "held")
-    words = cut(words_outside(held), "words")
+    n_docs = float(max(docs.count(), 1))
+    grouped = entity_groups(n_docs, held)
+    words = cut(words_outside(held.join(grouped.select("name").distinct(), "name", "left_semi")), "words")
     frequency = rows.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    found = term_spans(words, disclosing(float(max(docs.count(), 1)), frequency, held.select("name", "spans", "copies"), words))
+    found = term_spans(words, disclosing(n_docs, frequency, grouped, words))
     light = rows if with_text else rows.drop("text")
     return light.join(found, "name", "left").withColumn("term_spans", F.coalesce("term_spans", F.array().cast(SPAN))).drop("name")
 
