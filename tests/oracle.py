@@ -55,6 +55,8 @@ class Graph:
                 return sub(a) & sub(b)
             case f.Or(a, b):
                 return sub(a) | sub(b)
+            case f.Iff(a, b):
+                return self.space() - (sub(a) ^ sub(b))
             case f.Bind(name, a):
                 return {(s, c) for k in range(self.n) for s, c in sub(a, **{name: k}) if s == k}
             case f.At(name, a):

@@ -1,5 +1,6 @@
 """Formulas over random systems against a set-based evaluator, and laws that must hold."""
 
+import os
 import random
 
 import pytest
@@ -94,6 +95,21 @@ def test_equal_formulas_share_a_relation(spark):
     assert {r.fixpoint for r in checker.statistics().collect()} == {"exists-until"}
 
 
+def test_shared_steps_are_written_once_and_let_go(spark):
+    g = graph(random.Random(1))
+    shared = f.EX(f.EX(P))
+    with Checker(system(spark, g)) as checker:
+        found = checker.verify({"one": shared & Q, "two": f.EX(shared), "three": f.EF(~shared)})
+        for name, q in (("one", shared & Q), ("two", f.EX(shared)), ("three", f.EF(~shared))):
+            assert {(r.state, r.colour) for r in found[name].collect()} == g.sat(q)
+        plans = [found[name]._jdf.queryExecution().optimizedPlan().toString() for name in ("one", "two")]
+        assert plans[0].count("Join Inner") == 0 and plans[1].count("Join Inner") == 1
+        assert all(os.path.isdir(p) for p in checker.paths if "/shared-" in p)
+        paths = list(checker.paths)
+    assert len(paths) > 3 and not any(os.path.exists(p) for p in paths)
+    assert {(r.state, r.colour) for r in checker.verify(shared).collect()} == g.sat(shared)
+
+
 def test_names_that_are_bound_nowhere(spark):
     g = graph(random.Random(1))
     with pytest.raises(ValueError, match="bound nowhere: y"):

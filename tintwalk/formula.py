@@ -82,7 +82,7 @@ class Formula:
         return Or(Not(self), other)
 
     def iff(self, other: Formula) -> Formula:
-        return Or(And(self, other), And(Not(self), Not(other)))
+        return Iff(self, other)
 
     def parts(self) -> list[Formula]:
         return [v for f in fields(self) if isinstance(v := getattr(self, f.name), Formula)]
@@ -139,6 +139,12 @@ class Or(Formula):
     right: Formula
 
 
+@dataclass(frozen=True)
+class Iff(Formula):
+    left: Formula
+    right: Formula
+
+
 @dataclass(frozen=True)
 class Next(Formula):
     every: bool
@@ -308,6 +314,8 @@ def canonical(f: Formula) -> Formula:
             return And(canonical(replace(f, inner=a)), canonical(replace(f, inner=b)))
         case Bind(_, Or(a, b)) | At(_, Or(a, b)):
             return Or(canonical(replace(f, inner=a)), canonical(replace(f, inner=b)))
+        case Bind(_, Iff(a, b)) | At(_, Iff(a, b)):
+            return Iff(canonical(replace(f, inner=a)), canonical(replace(f, inner=b)))
         case Not(Not(inner)):
             return inner
         case Not(Truth(value)):
@@ -316,6 +324,8 @@ def canonical(f: Formula) -> Formula:
             return other if value else FALSE
         case Or(Truth(value), other) | Or(other, Truth(value)):
             return TRUE if value else other
+        case Iff(Truth(value), other) | Iff(other, Truth(value)):
+            return other if value else canonical(Not(other))
     if isinstance(f, Bind | Exists):
         new = f"#{_depth(f.inner)}"
         f = replace(f, name=new, inner=_renamed(f.inner, f.name, new))

@@ -2,7 +2,8 @@
 
 Rows meet on names and state alone. What passes an edge is the intersection of both sets, what a state gets is the union of all that passes into it, and a round of a fixpoint
 carries what is new for a state and not what it had. So a round shuffles a row for a state where the form with a row for each colour shuffles one for every
-colour of the state. ``how`` is an encoding of :mod:`tintwalk.functions.colours`.
+colour of the state. ``how`` is an encoding of :mod:`tintwalk.functions.colours`, or :class:`tintwalk.functions.intervals.Intervals`
+for sets of real parameters.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from tintwalk.operators.temporal import FEW
 from tintwalk.written import Grown, cut
 
 SET = "colours"
+#: Parts of a group's sets that are joined first.
+PARTS = 64
 
 
 def keys(rel: DataFrame) -> list[str]:
@@ -53,8 +56,11 @@ def either(a: DataFrame, b: DataFrame, how: Encoding) -> DataFrame:
 
 
 def merged(rel: DataFrame, how: Encoding) -> DataFrame:
-    """One row for a state, with the union of its sets."""
-    return rel.groupBy(*keys(rel)).agg(how.union(F.col(SET)).alias(SET))
+    """One row for a state, with the union of its sets. Where a union gathers them first, they are joined by parts of a group before, so that none is gathered whole."""
+    union, on = how.union(F.col(SET)).alias(SET), keys(rel)
+    if getattr(how, "gathers", False):
+        rel = rel.groupBy(*on, F.pmod(F.hash(SET), F.lit(PARTS)).alias("_part")).agg(union).drop("_part")
+    return rel.groupBy(*on).agg(union)
 
 
 def less(a: DataFrame, b: DataFrame, how: Encoding) -> DataFrame:
@@ -64,6 +70,13 @@ def less(a: DataFrame, b: DataFrame, how: Encoding) -> DataFrame:
     return some(joined.withColumn(SET, own).drop("_less"), how)
 
 
+def apart(a: DataFrame, b: DataFrame, how: Encoding) -> DataFrame:
+    """Colours that one of two relations with the same names has and the other lacks."""
+    joined = a.join(b.withColumnRenamed(SET, "_more"), keys(a), "full_outer")
+    one, other = F.coalesce(SET, how.none()), F.coalesce("_more", how.none())
+    return some(joined.withColumn(SET, how.either(how.less(one, other), how.less(other, one))).drop("_more"), how)
+
+
 def step_back(rel: DataFrame, edges: DataFrame, how: Encoding) -> DataFrame:
     """Where an edge leads into ``rel``, in the colours of both; a row for a state."""
     into = edges.select("src", F.col("dst").alias("state"), F.col(SET).alias("_on"))
@@ -85,8 +98,8 @@ def _all_into(edges: DataFrame, rel: DataFrame, how: Encoding) -> DataFrame:
     into = edges.join(rel.select(F.col("state").alias("dst"), F.col(SET).alias("_in")), "dst", "left")
     good = F.coalesce(how.both(F.col("going"), F.col("_in")), how.none())
     each = into.select(F.col("src").alias("state"), SET, how.less(F.col(SET), good).alias("_bad"))
-    found = each.groupBy("state").agg(how.union(F.col(SET)).alias(SET), how.union(F.col("_bad")).alias("_bad"))
-    return some(found.select("state", how.less(F.col(SET), F.col("_bad")).alias(SET)), how)
+    bad = merged(some(each.select("state", F.col("_bad").alias(SET)), how), how)
+    return less(merged(each.select("state", SET), how), bad, how)
 
 
 def closure(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], how: Encoding, name: str, log: list | None = None) -> DataFrame:

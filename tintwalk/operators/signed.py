@@ -64,6 +64,15 @@ def either(a: Relation, b: Relation) -> Relation | None:
     return ~met if met else None
 
 
+def same(a: Relation, b: Relation) -> Relation | None:
+    """Equivalence, or None if the columns differ: all but the rows that one side has and the other lacks, which are told in one pass over both."""
+    if a.columns != b.columns:
+        return None
+    columns = a.rows.columns
+    rows = a.rows.unionByName(b.rows).groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select(*columns)
+    return Relation(rows, a.negated == b.negated)
+
+
 def bound(rel: Relation, column: str) -> Relation:
     """Where the named state is the one at hand."""
     if column not in rel.columns:

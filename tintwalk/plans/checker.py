@@ -6,7 +6,8 @@ operator reads them, and at the end.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections import Counter
+from collections.abc import Callable, Collection, Mapping
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from tintwalk.operators import signed
 from tintwalk.operators import temporal as t
 from tintwalk.operators.signed import COLOUR, STATE, Relation
 from tintwalk.system import TransitionSystem
-from tintwalk.written import cut
+from tintwalk.written import cut, dropped, noted
 
 #: Rows that a table of all pairs, triples and so on of states may have, which a negation over open names needs if a temporal operator reads it.
 LARGEST_SPACE = 10**12
@@ -31,33 +32,56 @@ def _column(name: str) -> str:
 class Checker:
     """``Checker(system).verify(formula)`` gives the (state, colour) at which it holds.
 
-    Sub-formulas that are equal up to the names of bound states share one relation, within a formula and among all formulas of a checker.
+    Sub-formulas that are equal up to the names of bound states share one relation, within a formula and among all formulas of a checker. A step or quantifier that several
+    formulas of a call read is written once. ``with Checker(system) as checker`` deletes what was written at its end, when all answers must have been read.
     """
 
     def __init__(self, system: TransitionSystem, largest_space: int = LARGEST_SPACE):
-        self.system, self.largest_space = system, largest_space
+        self.system, self._given, self.largest_space = system, system, largest_space
         self.rounds: list[tuple[str, int, int]] = []
         self._known: dict[f.Formula, Relation] = {}
         self._built: dict[f.Formula, DataFrame] = {}
         self._past: TransitionSystem | None = None
         self._sizes: tuple[int, int] | None = None
         self._written = False
+        self._readers: Counter[f.Formula] = Counter()
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Checker:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Delete the tables written so far; relations that were given out can't be read any more."""
+        dropped(self.system.states.sparkSession, self.paths)
+        for held in (self.paths, self._known, self._built):
+            held.clear()
+        self.system, self._past, self._written = self._given, None, False
 
     def verify(self, query: f.Formula | Mapping[str, f.Formula]) -> DataFrame | dict[str, DataFrame]:
-        if isinstance(query, Mapping):
-            self._keep(query.values())
-            return {name: self.verify(q) for name, q in query.items()}
+        with noted(self.paths):
+            if isinstance(query, Mapping):
+                self._keep(query.values())
+                return {name: self._verified(q) for name, q in query.items()}
+            self._keep([query])
+            return self._verified(query)
+
+    def _verified(self, query: f.Formula) -> DataFrame:
         if names := sorted(f.free(query)):
             raise ValueError(f"states that are bound nowhere: {', '.join(names)}")
         self._declared(query)
-        self._keep([query])
         return self.rows(f.canonical(query)).select(*r.KEY)
 
-    def _keep(self, queries: Iterable[f.Formula]) -> None:
-        """A system whose edges are read more than once is written, so that what it is made from isn't worked out each time."""
-        readers = {part for q in queries for part in f.subformulas(f.canonical(q)) if isinstance(part, f.Next | f.Until | f.Step)}
+    def _keep(self, queries: Collection[f.Formula]) -> None:
+        """A system whose edges several jobs read is written, so that what it is made from isn't worked out each time; within a job Spark reads once what is the same."""
+        parts = set().union(*(f.subformulas(f.canonical(q)) for q in queries))
+        self._readers = Counter(part for whole in parts for part in whole.parts()) + Counter(map(f.canonical, queries))
+        readers = {part for part in parts if isinstance(part, f.Next | f.Until | f.Step)}
         reads = sum(2 if getattr(part, "every", False) or getattr(part, "weak", False) else 1 for part in readers - set(self._known))
-        if not self._written and reads > 1:
+        jobs = sum(isinstance(part, f.Until) for part in parts) + len(queries)
+        if not self._written and reads > 1 and jobs > 1:
             self.system = replace(self.system, states=cut(self.system.states, "states"), edges=cut(self.system.edges, "edges"))
             self._past, self._written = None, True
 
@@ -75,7 +99,10 @@ class Checker:
 
     def relation(self, q: f.Formula) -> Relation:
         if q not in self._known:
-            self._known[q] = self._made(q)
+            rel = self._made(q)
+            if self._readers[q] > 1 and isinstance(q, f.Next | f.Exists | f.Iff):  # fixpoints are written anyway
+                rel = Relation(cut(rel.rows, "shared"), rel.negated)
+            self._known[q] = rel
         return self._known[q]
 
     def rows(self, q: f.Formula) -> DataFrame:
@@ -144,6 +171,9 @@ class Checker:
             case f.Or(left, right):
                 a, b = self.relation(left), self.relation(right)
                 return signed.either(a, b) or self._widened(signed.either, a, b)
+            case f.Iff(left, right):
+                a, b = self.relation(left), self.relation(right)
+                return signed.same(a, b) or signed.same(*(Relation(self._with(Relation(x.rows), a.columns | b.columns), x.negated) for x in (a, b)))
             case f.Next(every, past, inner, along):
                 return Relation((t.every_next if every else t.some_next)(self.rows(inner), self._flow(past), along.column()))
             case f.Until(every, past, path, goal, along, weak):

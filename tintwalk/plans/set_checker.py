@@ -83,6 +83,8 @@ class SetChecker:
                 return s.both(self._relation(left), self._relation(right), how)
             case f.Or(left, right):
                 return s.either(self._relation(left), self._relation(right), how)
+            case f.Iff(left, right):
+                return s.less(every, s.apart(self._relation(left), self._relation(right), how), how)
             case f.Next(every_edge, past, inner, along):
                 rel = self._relation(inner)
                 return s.every_next(rel, self.edges(along, past), how) if every_edge else s.some_next(rel, self._going(along, past), how)

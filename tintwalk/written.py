@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +25,26 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def noted(paths: list[str]) -> Iterator[list[str]]:
+    """Add to ``paths`` the tables that are written meanwhile, so that they can be :func:`dropped` once nothing reads them any more."""
+    before = _noted.set(paths)
+    try:
+        yield paths
+    finally:
+        _noted.reset(before)
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if (paths := _noted.get()) is not None:
+        paths.append(path)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     return written(df, name)[0]
@@ -30,7 +52,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """As :func:`cut`, with the path, so that a table which nothing reads any more can be dropped."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = _path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -59,7 +81,7 @@ class Grown:
         self.rounds: list[int] = []
 
     def _write(self, df: DataFrame, ahead: Column) -> tuple[str, int, int]:
-        path = f"{shared_folder(self.spark)}/{self.name}-{uuid.uuid4().hex}"
+        path = _path(self.spark, self.name)
         seen = Observation()
         df.observe(seen, F.count(F.lit(1)).alias("n"), F.count(F.when(ahead, 1)).alias("ahead")).write.parquet(path)
         return path, seen.get["n"], seen.get["ahead"]
