@@ -71,6 +71,8 @@ class Arrays:
     """Sets as sorted arrays; ``every`` is the sorted list of all colours."""
 
     every: tuple[int, ...]
+    #: A union gathers a group's sets before it joins them; see :func:`tintwalk.operators.sets.merged`.
+    gathers = True
 
     def all(self) -> Column:
         return F.array(*[F.lit(c) for c in self.every]).cast("array<int>")

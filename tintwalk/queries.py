@@ -727,3 +727,69 @@ asks(
   AND EXISTS (SELECT 1 FROM e y WHERE y.src = x.dst AND y.colour = x.colour AND y.dst % 7 = 0)
   AND NOT EXISTS (SELECT 1 FROM e y WHERE y.src = x.dst AND y.colour = x.colour AND y.dst % 11 = 0))"""),
 )
+
+# ---- systems without a table of edges: the stock of small parts
+
+SMALL_PARTS = f"""SELECT p_partkey AS key, p_size * 2 AS room, CAST(least AS INTEGER) AS ord, CAST(c AS INTEGER) AS colour
+FROM part JOIN (SELECT l_partkey, min(l_quantity) AS least FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey, range({tables.DAYS}) t(c) WHERE p_size <= 6"""
+ITEMS = f"state % {tables.LEVELS}"
+
+
+def _empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No items in stock, of small parts in all colours."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size <= 6")
+    return parts.select((F.col("p_partkey") * tables.LEVELS).alias("state"), F.explode(F.sequence(F.lit(0), F.lit(tables.DAYS - 1))).alias("colour"))
+
+
+def _stock_sql(moved: str, possible: str) -> str:
+    return f"""WITH RECURSIVE f AS ({SMALL_PARTS}),
+r AS (SELECT key * {tables.LEVELS} AS state, colour FROM f
+  UNION SELECT {moved} AS state, r.colour FROM r JOIN f ON f.key = state // {tables.LEVELS} AND f.colour = r.colour, (VALUES (0), (1)) m(m) WHERE {possible})
+SELECT state, colour FROM r"""
+
+
+QUERIES["implicit_reach"] = lambda spark, sf_dir: (s := tables.stock(spark, sf_dir)).reach(s.existing(_empty(spark, sf_dir)))
+ORACLES["implicit_reach"] = _stock_sql("CASE m WHEN 0 THEN state + r.colour + 1 ELSE state - ord END", f"CASE m WHEN 0 THEN {ITEMS} + r.colour + 1 <= room ELSE {ITEMS} >= ord END")
+QUERIES["implicit_ef"] = lambda spark, sf_dir: (s := tables.stock(spark, sf_dir)).exists_until(None, s.existing(_empty(spark, sf_dir)))
+ORACLES["implicit_ef"] = _stock_sql("CASE m WHEN 0 THEN state - r.colour - 1 ELSE state + ord END", f"CASE m WHEN 0 THEN {ITEMS} >= r.colour + 1 ELSE {ITEMS} + ord <= room END")
+
+# ---- sets of a real parameter
+
+
+def _spread(sets_of: DataFrame) -> DataFrame:
+    """``(state, low, high)``: a row for an interval."""
+    return sets_of.select("state", F.explode(sets.SET).alias("x")).select("state", "x.low", "x.high")
+
+
+def _supply_ef(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From where, and for which parameters, a part of size 50 is reached."""
+    states, edges = tables.supply(spark, sf_dir)
+    goal = sets.full(states.where("size = 50"), tables.BOUND)
+    return _spread(sets.exists_until(None, goal, edges, tables.BOUND))
+
+
+def _supply_ag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From where, and for which parameters, only suppliers that owe nothing are ever met."""
+    states, edges = tables.supply(spark, sf_dir)
+    owing = sets.exists_until(None, sets.full(states.where("balance < 0"), tables.BOUND), edges, tables.BOUND)
+    return _spread(sets.less(sets.full(states, tables.BOUND), owing, tables.BOUND))
+
+
+def _supply_sql(goal: str, holds_where: str) -> str:
+    """All ends are whole numbers, so that each stretch from one to the next is of one kind; stretches that touch are one interval."""
+    return f"""WITH RECURSIVE lines AS (
+  SELECT l_partkey AS part, l_suppkey + {tables.SUPPLIERS_AT} AS supplier, min(l_quantity) AS q0, max(l_quantity) AS q1, 8 * min(l_linenumber) AS n0, 8 * max(l_linenumber) AS n1 FROM lineitem GROUP BY ALL),
+k AS (SELECT k FROM range(64) t(k)),
+e AS (SELECT part AS src, supplier AS dst, k FROM lines, k WHERE k >= q0 AND k < q1 UNION ALL SELECT supplier, part, k FROM lines, k WHERE k >= n0 AND k < n1),
+states AS (SELECT p_partkey AS state FROM part UNION ALL SELECT s_suppkey + {tables.SUPPLIERS_AT} FROM supplier),
+r AS (SELECT state, k FROM ({goal}), k UNION SELECT e.src, e.k FROM r JOIN e ON e.dst = r.state AND e.k = r.k),
+held AS (SELECT state, k FROM states, k WHERE {holds_where} (SELECT 1 FROM r WHERE r.state = states.state AND r.k = k.k)),
+runs AS (SELECT state, k, k - row_number() OVER (PARTITION BY state ORDER BY k) AS run FROM held)
+SELECT state, CAST(min(k) AS DOUBLE) AS low, CAST(max(k) + 1 AS DOUBLE) AS high FROM runs GROUP BY state, run"""
+
+
+QUERIES |= {"interval_ef": _supply_ef, "interval_ag": _supply_ag}
+ORACLES |= {
+    "interval_ef": _supply_sql("SELECT p_partkey AS state FROM part WHERE p_size = 50", "EXISTS"),
+    "interval_ag": _supply_sql(f"SELECT s_suppkey + {tables.SUPPLIERS_AT} AS state FROM supplier WHERE s_acctbal < 0", "NOT EXISTS"),
+}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tintwalk.functions.intervals import Intervals
+from tintwalk.sources.implicit import ImplicitSystem, Move
 from tintwalk.system import ANY, NEGATIVE, POSITIVE, TransitionSystem
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
@@ -84,3 +86,45 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> TransitionSystem:
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
     edges = union(edges).select("src", "dst", F.lit(None).cast("string").alias("dir_name"), F.lit(ANY).alias("dir_facet"), "colour").distinct()
     return TransitionSystem(union(states), _colours(spark, PRIORITIES), edges)
+
+
+#: Numbers of items in stock that a part's states leave room for.
+LEVELS = 1 << 10
+
+
+def stock(spark: SparkSession, sf_dir: str) -> ImplicitSystem:
+    """The stock of each part, as moves without a table: state part * LEVELS + items in stock, 0 to twice the part's size.
+
+    In the colour c, c + 1 items come in at a time. The part's smallest ordered quantity goes out at a time; parts that nobody has ordered have no states.
+    """
+    size = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), (F.col("p_size") * 2).alias("room"))
+    order = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("key")).agg(F.min("l_quantity").cast("int").alias("order"))
+    state, items = F.col("state"), F.pmod(F.col("state"), F.lit(LEVELS))
+    comes, goes = F.col("colour") + 1, F.col("order")
+    moves = [
+        Move(state + comes, F.array(state - comes), items + comes <= F.col("room"), "items", POSITIVE),
+        Move(state - goes, F.array(state + goes), items >= goes, "items", NEGATIVE),
+    ]
+    return ImplicitSystem(moves, items <= F.col("room"), size.join(order, "key"), F.floor(state / LEVELS).cast("long"))
+
+
+#: Suppliers come after as many parts as there may be in the state numbers of ``supply``; its parameter goes from 0 to below 64.
+SUPPLIERS_AT, BOUND = 1_000_000_000_000, Intervals(0, 64)
+
+
+def supply(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``states(state, level, size, balance)`` and ``edges(src, dst, colours, going)`` of parts and suppliers, for a real parameter from 0 to below 64.
+
+    A part leads to a supplier for parameters from the smallest to the largest quantity ordered of it there, a supplier to a part for those from 8 times the smallest line
+    number of such orders to 8 times the largest.
+    """
+    part, supplier = F.col("l_partkey"), F.col("l_suppkey") + SUPPLIERS_AT
+    lines = _table(spark, sf_dir, "lineitem").groupBy(part.alias("part"), supplier.alias("supplier"))
+    lines = lines.agg(*[f(c).alias(f"{name}_{c}") for c in ("l_quantity", "l_linenumber") for name, f in (("least", F.min), ("most", F.max))])
+    out = lines.select(F.col("part").alias("src"), F.col("supplier").alias("dst"), BOUND.between(F.col("least_l_quantity"), F.col("most_l_quantity")).alias("colours"))
+    back = lines.select(F.col("supplier").alias("src"), F.col("part").alias("dst"), BOUND.between(8 * F.col("least_l_linenumber"), 8 * F.col("most_l_linenumber")).alias("colours"))
+    edges = out.unionByName(back).where(BOUND.is_some(F.col("colours"))).withColumn("going", F.col("colours"))
+    none = F.lit(None).cast("double")
+    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("state"), F.lit("part").alias("level"), F.col("p_size").alias("size"), none.alias("balance"))
+    suppliers = _table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + SUPPLIERS_AT).alias("state"), F.lit("supplier").alias("level"), F.lit(None).cast("int").alias("size"), F.col("s_acctbal").alias("balance"))
+    return parts.unionByName(suppliers), edges
