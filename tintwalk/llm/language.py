@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tintwalk.llm.common import lists, table
 
+#: Buckets are sent as 16-bit integers with a sign, so there are 2^15 at most.
 BUCKETS, LONGEST, DIM = 1 << 15, 4, 16
 PER_LANGUAGE, LANGUAGES, ENTRIES = 1000, 256, 12_000_000
 EPOCHS, RATE, SEED = 4, 0.5, 5
@@ -158,10 +159,10 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, entries: int = ENT
                 if place % 2 and place <= noisy:
                     made.append((OTHER, draw, *counted(noise(text))))
             lang, at, keys, n = zip(*made, strict=True) if made else ((), (), (), ())
-            columns = [pa.array(lang, pa.string()), pa.array(at, pa.float64()), *(pa.array(x, pa.list_(pa.int32())) for x in (keys, n))]
+            columns = [pa.array(lang, pa.string()), pa.array(at, pa.float64()), pa.array(keys, pa.list_(pa.int16())), pa.array(n, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "draw", "keys", "n"])
 
-    rows = drawn.mapInArrow(run, "lang string, draw double, keys array<int>, n array<int>").where(F.size("keys") > 0)
+    rows = drawn.mapInArrow(run, "lang string, draw double, keys array<short>, n array<int>").where(F.size("keys") > 0)
     each = Window.partitionBy("lang").orderBy("draw", F.size("keys"))
     rows = rows.withColumn("held", F.sum(F.size("keys")).over(each)).withColumn("place", F.row_number().over(each))
     rows = rows.where((F.col("held") <= entries // (len(counts) + 1)) & ((F.col("lang") != OTHER) | (F.col("place") <= 2 * per_language)))
@@ -257,7 +258,12 @@ def held_out() -> Column:
 
 
 def fitted(docs: DataFrame) -> Model:
-    return train(sample(docs.where(~held_out())))
+    """The model of a table. The sample is let go afterwards: Arrow's pool would keep its memory for as long as the driver runs."""
+    rows = sample(docs.where(~held_out()))
+    model = train(rows)
+    del rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
