@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tintwalk.operators import chains
 from tintwalk.operators.relations import KEY, difference
-from tintwalk.operators.temporal import closure
+from tintwalk.operators.temporal import closure, noted_rounds, shorter
 from tintwalk.system import TransitionSystem
-from tintwalk.written import Grown, cut
+from tintwalk.written import Grown, cut, dropped
 
 
 def sinks(system: TransitionSystem) -> DataFrame:
@@ -16,31 +17,51 @@ def sinks(system: TransitionSystem) -> DataFrame:
     return difference(system.space(), system.edges.where("src <> dst").select(F.col("src").alias("state"), "colour"))
 
 
-def least_reachable(space: DataFrame, edges: DataFrame) -> DataFrame:
+def least_reachable(space: DataFrame, edges: DataFrame, log: list | None = None) -> DataFrame:
     """``(state, colour, least)``: the smallest state that is reached over ``edges(src, dst, colour)``. Labels move backwards until none falls.
 
-    A round follows the labels that fell and writes those that fall again; the label of a state is the smallest that was written for it.
+    A round follows the labels that fell and writes those that fall again; the label of a state is the smallest that was written for it. If they still fall
+    after :data:`chains.PLAIN` rounds, chains are crossed at once: what leads into one is offered the least label on it, and labels move on between the others.
     """
-    edges = edges.select("src", F.col("dst").alias("state"), "colour").repartition("state", "colour").persist()
+    edges = kept = edges.select("src", F.col("dst").alias("state"), "colour").repartition("state", "colour").persist()
     first = space.select(*KEY, F.col("state").alias("least"))
     labels = Grown(first.sparkSession, first.schema, "labels")
-    moved = labels.add(first)
+    now = lambda: labels.all().groupBy(*KEY).agg(F.min("least").alias("least"))
+
+    def falling(offered: DataFrame) -> DataFrame:
+        before = labels.all().join(offered, KEY, "left_semi").groupBy(*KEY).agg(F.min("least").alias("now"))
+        return offered.join(before, KEY).where("least < now").select(*KEY, "least")
+
+    moved, held = labels.add(first), None
     while moved is not None:
+        if held is None and len(labels.rounds) > chains.PLAIN:
+            held = chains.contracted(edges, "src", "state", low=now().select(F.col("state").alias("src"), "colour", F.col("least").alias("low")))
+            noted_rounds(log, "chains", held.rounds)
+            into = held.rows.select(F.col("src").alias("state"), "colour", F.col("low").alias("least"))
+            beside = edges.join(held.rows.select("src", "colour"), ["src", "colour"], "left_anti")
+            labels.add(falling(beside.join(into, KEY).groupBy(F.col("src").alias("state"), "colour").agg(F.min("least").alias("least"))))
+            edges, moved = held.edges, now()
         offered = edges.join(moved, KEY).where("least < src").groupBy(F.col("src").alias("state"), "colour").agg(F.min("least").alias("least"))
-        now = labels.all().join(offered, KEY, "left_semi").groupBy(*KEY).agg(F.min("least").alias("now"))
-        moved = labels.add(offered.join(now, KEY).where("least < now").select(*KEY, "least"))
-    edges.unpersist()
-    return cut(labels.all().groupBy(*KEY).agg(F.min("least").alias("least")), "least")
+        moved = labels.add(falling(offered))
+    kept.unpersist()
+    noted_rounds(log, labels.name, labels.rounds)
+    if held is None:
+        return cut(now(), "least")
+    ends = now().select(F.col("state").alias("end"), "colour", F.col("least").alias("of_end"))
+    within = held.rows.join(ends, ["end", "colour"], "left").select(F.col("src").alias("state"), "colour", F.least("low", "of_end").alias("least"))
+    found = cut(labels.all().unionByName(within).groupBy(*KEY).agg(F.min("least").alias("least")), "least")
+    dropped(found.sparkSession, held.paths)
+    return found
 
 
-def terminal_components(system: TransitionSystem) -> DataFrame:
+def terminal_components(system: TransitionSystem, log: list | None = None) -> DataFrame:
     """``(component, state, colour)``: the terminal components of all colours at once, each named by its smallest state.
 
     In a terminal component every state has the same smallest reachable state, its root. From each root the states that share
     its label are followed; a root from which an edge leads to another label belongs to no terminal component.
     """
     edges = cut(system.edges.where("src <> dst").select("src", "dst", "colour").distinct(), "edges")
-    least = least_reachable(system.space(), edges)
+    least = least_reachable(system.space(), edges, log)
     to = edges.join(least.select(F.col("state").alias("dst"), "colour", F.col("least").alias("to")), ["dst", "colour"])
     to = to.join(least.select(F.col("state").alias("src"), "colour", F.col("least").alias("component")), ["src", "colour"])
     stays = (F.col("to") == F.col("component")).alias("stays")
@@ -48,7 +69,7 @@ def terminal_components(system: TransitionSystem) -> DataFrame:
     staying = to.where("stays").drop("stays").repartition("component", "state", "colour").persist()
     roots = least.where("state = least").select(F.col("state").alias("component"), *KEY)
     step = lambda rel: staying.join(rel, ["component", *KEY]).select("component", F.col("into").alias("state"), "colour")
-    within = closure(roots, step, "components")
+    within = closure(roots, step, "components", log, shorter(staying, "into", "state", ("component", "colour")))
     staying.unpersist()
     open_ended = within.join(to.where("not stays"), ["component", *KEY], "left_semi").select("component", "colour").distinct()
     return within.join(open_ended, ["component", "colour"], "left_anti").select("component", *KEY)

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tintwalk.operators import chains
 from tintwalk.operators.relations import KEY, conjunction, difference, names, widened
 from tintwalk.written import Grown, cut
 
@@ -45,23 +46,35 @@ def every_next(rel: DataFrame, edges: DataFrame, along: Column) -> DataFrame:
     return got.join(need, KEY).where("got = need").select(*names(rel), *KEY)
 
 
-def closure(seed: DataFrame, step: Callable[[DataFrame], DataFrame], name: str, log: list | None = None) -> DataFrame:
+Step = Callable[[DataFrame], DataFrame]
+
+
+def closure(
+    seed: DataFrame, step: Step, name: str, log: list | None = None, shorten: Callable[[DataFrame], tuple[Step, chains.Chains]] | None = None
+) -> DataFrame:
     """Least relation with the rows of ``seed`` (a set) and all that ``step`` makes of its rows.
 
     A round takes one step from the rows that the last one has added. What is known already is told from the rows reached: a large known
     set is scanned for them, and isn't shuffled as long as they can be broadcast.
+
+    A fixpoint that isn't reached in :data:`chains.PLAIN` rounds is shortened, if that is given: what is found so far makes a step over fewer rows, and the chains
+    that the others are in.
     """
     keys = seed.columns
     found = Grown(seed.sparkSession, seed.schema, name)
     new = found.add(seed)
+    held: chains.Chains | None = None
     while new is not None:
+        if shorten is not None and held is None and len(found.rounds) > chains.PLAIN:
+            step, held = shorten(found.all())
+            noted_rounds(log, "chains", held.rounds)
         rows = step(new).distinct()
         known = found.all()
         if found.rows > FEW:
             known = known.join(rows, keys, "left_semi")
         new = found.add(rows.join(known, keys, "left_anti"))
-    _logged(found, log)
-    return found.all()
+    noted_rounds(log, found.name, found.rounds)
+    return found.all() if held is None else held.carried(found.all())
 
 
 def exists_until(path: DataFrame | None, goal: DataFrame, edges: DataFrame, along: Column, states: DataFrame, weak: bool = False, log: list | None = None) -> DataFrame:
@@ -78,9 +91,10 @@ def exists_until(path: DataFrame | None, goal: DataFrame, edges: DataFrame, alon
         back = step_back(rel, edges)
         return conjunction(back.distinct(), path) if path is not None else back
 
-    done = closure(goal, step, "exists-until", log)
-    edges.unpersist()
-    return done
+    try:
+        return closure(goal, step, "exists-until", log, None if path is not None else shorter(edges, "src", "dst"))
+    finally:
+        edges.unpersist()
 
 
 def every_until(
@@ -108,25 +122,48 @@ def every_until(
     goal, keys = cut(goal, "goal"), goal.columns
     counted = Grown(goal.sparkSession, goal.select("*", F.lit(0).cast("long").alias("got"), F.lit(True).alias("done")).schema, "every-until")
     new: DataFrame | None = goal
+    crossed: chains.Chains | None = None
+    kept = each
     while new is not None:
+        if path is None and crossed is None and len(counted.rounds) >= chains.PLAIN:
+            found = goal.unionByName(counted.all().where("done").select(*keys))
+            crossed = chains.contracted(each, "src", "dst", stops=found.select(F.col("state").alias("src"), "colour"))
+            each = crossed.edges
+            noted_rounds(log, "chains", crossed.rounds)
         hit = step_back(new.select(*keys), each, "need").groupBy(*keys).agg(F.count(F.lit(1)).alias("got"), F.max("need").alias("need"))
         before = counted.all().join(hit, keys, "left_semi").groupBy(*keys).agg(F.sum("got").alias("before"))
         hit = hit.join(before, keys, "left").withColumn("done", F.col("need") == F.col("got") + F.coalesce("before", F.lit(0)))
         counts = hit.select(*keys, "got", "done").join(goal, keys, "left_anti")
         counts = counts if path is None else counts.join(path, [*names(path), *KEY], "left_semi")
         new = counted.add(counts, F.col("done"))
-    _logged(counted, log)
-    each.unpersist()
-    return goal.unionByName(counted.all().where("done").select(*keys))
+    noted_rounds(log, counted.name, counted.rounds)
+    kept.unpersist()
+    done = goal.unionByName(counted.all().where("done").select(*keys))
+    return done if crossed is None else crossed.carried(done)
 
 
 def _also(goal: DataFrame, more: DataFrame, states: DataFrame) -> DataFrame:
     return goal.unionByName(widened(more, names(goal), states)).distinct()
 
 
-def _logged(found: Grown, log: list | None) -> None:
+def noted_rounds(log: list | None, name: str, rounds: list[int]) -> None:
     if log is not None:
-        log += [(found.name, at, n) for at, n in enumerate(found.rounds)]
+        log += [(name, at, n) for at, n in enumerate(rounds)]
+
+
+def shorter(edges: DataFrame, of: str, by: str, keys: tuple[str, ...] = ("colour",)) -> Callable[[DataFrame], tuple[Step, chains.Chains]]:
+    """For :func:`closure`: over ``edges`` a row ``of`` is found from ``by``, and chains of such rows are crossed at once."""
+
+    def shorten(found: DataFrame) -> tuple[Step, chains.Chains]:
+        held = chains.contracted(edges, of, by, keys, found.select(F.col("state").alias(of), *keys))
+
+        def step(rel: DataFrame) -> DataFrame:
+            back = held.edges.withColumnRenamed(by, "state").join(rel, [*keys, "state"]).drop("state")
+            return back.withColumnRenamed(of, "state").select(*rel.columns)
+
+        return step, held
+
+    return shorten
 
 
 def _prepared(path: DataFrame | None, goal: DataFrame, edges: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -151,6 +188,7 @@ def reach(seed: DataFrame, edges: DataFrame, forward: bool = True, guard: DataFr
         edges = edges.join(guard.select(F.col("state").alias(into), "colour"), [into, "colour"], "left_semi")
     edges = edges.repartition(out, "colour").persist()
     step = lambda rel: edges.join(rel.withColumnRenamed("state", out), [out, "colour"]).select(F.col(into).alias("state"), "colour")
-    done = closure(seed.select(*KEY).distinct(), step, "reach", log)
-    edges.unpersist()
-    return done
+    try:
+        return closure(seed.select(*KEY).distinct(), step, "reach", log, shorter(edges, into, out))
+    finally:
+        edges.unpersist()
