@@ -467,6 +467,24 @@ does(
     f"SELECT *, 'left' AS side FROM ({OUT} EXCEPT {IN}) UNION ALL SELECT *, 'right' FROM ({IN} EXCEPT {OUT})",
 )
 
+# ---- one chain as long as the table of events
+
+SUCCESSION = """WITH places AS (SELECT CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS BIGINT) AS state, event_type, value FROM events),
+tops AS (SELECT state FROM places WHERE value = (SELECT max(value) FROM events))"""
+
+
+def along_events(name: str, query: f.Formula, body: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: Checker(tables.succession(spark, sf_dir)).verify(query)
+    ORACLES[name] = f"{SUCCESSION} {body}"
+
+
+TOP = f.where("top")
+along_events("ef_succession", f.EF(TOP), "SELECT state, CAST(0 AS INTEGER) AS colour FROM places WHERE state <= (SELECT max(state) FROM tops)")
+along_events("af_succession", f.AF(TOP), "SELECT state, CAST(0 AS INTEGER) AS colour FROM places WHERE state <= (SELECT max(state) FROM tops)")
+along_events("p_ef_succession", f.pEF(TOP), "SELECT state, CAST(0 AS INTEGER) AS colour FROM places WHERE state >= (SELECT min(state) FROM tops)")
+QUERIES["terminal_components_succession"] = lambda spark, sf_dir: components.terminal_components(tables.succession(spark, sf_dir))
+ORACLES["terminal_components_succession"] = f"{SUCCESSION} SELECT state AS component, state, CAST(0 AS INTEGER) AS colour FROM places WHERE state = (SELECT max(state) FROM places)"
+
 # ---- reachability and components
 
 CLICKS = lambda s: Checker(s).verify(kind("click"))

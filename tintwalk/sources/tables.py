@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tintwalk.functions.intervals import Intervals
 from tintwalk.sources.implicit import ImplicitSystem, Move
 from tintwalk.system import ANY, NEGATIVE, POSITIVE, TransitionSystem
+from tintwalk.written import ranked
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 DAYS = 5
@@ -63,6 +64,20 @@ def handoff(spark: SparkSession, sf_dir: str) -> TransitionSystem:
     return TransitionSystem(states, _colours(spark, len(EVENT_TYPES)), edges.where("dst is not null").distinct())
 
 
+def succession(spark: SparkSession, sf_dir: str) -> TransitionSystem:
+    """All events in the order of time, each leading to the next one: one chain as long as the table. One colour; ``top`` marks the events of the greatest value.
+
+    States are the gapless places of a range-partitioned sort, so no task sees the whole table.
+    """
+    events = _table(spark, sf_dir, "events").select("ts", "event_id", "event_type", "value")
+    most = events.agg(F.max("value").alias("most"))  # one row
+    states = ranked(events, F.col("ts"), F.col("event_id"), name="succession").withColumnRenamed("rank", "state")
+    states = states.crossJoin(most).select("state", "event_type", "value", F.coalesce(F.col("value") == F.col("most"), F.lit(False)).alias("top"))
+    colour = F.lit(0).alias("colour")
+    edges = states.where("state > 0").select((F.col("state") - 1).alias("src"), F.col("state").alias("dst"), F.lit(None).cast("string").alias("dir_name"), F.lit(ANY).alias("dir_facet"), colour)
+    return TransitionSystem(states, spark.range(1).select(F.col("id").cast("int").alias("colour")), edges)
+
+
 #: Regions and nations come first in the state numbers of ``hierarchy``, then as many customers as there may be, then orders.
 NATIONS_AT, CUSTOMERS_AT, ORDERS_AT = 1_000, 1_000_000, 1_000_000_000_000
 PRIORITIES = 5
