@@ -113,3 +113,27 @@ def test_two_negations_meet_in_one_join(spark):
     assert signed.both(Relation(one), ~Relation(a)) is None
     lost = signed.both(Relation(a), ~Relation(one))
     assert not lost.negated and [(r.atx, r.state, r.colour) for r in lost.rows.collect()] == [(1, 3, 0)]
+
+
+AT_X = f.at("x", f.EX(P))
+CONSTANT = [
+    f.bind("x", f.EX(AT_X)),
+    f.bind("x", f.AX(~AT_X, f.up("x"))),
+    f.bind("x", f.pEX(AT_X | f.at(2, Q))),
+    f.bind("x", f.EwX(AT_X.iff(f.at(1, P)))),
+    f.bind("x", f.AF(~AT_X)),
+    f.bind("x", f.AwF(AT_X, f.up("x"))),
+    f.bind("x", f.EU(AT_X, Q)),
+    f.bind("x", f.AU(~AT_X, Q, f.down("y"))),
+    f.bind("x", f.EX(f.exists("y", f.at("y", f.EX(P)) & AT_X, bound=Q))),
+    f.exists("x", f.EX(AT_X) & X, bound=Q),
+]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_what_holds_at_one_state_passes_steps_without_pairs(spark, seed):
+    """Each would be refused if it met every state."""
+    g = graph(random.Random(60 + seed), n=5, colours=2)
+    checker = Checker(system(spark, g), largest_space=1)
+    for q in CONSTANT:
+        assert {(r.state, r.colour) for r in checker.verify(q).collect()} == g.sat(q), q
