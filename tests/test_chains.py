@@ -80,3 +80,40 @@ def test_ends_of_chains_and_circles(spark):
     made = chains.contracted(edges, "src", "dst", low=low)
     assert {tuple(r) for r in made.rows.select("src", "colour", "end", "low").collect()} == {(1, 0, 3, -2), (2, 0, 3, -2), (4, 0, None, -6), (5, 0, None, -6), (6, 0, None, -6), (9, 1, 1, -9)}
     assert {tuple(r) for r in made.edges.collect()} == {(3, 9, 0), (3, 8, 0), (7, 7, 0)}
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_chains_across_batches(spark, size):
+    """Trees, circles and lines of which batches of any size hold parts, by brute force; in order of number little is left to double."""
+    rng = random.Random(size)
+    after = {(i, c): rng.randrange(i + 1, 61) if c else (i + 1) % 60 if i < 40 else rng.randrange(60) for i in range(60) for c in range(2)}
+    edges = spark.createDataFrame([(a, b, c) for (a, c), b in after.items()], "src long, dst long, colour int")
+    low = spark.createDataFrame([(i, c, (i * 37 + 11) % 60) for i in range(60) for c in range(2)], "src long, colour int, low long")
+    stops = spark.createDataFrame([(i, 0) for i in (20, 45)], "src long, colour int")
+    inside = {k: b for k, b in after.items() if b != k[0] and k not in {(20, 0), (45, 0)}}
+    want = set()
+    for (a, c), b in inside.items():
+        seen = {a}
+        while (b, c) in inside and b not in seen:
+            seen.add(b)
+            b = inside[b, c]
+        want.add((a, c, None if b in seen else b, min((i * 37 + 11) % 60 for i in seen)))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        made = chains.contracted(edges, "src", "dst", stops=stops, low=low)
+        assert {tuple(r) for r in made.rows.select("src", "colour", "end", "low").collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_chain_in_order_leaves_a_row_a_batch(spark):
+    made = chains.contracted(line(spark, 50_000).edges.select("src", "dst", "colour"), "src", "dst")
+    assert made.rounds[0] == 49_999 and sum(made.rounds[1:]) < 100
+    assert made.rows.where("end = 49999").count() == 49_999
+
+
+def test_what_ends_somewhere_gets_no_labels(spark):
+    log = []
+    assert [tuple(r) for r in terminal_components(line(spark, 9), log).collect()] == [(8, 8, 0)]
+    assert {name for name, _, _ in log} == {"lost"}
