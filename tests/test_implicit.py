@@ -84,3 +84,9 @@ def test_the_stock_of_parts(spark):
     part = stock.facts.orderBy(F.desc("room"), "key").first()
     full = spark.createDataFrame([(part.key * tables.LEVELS + part.room, 0)], "state long, colour int")
     assert rows(stock.edges_from(full)) == ({(full.first().state - part.order, 0)} if part.order <= part.room else set())
+
+
+def test_facts_of_the_stock_are_written_once(spark):
+    """A round reads them, and must not group all lines again."""
+    plan = tables.stock(spark, "/root/testdata/sf0.001").facts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
