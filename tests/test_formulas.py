@@ -127,3 +127,9 @@ def test_totalised_and_problems(spark):
     assert {r.problem for r in wrong.problems().collect()} >= {"edge to an undeclared state", "edge of an undeclared colour"}
     empty = TransitionSystem(*[df.where("false") for df in (made.states, made.colours, made.edges, made.atoms)])
     assert Checker(empty).verify(f.AG(f.EF(P))).count() == 0 and terminal_components(empty).count() == 0
+
+
+@pytest.mark.parametrize("build", [(f.AG, f.EF), (f.pAG, f.pEF)])
+def test_where_all_that_is_reached_leads_back_needs_no_pairs(spark, build):
+    g = graph(random.Random(12), n=5, colours=2)
+    same(spark, g, Checker(system(spark, g), largest_space=10), f.bind("x", build[0](build[1](f.var("x")))))
