@@ -127,3 +127,15 @@ def test_near_duplicate_stage_links_by_similarity(spark):
     assert sorted(r.doc_id for r in stages.near_duplicates(spark, docs, "").collect()) == sorted(set(group.values()))
     found = similar.near_duplicates(docs.repartition(3), least=0.6).collect()
     assert {r.doc_id: r.component_id for r in found} == roots(index, [(i, j) for i in index for j in index if i < j and len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])])
+
+
+def test_near_duplicate_stage_takes_candidates_of_simhash_first(spark, monkeypatch):
+    """Copies are linked by these alone; texts that repeat one passage and end apart share a fingerprint but few shingles, and stay."""
+    texts = ["alpha beta gamma " * 500 + " ".join(f"{end}{i}" for i in range(12)) for end in "xyz"]
+    base = [f"w{i}" for i in range(3000)]
+    texts += [" ".join(base), " ".join([*base[:-1], "end"])]
+    prints = [brute_simhash(t) for t in texts]
+    assert all((a ^ b).bit_count() <= 3 for part in (prints[:3], prints[3:]) for a in part for b in part)
+    docs = spark.createDataFrame([(i, t, "en", "web", 0) for i, t in enumerate(texts)], PLAIN)
+    monkeypatch.setattr(similar, "_first", lambda found, *_: found[:0])  # shingles give no candidates
+    assert sorted(r.doc_id for r in stages.near_duplicates(spark, docs, "").collect()) == [0, 1, 2, 3]
