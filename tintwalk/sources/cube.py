@@ -48,19 +48,22 @@ class Cube:
     def colours(self, spark: SparkSession) -> DataFrame:
         return spark.range(self.colour_count).select(F.col("id").cast("int").alias("colour"))
 
+    def _valued(self, spark: SparkSession, owned: bool) -> DataFrame:
+        """(state, colour) of the colours that each state owns, or of the others."""
+        each = self.states(spark).select("state", F.explode(F.sequence(F.lit(0), F.lit(self.colour_count - 1))).alias("colour"))
+        owns = F.coalesce(self.owns(F.col("state"), F.col("colour")), F.lit(False))
+        return each.where(owns if owned else ~owns)
+
     def owned(self, spark: SparkSession) -> DataFrame:
         """(state, colour) of the colours that each state owns."""
-        state = F.col("state")
-        each = self.states(spark).select("state", F.explode(F.sequence(F.lit(0), F.lit(self.colour_count - 1))).alias("colour"))
-        return each.where(F.coalesce(self.owns(state, F.col("colour")), F.lit(False)))
+        return self._valued(spark, True)
 
     def system(self, spark: SparkSession) -> TransitionSystem:
         owned = self.owned(spark)
         ways = F.explode(F.array(*[F.struct(F.lit(f"x{i}").alias("dir_name"), F.lit(self.size**i).cast("long").alias("add"), self.coordinate(F.col("state"), i).alias("at")) for i in range(self.dims)]))
         up = owned.select("state", "colour", ways.alias("w")).where(F.col("w.at") < self.size - 1)
         up = up.select(F.col("state").alias("src"), (F.col("state") + F.col("w.add")).alias("dst"), "w.dir_name", F.lit(POSITIVE).alias("dir_facet"), "colour")
-        space = self.states(spark).select("state").crossJoin(self.colours(spark))
-        loops = space.join(owned, ["state", "colour"], "left_anti").select(F.col("state").alias("src"), F.col("state").alias("dst"), F.lit(None).cast("string").alias("dir_name"), F.lit(LOOP).alias("dir_facet"), "colour")
+        loops = self._valued(spark, False).select(F.col("state").alias("src"), F.col("state").alias("dst"), F.lit(None).cast("string").alias("dir_name"), F.lit(LOOP).alias("dir_facet"), "colour")
         return TransitionSystem(self.states(spark), self.colours(spark), up.unionByName(loops))
 
     def every(self, low: int, high: int | None = None) -> str:
