@@ -441,6 +441,12 @@ def test_simhash_links_lose_no_pair(spark, block):
     assert roots(signed.values(), [(r.a, r.b) for r in found]) == roots(signed.values(), [(signed[a], signed[b]) for a, b in pairs])
 
 
+def test_simhash_index_is_not_broadcast(spark):
+    """Spark sizes the 64 keys of a fingerprint as one, and would send all of them to the driver."""
+    plan = simhash.links(spark.range(1000).withColumnRenamed("id", "fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 # -- language
 
 

@@ -111,7 +111,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK) ->
     index = spread.select("fp", F.explode(F.array(*[key(*x) for x in bits])).alias("key"))
     counts = index.groupBy("key").count().where(F.col("count") > 1)
     counts = counts.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    index = index.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    index = index.hint("merge").join(counts, "key")  # Spark sizes an explode as one row for each, and would broadcast all 64
+    index = index.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("own", other).alias("one"), F.greatest("own", other).alias("other")))
     rows = index.select("key", "fp", "own", F.explode(meets).alias("m")).select("key", "m.one", "m.other", (F.col("own") == F.col("m.other")).cast("int").alias("side"), "fp")
     rows = rows.repartition("key", "one", "other").sortWithinPartitions("key", "one", "other")
