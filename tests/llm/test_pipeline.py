@@ -8,7 +8,8 @@ import pytest
 
 from tests.llm.tables import DOCS, documents
 from tests.llm.test_documents import brute_simhash, brute_spans, expected_targets, roots
-from tintwalk.llm import packing, similar, stages
+from tintwalk.llm import mixing, packing, similar, stages
+from tintwalk.llm.common import cut, written
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 PLAIN = "doc_id long, text string, lang string, source string, n_chars long"
@@ -139,3 +140,22 @@ def test_near_duplicate_stage_takes_candidates_of_simhash_first(spark, monkeypat
     docs = spark.createDataFrame([(i, t, "en", "web", 0) for i, t in enumerate(texts)], PLAIN)
     monkeypatch.setattr(similar, "_first", lambda found, *_: found[:0])  # shingles give no candidates
     assert sorted(r.doc_id for r in stages.near_duplicates(spark, docs, "").collect()) == [0, 1, 2, 3]
+
+
+def test_exploded_tables_are_not_broadcast(spark, docs, monkeypatch):
+    """Spark sizes an explode, and what a task makes of its rows, too low: shingles, candidates and decided documents would go to the driver."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(similar, "written", lambda df, name: written(seen(df), name))
+    monkeypatch.setattr(similar, "cut", lambda df, name: cut(seen(df), name))
+    similar.near_duplicates(docs).collect()
+    shingled = [p for p in plans if "Join" in p and "Generate posexplode" in p]
+    marked = [p for p in plans if "MapInArrow run(a#" in p]
+    assert shingled and not any("Broadcast" in p for p in shingled)
+    assert len(marked) == 2 and all("SortMergeJoin [a#" in p for p in marked)
+    mixed = mixing.mix(docs.select("doc_id", "text", "source"))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in mixed and "Broadcast" not in mixed

@@ -113,7 +113,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, s
     rows = cut(rows.withColumn("share", F.col("wanted") - F.col("whole")), "wanted")
     sized = rows.where("size > 0").select(F.col("first").alias("stratum"), (F.col("rank") - F.col("first_sized")).alias("place"), F.col("size").cast("double").alias("size"), "share")
     largest = targets.agg(F.max("documents")).first()[0] or 1
-    extra = pivotal(sized, largest, seed=seed).withColumnRenamed("stratum", "first")
+    extra = pivotal(sized, largest, seed=seed).withColumnRenamed("stratum", "first").hint("merge")  # a row a document, which Spark sizes as one a group
     found = rows.withColumn("place", F.col("rank") - F.col("first_sized")).join(extra, ["first", "place"], "left")
     found = found.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.coalesce("extra", F.lit(0))).otherwise(0).cast("long"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *keep)
