@@ -1,11 +1,14 @@
 """Systems without a table of edges against the same ones with it."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from tintwalk import formula as f
 from tintwalk.operators import temporal
 from tintwalk.plans.checker import Checker
+from tintwalk.queries import QUERIES
 from tintwalk.sources import tables
 from tintwalk.sources.implicit import ImplicitSystem, Move
 from tintwalk.system import NEGATIVE, POSITIVE, TransitionSystem
@@ -90,3 +93,19 @@ def test_facts_of_the_stock_are_written_once(spark):
     """A round reads them, and must not group all lines again."""
     plan = tables.stock(spark, "/root/testdata/sf0.001").facts._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Join" not in plan
+
+
+def test_stock_is_reached_of_all_parts(spark):
+    """Of every part that was ordered, in every colour, and not of the small ones alone."""
+    facts = tables.stock(spark, "/root/testdata/sf0.001").facts
+    found = QUERIES["implicit_reach"](spark, "/root/testdata/sf0.001").select(F.floor(F.col("state") / tables.LEVELS).alias("key"), "colour").distinct()
+    assert facts.where("room > 12").count() > 0
+    assert {(r.key, r.colour) for r in found.collect()} == {(r.key, c) for r in facts.collect() for c in range(tables.DAYS)}
+
+
+def test_leaps_reach_what_moves_reach(spark):
+    stock = tables.stock(spark, "/root/testdata/sf0.001")
+    seed = stock.facts.where("room between 20 and 30").select((F.col("key") * tables.LEVELS).alias("state"), F.explode(F.array(*[F.lit(c) for c in range(tables.DAYS)])).alias("colour"))
+    leapt, moved = [], []
+    assert rows(stock.reach(seed, log=leapt)) == rows(replace(stock, leaps=()).reach(seed, log=moved))
+    assert len(leapt) < len(moved)
