@@ -103,6 +103,11 @@ def test_marks_bound_what_sets_share():
             assert shared <= bound <= shared + 0.3 * len(a) + 2
 
 
+def test_no_pair_is_lost_by_rounding():
+    k = np.arange(1, 4_000_000)
+    assert similar.enough(4 * k, 9 * k, 0.8).all() and not similar.enough(4 * k - 1, 9 * k, 0.8).any()
+
+
 def test_near_duplicate_stage_links_by_similarity(spark):
     """Near copies at a five-word similarity of 0.8 or more go, however many bits their fingerprints differ in; those below stay."""
     rng = random.Random(11)
